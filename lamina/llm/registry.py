@@ -6,6 +6,8 @@ import importlib
 
 #: Module and name of each registered query; its SQL, if any, is the module's OP<N>_SQL.
 NAMES = {
+    "op5_toxicity": "toxicity",
+    "op9_quality": "quality",
     "op1_order": "materialise",
     "op4_warc": "warc",
     "op7_mixing": "mixing",
