@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine (operator 5).
 
-Terms are lower-cased words and their first letters. Those that occur with label 1 more often than chance allows,
-given how many terms were tried, span the vectors; a bounded sample of labelled rows gives the examples. An
+Terms are lower-cased words and their first letters. Those that come mostly with label 1, and more often than chance
+allows given how many terms were tried (near copies of a text count about once), span the vectors; a bounded sample of labelled rows gives the examples. An
 inverted index holds each term's weights in blocks of examples with the block's largest weight. A document's
 blocks are visited by falling upper bound and skipped once the bound is below its k-th cosine, so its nearest
 examples are exact; they vote with their cosine, and their ids are the evidence.
@@ -25,7 +25,9 @@ from .textgrid import grids, mix
 #: Labelled rows and terms at most; examples a block; voters.
 EXAMPLES, TERMS, BLOCK, VOTERS = 12000, 8192, 128, 25
 #: Bytes of the word beginnings that are terms of their own.
-BEGINNINGS = (5, 7)
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Least share of label 1 among the texts with a term.
+PURITY = 0.97
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[i for i in range(128) if not chr(i).isalnum()]] = True
@@ -63,6 +65,8 @@ def _distinct(batches):
 
 def telling_terms(known: DataFrame, most: int = TERMS) -> list[int]:
     """Terms (of rows id, y, terms) that come with y = 1 more than chance allows, by the likelihood ratio; the bar rises with the number of terms tried."""
+    # a text's two smallest term hashes are those of most of its near copies: a group of copies counts about once
+    known = known.groupBy("y", F.slice("terms", 1, 2)).agg(F.first("terms").alias("terms"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not ones or ones == n:
         return []
@@ -73,7 +77,7 @@ def telling_terms(known: DataFrame, most: int = TERMS) -> list[int]:
     ratio = 2 * (part(a, F.lit(p)) + part(m - a, F.lit(1 - p)))
     tried = counts.count()
     bar = 2 * np.log(max(tried, 2)) + 2
-    return [r["term"] for r in counts.where((a / m > p) & (ratio >= bar)).orderBy(ratio.desc(), "term").limit(most).select("term").collect()]
+    return [r["term"] for r in counts.where((a / m >= max(p, PURITY)) & (ratio >= bar)).orderBy(ratio.desc(), "term").limit(most).select("term").collect()]
 
 
 def weighted(row: np.ndarray, term: np.ndarray, vocabulary: np.ndarray):
