@@ -6,6 +6,7 @@ import importlib
 
 #: Module and name of each registered query; its SQL, if any, is the module's OP<N>_SQL.
 NAMES = {
+    "op6_render": "render",
     "op3_decontaminate": "decontaminate",
     "op2_minhash": "minhash",
     "op5_toxicity": "toxicity",
