@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -18,9 +20,17 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    for module in ("volume_queries", "surface_queries", "catalog_queries", "iterative_queries"):
+        importlib.import_module(f"lamina.plans.{module}")
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(ORACLES)
