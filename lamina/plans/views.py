@@ -51,7 +51,7 @@ def reviews(spark, d) -> DataFrame:
     """Review log (id, surface_id, reviewer_id, status, ts) of the orders."""
     o = table(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0)
-    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("surface_id"), F.col("o_custkey").alias("reviewer_id"), status.alias("status"), F.unix_timestamp("o_orderdate").alias("ts"))
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("surface_id"), F.col("o_custkey").alias("reviewer_id"), status.alias("status"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(o_orderdate as timestamp_ntz))").alias("ts"))
 
 
 def segments(spark, d) -> DataFrame:
@@ -71,7 +71,7 @@ def collab(spark, d) -> DataFrame:
     """Collaboration events (event_id, user_id, ts_ms, edit_type, payload) of the events."""
     e = table(spark, d, "events")
     kind = F.expr("case event_type when 'click' then 0 when 'view' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end")
-    return e.select("event_id", "user_id", F.unix_millis("ts").alias("ts_ms"), kind.alias("edit_type"), F.col("props").alias("payload"), "value")
+    return e.select("event_id", "user_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("ts_ms"), kind.alias("edit_type"), F.col("props").alias("payload"), "value")
 
 
 def projects(spark, d) -> DataFrame:
