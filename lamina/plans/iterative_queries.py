@@ -1 +1,151 @@
-"""Queries."""
+"""Queries that iterate or run kernels on blocks."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lamina.catalog import register
+from lamina.functions import kernels as K
+from lamina.operators import blocks as B
+from lamina.operators import graph as G
+from lamina.operators import volume as V
+from lamina.plans.views import edges, vol, with_views
+
+_SHAPE, _CHUNK = (7, 16, 16), (7, 8, 8)
+
+
+def _nodes(s, d):
+    e = edges(s, d)
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+
+
+@register("gr_cc", with_views("with recursive e as (select src as a, dst as b from edges where weight >= 2e-1 union select dst, src from edges where weight >= 2e-1), n as (select src as id from edges union select dst from edges), r as (select id, id as root from n union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as m from r group by 1) select id, dense_rank() over (order by m) - 1 as component from c", "edges"))
+def _cc(s, d):
+    return G.number(G.connected(_nodes(s, d), edges(s, d).where("weight >= 0.2"))).withColumn("component", F.col("component").cast("long"))
+
+
+@register("gr_mst")
+def _mst(s, d):
+    """Maximum spanning forest; tests hold its weight against Kruskal's."""
+    return G.max_spanning_forest(_nodes(s, d), edges(s, d))
+
+
+@register("gr_winding", "select * from (values (0, 0e0, true), (1, 360e0, true), (2, 720e0, true), (3, 1080e0, true), (4, 77e0, false)) t(id, f, visited)")
+def _winding(s, d):
+    n = s.createDataFrame([(0, 0.0), (1, 350.0), (2, 730.0), (3, 1100.0), (4, 77.0)], "id int, init double")
+    t = s.createDataFrame([(0, 1, 1.0, 360.0), (1, 2, 1.0, 360.0), (2, 3, 1.0, 360.0)], "src int, dst int, weight double, k double")
+    return G.assign_winding(n, t, 0)
+
+
+@register("gr_bp")
+def _bp(s, d):
+    """Three rounds of belief propagation with two labels; tests hold it against a plain loop."""
+    n = _nodes(s, d).withColumn("prior", F.when(F.col("id") % 3 == 0, F.array(F.lit(0.8), F.lit(0.2))).otherwise(F.array(F.lit(0.4), F.lit(0.6))))
+    return G.belief(n, edges(s, d).withColumn("weight", F.least(F.lit(1.0), F.col("weight"))), 2, 3)
+
+
+@register("sv_cg", "select i, round(1e0 / (2 + i), 6) as x from range(20) t(i)")
+def _cg(s, d):
+    i = s.range(20).withColumnRenamed("id", "i")
+    a = i.select("i", F.col("i").alias("j"), (F.col("i") + 1.0).alias("v")).unionByName(i.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")))
+    return G.conjugate_gradient(a, i.select("i", F.lit(1.0).alias("v"))).select("i", F.round("x", 6).alias("x"))
+
+
+_NEAR = "(values (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1)) o(dz,dy,dx)"
+
+
+@register("ip_cc3d", with_views(f"with recursive m as (select z, y, x, (z * 16 + y) * 16 + x as id from vol where v >= 190), e as (select a.id as a, b.id as b from m a, {_NEAR} join m b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx), r as (select id, id as root from m union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as root from r group by 1) select z, y, x, dense_rank() over (order by root) as label from c join m on m.id = c.id", "vol"))
+def _cc3d(s, d):
+    m = vol(s, d).where("v >= 190").select("z", "y", "x", ((F.col("z") * 16 + F.col("y")) * 16 + F.col("x")).alias("id"))
+    n = V.neighbours6(m).select("id", ((F.col("nz") * 16 + F.col("ny")) * 16 + F.col("nx")).alias("to"), "ny", "nx").where("ny between 0 and 15 and nx between 0 and 15")
+    e = n.join(m.select(F.col("id").alias("to")), "to").where("id < to").select(F.col("id").alias("src"), F.col("to").alias("dst"))
+    c = G.number(G.connected(m.select("id"), e))
+    return m.join(c, "id").select("z", "y", "x", (F.col("component") + 1).cast("long").alias("label"))
+
+
+@register("ip_edt", with_views("select a.z, a.y, a.x, round(sqrt(min(pow(a.z - b.z, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2))), 6) as v from vol a, vol b where b.v >= 250 group by 1, 2, 3", "vol"))
+def _edt(s, d):
+    f = vol(s, d).select("z", "y", "x", F.when(F.col("v") >= 250, 0.0).otherwise(float("inf")).alias("v"))
+    for axis in "xyz":
+        f = B.lines(f, axis, K.edt_line)
+    return f.select("z", "y", "x", F.round(F.sqrt("v"), 6).alias("v"))
+
+
+def _blurred(view, axis, w):
+    n = {"z": 7, "y": 16, "x": 16}[axis]
+    at = ", ".join(f"v.{p}" for p in "zyx")
+    return f"select {at}, sum(w * u.v) as v from {view} v, (values {', '.join(f'({i - len(w) // 2}, {float(x)!r}::double)' for i, x in enumerate(w))}) k(o, w) join {view} u on " + " and ".join(f"u.{p} = least({n - 1}, greatest(0, v.{p} + o))" if p == axis else f"u.{p} = v.{p}" for p in "zyx") + " group by 1, 2, 3"
+
+
+_W = K.gauss_weights(1.0)
+
+
+@register("ip_gauss3d", with_views(f"with a as ({_blurred('vol', 'z', _W)}), b as ({_blurred('a', 'y', _W)}), c as ({_blurred('b', 'x', _W)}) select z, y, x, round(v, 5) as v from c", "vol"))
+def _gauss(s, d):
+    c = B.to_chunks(vol(s, d), _CHUNK)
+    return B.to_voxels(B.with_halo(c, _CHUNK, 3, lambda a, o: K.gauss(a, 1.0), _SHAPE), _CHUNK).withColumn("v", F.round("v", 5))
+
+
+def _kernel(name, fn, halo):
+    def run(s, d):
+        c = B.to_chunks(vol(s, d), _CHUNK)
+        return B.to_voxels(B.with_halo(c, _CHUNK, halo, fn, _SHAPE), _CHUNK).withColumn("v", F.round("v", 6) + 0.0)
+
+    run.__doc__ = f"{name} over chunks with halos; tests hold it against the whole array."
+    register(name)(run)
+
+
+_kernel("ip_frangi", lambda a, o: K.frangi(a, [1.0]), 5)
+_kernel("ip_structure_tensor", lambda a, o: K.structure_tensor(a, 0.3, 0.0)["xx"], 7)
+_kernel("ip_sobel", lambda a, o: K.sobel(a, 2), 1)
+_kernel("ip_uniform_blur", lambda a, o: K.box_blur(a, 3), 3)
+_kernel("ip_eigen", lambda a, o: np.linalg.eigvalsh(K.symmetric(K.structure_tensor(a, 0.3, 0.0)))[..., 2], 7)
+
+
+def _plane(name, fn):
+    def run(s, d):
+        import pandas as pd
+
+        def each(pdf):
+            a = np.zeros((16, 16))
+            a[pdf.y, pdf.x] = pdf.v
+            out = fn(a)
+            y, x = np.indices(out.shape)
+            return pd.DataFrame({"z": pdf.z.iloc[0], "y": y.ravel(), "x": x.ravel(), "v": np.round(out.astype(float).ravel(), 6)})
+
+        return vol(s, d).groupBy("z").applyInPandas(each, "z long, y long, x long, v double")
+
+    run.__doc__ = f"{name} of every plane."
+    register(name)(run)
+
+
+_plane("ip_ced", lambda a: K.coherence_diffusion(a, 2))
+_plane("ip_thinning", lambda a: K.thin2d(a >= 100))
+_plane("ip_inpaint", lambda a: K.inpaint(a, a >= 230))
+
+
+@register("ip_dijkstra")
+def _dijkstra(s, d):
+    """Distances from the origin; tests hold it against a heap."""
+    return G.relax(vol(s, d).where("v < 200").select("z", "y", "x", F.col("v").cast("double").alias("v")), (0, 1, 1))
+
+
+@register("ip_overlay", with_views("select z, y, x, cast(floor(case when v >= 128 then v * 5e-1 + 255e0 * 5e-1 else v end) as int) as v from vol", "vol"))
+def _overlay(s, d):
+    return vol(s, d).select("z", "y", "x", F.floor(F.when(F.col("v") >= 128, F.col("v") * 0.5 + 127.5).otherwise(F.col("v"))).cast("int").alias("v"))
+
+
+@register("ip_raycast", with_views("select y, x, max(v) as mip, min(case when v >= 180 then z end) as first_hit from vol group by 1, 2", "vol"))
+def _raycast(s, d):
+    return vol(s, d).groupBy("y", "x").agg(F.max("v").alias("mip"), F.min(F.when(F.col("v") >= 180, F.col("z"))).alias("first_hit"))
+
+
+@register("ip_detect_surfaces", with_views("with g as (select z, y, x, coalesce(lead(v) over w, v) - coalesce(lag(v) over w, v) as d1 from vol window w as (partition by y, x order by z)), h as (select z, y, x, d1, coalesce(lead(d1) over w, d1) as n from g window w as (partition by y, x order by z)) select z, y, x, case when d1 > 0 then 'recto' else 'verso' end as side from h where abs(d1) >= 100 and d1 * n < 0", "vol"))
+def _detect(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("y", "x").orderBy("z")
+    g = vol(s, d).withColumn("d1", F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v")))
+    h = g.withColumn("n", F.coalesce(F.lead("d1").over(w), F.col("d1"))).where("abs(d1) >= 100 and d1 * n < 0")
+    return h.select("z", "y", "x", F.when(F.col("d1") > 0, "recto").otherwise("verso").alias("side"))

@@ -107,9 +107,9 @@ SQL = {
     "reviews": "reviews as (select o_orderkey as id, o_custkey % 100 as surface_id, o_custkey as reviewer_id, case o_orderstatus when 'F' then 1 when 'P' then 2 else 0 end as status, cast(epoch(o_orderdate) as bigint) as ts from orders)",
     "segments": "segments as (select s_suppkey as id, 'vol-' || s_nationkey as volume_id, s_name as name, '/surfaces/' || lower(s_name) || '.obj' as surface_path from supplier)",
     "annotations": "annotations as (select doc_id as id, doc_id % 10 as segment_id, case when toxic = 1 then 'circle' when quality = 1 then 'point' else 'line' end as type, '{\"quality\":' || quality || ',\"toxic\":' || toxic || '}' as data_json from labels)",
-    "collab": "collab as (select event_id, user_id, epoch_ms(ts) as ts_ms, case event_type when 'click' then 0 when 'view' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as edit_type, props as payload, value from events)",
+    "collab": "collab as (select event_id, user_id, epoch_us(ts) // 1000 as ts_ms, case event_type when 'click' then 0 when 'view' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as edit_type, props as payload, value from events)",
     "projects": "projects as (select 'entry-' || doc_id as name, '/data/' || lang || '/' || doc_id as path, case doc_id % 4 when 0 then 'segments' when 1 then 'zarr_volume' when 2 then 'tiff_stack' else 'normal_grid' end as type, doc_id % 5 = 0 as is_remote, [lang, source] as tags, doc_id as id from documents)",
-    "box": "box(" + ", ".join(BOX_COLUMNS) + ") as (values " + ", ".join("(" + ", ".join(f"{x!r}::double" if isinstance(x, float) else str(x) for x in r) + ")" for r in box_rows()) + ")",
+    "box": "box(" + ", ".join(c if c == "fid" else f"{c[0]}_{c[1]}" for c in BOX_COLUMNS) + ") as (values " + ", ".join("(" + ", ".join(f"{x!r}::double" if isinstance(x, float) else str(x) for x in r) + ")" for r in box_rows()) + ")",
 }
 
 
