@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +116,3 @@ def relax(cost: DataFrame, source: tuple) -> DataFrame:
         dist, front = j.drop("new"), j.where("new").drop("new")
     return dist
 
-
-def solve_small(pdf: pd.DataFrame, n: int) -> np.ndarray:
-    """Dense solution of a small COO system with right-hand side rows j = -1."""
-    m, b = np.zeros((n, n)), np.zeros(n)
-    for i, j, v in pdf.itertuples(index=False):
-        if j < 0:
-            b[i] += v
-        else:
-            m[i, j] += v
-    return np.linalg.solve(m, b)

@@ -192,31 +192,36 @@ def _alpha(s, d):
     return V.composite(vol(s, d), "alpha").withColumn("c", F.round("c", 9))
 
 
-_TAPS = """t as (select {key}, cast(trunc(fz) as bigint) + dz as tz, cast(trunc(fy) as bigint) + dy as ty, cast(trunc(fx) as bigint) + dx as tx,
-  (case dz when 1 then fz - trunc(fz) else 1e0 - (fz - trunc(fz)) end) * (case dy when 1 then fy - trunc(fy) else 1e0 - (fy - trunc(fy)) end) * (case dx when 1 then fx - trunc(fx) else 1e0 - (fx - trunc(fx)) end) as w
-  from p, (values (0), (1)) a(dz), (values (0), (1)) b(dy), (values (0), (1)) c(dx))
-select {key}, round(sum(w * coalesce(v, 0)), 6) as value from t left join vol on vol.z = tz and vol.y = ty and vol.x = tx group by {key}"""
 
 
-@register("jn_slice_quad", with_views("with p as (select row, col, z - 5e-1 as fz, y / 4 - 5e-1 as fy, x / 3 - 5e-1 as fx from surf), " + _TAPS.format(key="row, col").replace("round(sum(w * coalesce(v, 0)), 6)", "round(sum(w * coalesce(v, 0)) + 123e-10, 6)"), "vol", "surf"))
+def _taps(key, group=None, value="round(sum(w * coalesce(v, 0)), 6)"):
+    """SQL of the eight-tap sampler over points p (fz, fy, fx)."""
+    group = group or key
+    part = lambda c: f"(case d{c} when 1 then f{c} - trunc(f{c}) else 1e0 - (f{c} - trunc(f{c})) end)"
+    at = ", ".join(f"cast(trunc(f{c}) as bigint) + d{c} as t{c}" for c in "zyx")
+    return f"""t as (select {key}, {at}, {part("z")} * {part("y")} * {part("x")} as w from p, (values (0), (1)) a(dz), (values (0), (1)) b(dy), (values (0), (1)) c(dx))
+select {group}, {value} as value from t left join vol on vol.z = tz and vol.y = ty and vol.x = tx group by {group}"""
+
+
+@register("jn_slice_quad", with_views("with p as (select row, col, z - 5e-1 as fz, y / 4 - 5e-1 as fy, x / 3 - 5e-1 as fx from surf), " + _taps("row, col", value="round(sum(w * coalesce(v, 0)) + 123e-10, 6)"), "vol", "surf"))
 def _slice_quad(s, d):
     p = surface(s, d).select("row", "col", F.col("z").alias("pz"), (F.col("y") / 4).alias("py"), (F.col("x") / 3).alias("px"))
     return V.sample(p, vol(s, d), ["row", "col"]).withColumn("value", F.round(F.col("value") + 123e-10, 6))
 
 
-@register("jn_sample", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol where v % 4 = 0), " + _TAPS.format(key="p.z, p.y, p.x").replace("select p.z, p.y, p.x, cast", "select p.z, p.y, p.x, cast").replace("select p.z, p.y, p.x, round", "select t.z, t.y, t.x, round").replace("group by p.z, p.y, p.x", "group by t.z, t.y, t.x"), "vol"))
+@register("jn_sample", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol where v % 4 = 0), " + _taps("p.z, p.y, p.x", "t.z, t.y, t.x"), "vol"))
 def _sample(s, d):
     p = vol(s, d).where("v % 4 = 0").select(*ZYX, (F.col("z") + 0.75).alias("pz"), (F.col("y") + 1.0).alias("py"), (F.col("x") + 1.25).alias("px"))
     return V.sample(p, vol(s, d), ZYX).withColumn("value", F.round("value", 6))
 
 
-@register("jn_slice_plane", with_views("with g as (select k % 12 as i, k // 12 as j from range(96) t(k)), p as (select i, j, 3e0 + (i - 55e-1) * 0e0 + (j - 35e-1) * 25e-2 - 5e-1 as fz, 8e0 + (i - 55e-1) * 25e-2 + (j - 35e-1) * 1e0 - 5e-1 as fy, 8e0 + (i - 55e-1) * 1e0 + (j - 35e-1) * 0e0 - 5e-1 as fx from g), " + _TAPS.format(key="i, j"), "vol"))
+@register("jn_slice_plane", with_views("with g as (select k % 12 as i, k // 12 as j from range(96) t(k)), p as (select i, j, 3e0 + (i - 55e-1) * 0e0 + (j - 35e-1) * 25e-2 - 5e-1 as fz, 8e0 + (i - 55e-1) * 25e-2 + (j - 35e-1) * 1e0 - 5e-1 as fy, 8e0 + (i - 55e-1) * 1e0 + (j - 35e-1) * 0e0 - 5e-1 as fx from g), " + _taps("i, j"), "vol"))
 def _slice_plane(s, d):
     g = V.plane_grid(s, 12, 8, (8.0, 8.0, 3.0), (1.0, 0.25, 0.0), (0.0, 1.0, 0.25))
     return V.sample(g, vol(s, d), ["i", "j"]).withColumn("value", F.round("value", 6))
 
 
-@register("map_trilinear", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol where z < 5 and y < 15 and x < 15 and v % 8 = 0), " + _TAPS.format(key="p.z, p.y, p.x").replace("select p.z, p.y, p.x, round", "select t.z, t.y, t.x, round").replace("group by p.z, p.y, p.x", "group by t.z, t.y, t.x"), "vol"))
+@register("map_trilinear", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol where z < 5 and y < 15 and x < 15 and v % 8 = 0), " + _taps("p.z, p.y, p.x", "t.z, t.y, t.x"), "vol"))
 def _trilinear(s, d):
     p = vol(s, d).where("z < 5 and y < 15 and x < 15 and v % 8 = 0").select(*ZYX, (F.col("z") + 0.25).alias("pz"), (F.col("y") + 0.5).alias("py"), (F.col("x") + 0.75).alias("px"))
     return V.sample(p, vol(s, d), ZYX, "corner").withColumn("value", F.round("value", 6))
@@ -225,8 +230,8 @@ def _trilinear(s, d):
 @register(
     "ag_composite_normal",
     with_views(
-        "with o as (select cast(k as double) as k from range(-2, 3) t(k)), p as (select row, col, k, 3e0 + k - 5e-1 as fz, y / 4 - 5e-1 as fy, x / 3 - 5e-1 as fx from surf, o), "
-        + _TAPS.format(key="row, col, k").replace("select row, col, k, round", "select row, col, k, round").replace("select row, col, k, round(sum(w * coalesce(v, 0)), 6) as value", ", s as (select row, col, k, sum(w * coalesce(v, 0)) as value", 1).replace("fx - trunc(fx) else 1e0", "fx - trunc(fx) else 1e0").replace("\n, s as", ", s as")
+        "with o as (select cast(k as double) as k from range(-2, 3) t(k)), p as (select row, col, k, 3e0 + k - 5e-1 as fz, y / 4 - 5e-1 as fy, x / 3 - 5e-1 as fx from surf, o), s as (with "
+        + _taps("row, col, k", value="sum(w * coalesce(v, 0))")
         + ") select row, col, round(max(value), 6) as top, round(avg(value), 6) as mean from s group by 1, 2",
         "vol",
         "surf",
