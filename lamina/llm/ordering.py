@@ -22,7 +22,7 @@ def order_key_sql(col: str, seed: str = "") -> str:
     return f"cast('0x' || substr(md5('{seed}|' || coalesce(cast({col} as varchar), '')), 1, {KEY_BITS // 4}) as bigint)"
 
 
-def bucket_count(rows: int, least: int = 2048) -> int:
+def bucket_count(rows: int, least: int = 256) -> int:
     """Buckets for ``rows`` rows: each holds about max(``least``, sqrt(rows)) rows, so that neither a bucket nor the list of buckets gets large."""
     return max(1, math.ceil(rows / max(least, math.isqrt(max(rows, 1)))))
 
