@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -33,8 +35,13 @@ from .store import fresh_dir, materialize
 #: The byte-level BPE vocabulary that the box offers, its split pattern and its free id for the end of a text.
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's cache of words' tokens; it is emptied when full.
-CACHE = 400_000
+#: Entries of a worker's cache of words' tokens (about 320 MB when full); it is emptied when full.
+CACHE = 2_000_000
+#: Signs that end a word as a piece of their own; an apostrophe may begin a contraction.
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+_RUN = re.compile(r"\s ")
 
 
 class Tokenizer:
@@ -53,16 +60,26 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 2**16 - 1 else "<u4")
-        outer = self
+        self.code, self._signs = "H" if self.dtype.itemsize == 2 else "I", {}
+        outer, piece = self, self.encoding._core_bpe.encode_single_piece
 
         class Words(dict):
             def __missing__(self, word):
                 if len(self) >= CACHE:
                     self.clear()
-                got = self[word] = outer.plain(" " + word)
+                    self[""] = b""
+                base = word.rstrip(SIGNS)
+                if len(base) < len(word) and base.isalpha():
+                    # letters and the signs behind them are pieces of their own
+                    got = self[base] + outer.signs(word[len(base) :])
+                elif word.isalpha():
+                    got = array(outer.code, piece((" " + word).encode())).tobytes()
+                else:
+                    got = outer.plain(" " + word)
+                self[word] = got
                 return got
 
-        self.words = Words()
+        self.words = Words({"": b""})
 
     @classmethod
     def of(cls, path: str, pattern: str = PATTERN) -> "Tokenizer":
@@ -71,15 +88,23 @@ class Tokenizer:
         return cls._made[path, pattern]
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+        return array(self.code, self.encoding.encode_ordinary(text)).tobytes()
+
+    def signs(self, text: str) -> bytes:
+        if text not in self._signs:
+            if len(self._signs) >= 10_000:
+                self._signs.clear()
+            self._signs[text] = self.plain(text)
+        return self._signs[text]
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace() or any(not w or w[-1].isspace() for w in rest):
+        if text[0] == " " or text[-1] == " " or _RUN.search(text):
             return self._runs(text)
-        return self.plain(first) + b"".join(map(self.words.__getitem__, rest))
+        words = text.split(" ")
+        first, words[0] = words[0], ""
+        return self.plain(first) + b"".join(map(self.words.__getitem__, words))
 
     def _runs(self, text: str) -> bytes:
         """Texts with runs of white space: words that stand alone by the cache, the rest together."""
@@ -133,7 +158,7 @@ def _counted(path: str):
 
         t, total = Tokenizer.of(path), 0
         for b in batches:
-            total += sum(len(t(x.as_py() or "")) for x in b.column(1)) // t.dtype.itemsize + b.num_rows
+            total += sum(len(t(x or "")) for x in b.column(1).to_pylist()) // t.dtype.itemsize + b.num_rows
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([total])], names=["part", "tokens"])
 
     return run
@@ -173,9 +198,9 @@ def _sequences(path: str, end: int, length: int, starts: dict, totals: dict, n:
             return made
 
         for b in batches:
-            for i, x in zip(b.column(0), b.column(1), strict=True):
-                first.append((len(held), i.as_py()))
-                got = t(x.as_py() or "") + stop
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first.append((len(held), i))
+                got = t(x or "") + stop
                 seen += len(got) // width
                 held += got
                 if len(held) > 1 << 21 and (made := flush()) is not None:
