@@ -35,8 +35,8 @@ from .store import fresh_dir, materialize
 #: The byte-level BPE vocabulary that the box offers, its split pattern and its free id for the end of a text.
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's cache of words' tokens (about 320 MB when full); it is emptied when full.
-CACHE = 2_000_000
+#: Entries of a worker's cache of words' tokens (about 300 MB when full); it is emptied when full.
+CACHE = 1_800_000
 #: Signs that end a word as a piece of their own; an apostrophe may begin a contraction.
 SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -65,14 +65,14 @@ class Tokenizer:
 
         class Words(dict):
             def __missing__(self, word):
+                base = word.rstrip(SIGNS)
+                if len(base) < len(word) and base.isalpha():
+                    # letters and the signs behind them are pieces of their own, and only the letters are kept
+                    return self[base] + outer.signs(word[len(base) :])
                 if len(self) >= CACHE:
                     self.clear()
                     self[""] = b""
-                base = word.rstrip(SIGNS)
-                if len(base) < len(word) and base.isalpha():
-                    # letters and the signs behind them are pieces of their own
-                    got = self[base] + outer.signs(word[len(base) :])
-                elif word.isalpha():
+                if word.isalpha():
                     got = array(outer.code, piece((" " + word).encode())).tobytes()
                 else:
                     got = outer.plain(" " + word)
