@@ -8,8 +8,12 @@ of it meet their successors. A group of thousands of copies so gives a few candi
 which connect it. Rows at the borders of sort partitions meet in a step of their own.
 Candidates are confirmed on full sets, links are closed to components, and a component is named by its smallest id.
 
-A pair at similarity s shares a prefix of ``DEPTH`` in a tree with probability s**3; over 12 trees a pair at 0.85
-is missed once in about 100,000, one at 0.8 once in about 5,000.
+Rows of larger regions (``crowded``) are then joined exactly across the components found so far, by prefix filter: with shingles ordered
+by rarity, two linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles, at places that leave room for the
+overlap. So true links among many texts that share a passage are found, while a group of copies, one component by then, makes no pairs.
+
+A pair at similarity s shares a prefix of ``DEPTH`` in a tree with probability s**3, and is then compared or in the exact join; over 12
+trees a pair at 0.85 is missed once in about 100,000, one at 0.8 once in about 5,000.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words
 than a shingle is one shingle; rows of a null id form classes but have no name of their own; rows of one id
@@ -29,6 +33,8 @@ from .textgrid import grids, mix
 
 #: Trees, hash functions a tree, least common prefix, rows of a region that is compared in full.
 TREES, LENGTH, DEPTH, SMALL = 12, 8, 3, 4
+#: Buckets that count shingles for their order by rarity (any order is exact); rows of a shingle that meet in one block.
+BUCKETS, CHUNK = 1 << 20, 1024
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, TREES * LENGTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,6 +94,15 @@ def _signed(words: int):
     return run
 
 
+def _crowded(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Marks of sorted rows whose region of the least depth holds more than ``SMALL`` rows, or may go on before or behind them."""
+    same = (tree[1:] == tree[:-1]) & (key[1:, :DEPTH] == key[:-1, :DEPTH]).all(1)
+    cut = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+    many = np.diff(cut) > SMALL
+    many[[0, -1]] = True
+    return np.repeat(many, np.diff(cut))
+
+
 def _pairs(tree: np.ndarray, key: np.ndarray, ids: np.ndarray):
     """Candidate pairs (positions) of rows in sorted order."""
     n = len(ids)
@@ -127,6 +142,10 @@ def _neighbours(batches):
         n = len(a)
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["a", "b", "part", "at", "tree", "key"])
 
+    def marked(ids):
+        n = len(ids)
+        return pa.record_batch([pa.array(ids), pa.nulls(n, pa.int64()), pa.array([-1] * n, pa.int32()), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.binary())], names=["a", "b", "part", "at", "tree", "key"])
+
     def border(rows, at):
         tree, key, ids = rows
         n = len(ids)
@@ -144,6 +163,7 @@ def _neighbours(batches):
         i, j = _pairs(*rows)
         new = j >= old
         yield made(rows[2][i[new]], rows[2][j[new]])
+        yield marked(np.unique(rows[2][_crowded(*rows[:2])]))
         seen += b.num_rows
         held = tuple(x[-(SMALL - 1) :] for x in rows)
     if seen:
@@ -162,16 +182,17 @@ def _borders(batches):
         yield pa.record_batch([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of ``classes`` (id, keys)."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b), a < b, of ``classes`` (id, keys), and the ids of rows in regions that are not compared in full."""
     spark = classes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select("id", F.posexplode("keys").alias("tree", "key")).select("tree", "key", "id")
     order = ("tree", "key", "id")
     near = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _CANDIDATES), "near")
     # a handful of rows for each sort partition
-    edge = near.where("b is null").repartition(1).sortWithinPartitions("part", "at").select("a", "tree", "key").mapInArrow(_borders, "a long, b long")
-    return near.where("b is not null").select("a", "b").unionByName(edge).where("a <> b").distinct()
+    edge = near.where("b is null and part >= 0").repartition(1).sortWithinPartitions("part", "at").select("a", "tree", "key").mapInArrow(_borders, "a long, b long")
+    pairs = near.where("b is not null").select("a", "b").unionByName(edge).where("a <> b").distinct()
+    return pairs, near.where("part = -1").select(F.col("a").alias("id")).distinct()
 
 
 def _confirmed(words: int, percent: int):
@@ -193,23 +214,87 @@ def _confirmed(words: int, percent: int):
     return run
 
 
+def _bucket(value: np.ndarray) -> np.ndarray:
+    return (mix(value) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _counted(words: int):
+    def run(batches):
+        for b in batches:
+            for g in grids(b.column(0)):
+                at, n = np.unique(_bucket(shingles(g, words)[1]), return_counts=True)
+                yield pa.record_batch([pa.array(at), pa.array(n.astype(np.int64))], names=["bucket", "c"])
+
+    return run
+
+
+def _prefixes(words: int, percent: int, counts):
+    """(id, n, at, token): each text's rarest shingles, of which two linked texts share one, and their places from 0."""
+
+    def run(batches):
+        often = counts.value
+        for b in batches:
+            for g in grids(b.column(1)):
+                row, value = shingles(g, words)
+                c = often[_bucket(value)]
+                order = np.lexsort((value, c, row))
+                value, c = value[order], c[order]
+                n = np.bincount(row, minlength=g.rows)
+                at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                need = (percent * n + 99) // 100
+                keep = (at < np.minimum(n - need + 1, n)[row]) & (c > 1)  # a shingle counted once stands in no other text
+                ids = b.column(0).slice(g.first_row, g.rows).take(pa.array(row[keep]))
+                yield pa.record_batch([ids, pa.array(n[row[keep]]), pa.array(at[keep]), pa.array(value[keep].view(np.int64))], names=["id", "n", "at", "token"])
+
+    return run
+
+
+def crowded_pairs(crowd: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every pair (a, b), a < b, of ``crowd`` (id, text) that may be linked and is not in one component of ``roots`` (node, root)."""
+    counts = np.zeros(BUCKETS, np.int32)
+    found = crowd.select("text").mapInArrow(_counted(words), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counts[np.asarray(found["bucket"])] = np.minimum(np.asarray(found["c"]), 2**31 - 1)
+    shared = crowd.sparkSession.sparkContext.broadcast(counts)
+    rows = crowd.select("id", "text").mapInArrow(_prefixes(words, percent, shared), "id long, n long, at long, token long")
+    rows = materialize(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "n", "at"), "prefixes")
+    # a token's largest component does not meet itself: its rows are only met by those of the others
+    by = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("roots"))
+    mixed = materialize(by.where("roots > 1").select("token", F.col("most.root").alias("main"), F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")), "mixed")
+    all_rows = rows.join(mixed, "token")
+    build = all_rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    probe = all_rows.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("token", "chunk", *[F.col(c).alias(f"_{c}") for c in ("root", "id", "n", "at")])
+    most = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))  # overlap from this token on
+    met = build.join(probe, ["token", "chunk"]).where(F.col("root") != F.col("_root"))
+    met = met.where((F.col("root") == F.col("main")) | (F.col("id") < F.col("_id"))).where(100 * most >= percent * (F.col("n") + F.col("_n") - most))
+    return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_shingles, component_id and kept (the row names its component).
 
     Texts with 100 * |intersection| >= ``percent`` * |union| are linked. Whole texts are read once for their
-    sets; those of candidates are read again to confirm.
+    sets; those of candidates and of crowded rows are read again to confirm.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_signed(words), "id long, n long, s1 long, s2 long, keys array<binary>"), "signed")
     same = ["s1", "s2", "n"]
     classes = materialize(signed.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
-    pairs = materialize(candidates(classes.select("id", "keys")), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    near, crowded = candidates(classes.select("id", "keys"))
+    pairs = materialize(near, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("crowded")).unionByName(crowded.withColumn("crowded", F.lit(True))).groupBy("id").agg(F.max("crowded").alias("crowded"))
     # ``wanted`` grows with the input, so it is never broadcast; a repeated id is confirmed on its smallest text
-    few = materialize(texts.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "wanted")
-    met = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    links = met.select("a", "b", "x", "y").mapInArrow(_confirmed(words, percent), "a long, b long")
-    roots = connected_components(links)
+    few = materialize(texts.join(wanted.hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("crowded").alias("crowded")), "wanted")
+
+    def confirmed(pairs):
+        met = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        return met.select("a", "b", "x", "y").mapInArrow(_confirmed(words, percent), "a long, b long")
+
+    roots = connected_components(confirmed(pairs))
+    more = materialize(crowded_pairs(few.where("crowded"), roots, words, percent), "more")
+    if not more.isEmpty():
+        more = materialize(confirmed(more), "more")
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.select(*same, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     out = signed.select("id", *same).join(named, same, "left")
     component = F.coalesce("component_id", "id")

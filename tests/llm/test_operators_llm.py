@@ -99,6 +99,20 @@ def test_minhash_against_brute_force(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_minhash_true_pairs_in_a_family_below_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    passage, rows = text(rng, 180, 5000).split(), []
+    for k in range(400):  # siblings are 0.82 alike, and every 20th has a near copy that is 0.88 like it
+        own = [f"own{k}n{i}" for i in range(20)]
+        rows.append((k, " ".join(passage + own)))
+        if k % 20 == 0:
+            rows.append((1000 + k, " ".join(passage + own[:-13] + [f"other{k}n{i}" for i in range(13)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 85).collect()}
+    want = brute_components(rows, 3, 85)
+    assert sum(i != c for i, (_, c) in want.items()) == 20
+    assert got == want
+
+
 def test_minhash_edges(spark, odd):
     got = minhash.near_duplicates(odd, 3, 85).collect()
     by = {r["doc_id"]: r for r in got}
