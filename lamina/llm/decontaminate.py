@@ -6,13 +6,16 @@ every document meets the benchmark's windows by hash; windows with too few liter
 hold placeholders, the values behind them are read from both texts: an item's value must stand for the
 same document value throughout (the most frequent one), and windows that break this do not count. A document
 contains an item if the matched windows are at least ``SHARE`` of the item's. So re-worded numbers or names of a
-question are caught, while a text that merely shares its form with inconsistent values is not.
+question are caught, while a text that merely shares its form with inconsistent values is not. A document that holds ``RUN`` words
+of an item with their own values at the same distance is reported too, however small a share of the item they are.
+
+Items without such a window (short ones, and those dense in numbers or names) are matched verbatim, values and signs included: as a whole if
+they have fewer than ``WINDOW`` words and signs, else by windows and ``SHARE``.
 
 The benchmark's windows are counted; up to ``BROADCAST_ROWS`` they are broadcast and no text is shuffled, beyond
 that the join is by shuffle. Only ids of matched documents and matched windows are ever grouped.
 
-Edge cases: null and empty texts and texts shorter than a window match nothing, items shorter than a window
-match nothing; repeated items are reported each; a repeated doc_id counts as one document; empty tables give an empty
+Edge cases: null and empty texts match nothing, nor do items of nothing but punctuation; repeated items are reported each; a repeated doc_id counts as one document; empty tables give an empty
 result; extra columns are not read.
 """
 
@@ -25,6 +28,8 @@ from .store import materialize
 
 #: Template words of a window, literal words it must have, share of an item's windows that makes a leak.
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
+#: Words copied with their values that make a leak whatever their share.
+RUN = 50
 #: Benchmark windows that may be broadcast (16 bytes each and their overhead: under 64 MB).
 BROADCAST_ROWS = 500_000
 NUMBER, NAME, UNIT = "", "", ""
@@ -36,6 +41,8 @@ _UNIT = rf"{NUMBER}([^\x20\x09-\x0D]*) ?({UNITS})([^\p{{L}}\p{{N}}]|$)"
 _SIGNS = rf"[^\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+"
 _SIGNS_BUT_VALUES = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
+_EACH_SIGN = r"(?!(?<=\p{N})[.,:/](?=\p{N}))([^\p{L}\p{M}\p{N}\x20\x09-\x0D])"
+_ENDS = r"""^[\x20\x09-\x0D.,;:!?"'()]+|[\x20\x09-\x0D.,;:!?"'()]+$"""
 
 
 def template(text: Column, values: bool = False) -> Column:
@@ -66,6 +73,27 @@ def benchmark_windows(items: DataFrame, n: int = WINDOW, literal: int = LITERAL,
     return x.withColumn("_slots", slots).where(n - F.col("_slots") >= literal).select("item_id", "at", F.xxhash64("window").alias("h"), (F.col("_slots") > 0).alias("slotted"))
 
 
+def verbatim(text: Column) -> Column:
+    """Lower-cased words, numbers and single signs of the text."""
+    return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _EACH_SIGN, " $1 "), _GAP, " ")), " ")
+
+
+def verbatim_windows(items: DataFrame, known: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, at, k, h): windows of up to ``n`` words and signs of the items that have none in ``known``."""
+    own = items.select(F.col(id_col).alias("item_id"), F.regexp_replace(text_col, _ENDS, "").alias("t")).where("t <> ''").join(known.select("item_id").distinct(), "item_id", "left_anti")
+    w = own.select("item_id", verbatim(F.col("t")).alias("w")).withColumn("k", F.least(F.size("w"), F.lit(n)))
+    return w.select("item_id", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("k"))))).alias("at", "h"))
+
+
+def verbatim_matches(docs: DataFrame, whole: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, pos, at): windows of documents that are those of ``whole``."""
+    lengths = sorted(r["k"] for r in whole.select("k").distinct().collect())
+    small = whole.count() <= BROADCAST_ROWS
+    words = docs.select(F.col(id_col).alias("doc_id"), verbatim(F.col(text_col)).alias("w"))
+    every = F.concat(*[F.coalesce(windows(F.col("w"), k), F.array().cast("array<bigint>")) for k in lengths])
+    return words.select("doc_id", F.posexplode(every).alias("pos", "h")).join(F.broadcast(whole) if small else whole, "h").select("doc_id", "item_id", "pos", "at")
+
+
 def matches(docs: DataFrame, known: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, item_id, at, slotted): windows of documents that are windows of items."""
     small = known.count() <= BROADCAST_ROWS
@@ -91,12 +119,20 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
     known = materialize(benchmark_windows(items, n, LITERAL, item_col, item_text), "benchmark")
     hits = materialize(matches(docs, known, n, id_col, text_col), "hits")
     slotted = hits.where("slotted")
-    plain = hits.where("not slotted").select("doc_id", "item_id", "at", F.lit(False).alias("changed"))
+    plain = hits.where("not slotted").select("doc_id", "item_id", "pos", "at", F.lit(False).alias("changed"))
     if not slotted.isEmpty():
-        plain = plain.unionByName(consistent(slotted.drop("slotted"), docs, items, n, id_col, text_col, item_col, item_text).select("doc_id", "item_id", "at", "changed"))
-    total = known.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
-    found = plain.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("matched"), F.max("changed").alias("changed")).join(total, "item_id")
-    return found.where(F.col("matched") >= share * F.col("windows")).select("doc_id", "item_id", "matched", "windows", "changed")
+        plain = plain.unionByName(consistent(slotted.drop("slotted"), docs, items, n, id_col, text_col, item_col, item_text).select("doc_id", "item_id", "pos", "at", "changed"))
+    every = known.select("item_id", "at")
+    whole = materialize(verbatim_windows(items, known, n, item_col, item_text), "whole")
+    if not whole.isEmpty():
+        plain = plain.unionByName(verbatim_matches(docs, whole, id_col, text_col).withColumn("changed", F.lit(False)))
+        every = every.unionByName(whole.select("item_id", "at"))
+    total = every.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
+    # windows of one distance between text and item, copied with their values
+    lines = materialize(plain.select("doc_id", "item_id", "at", "changed", (F.col("pos") - F.col("at")).alias("far")), "lines")
+    runs = lines.where("not changed").groupBy("doc_id", "item_id", "far").agg(F.countDistinct("at").alias("run")).where(F.col("run") > RUN - n).select("doc_id", "item_id").distinct().withColumn("run", F.lit(True))
+    found = lines.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("matched"), F.max("changed").alias("changed")).join(total, "item_id").join(runs, ["doc_id", "item_id"], "left")
+    return found.where((F.col("matched") >= share * F.col("windows")) | F.col("run")).select("doc_id", "item_id", "matched", "windows", "changed")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

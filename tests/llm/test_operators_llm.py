@@ -141,6 +141,16 @@ def test_decontamination_finds_copies_and_new_numbers(spark):
     assert decontaminate.leaks(docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_and_dense_items_and_long_runs(spark):
+    rng = np.random.default_rng(6)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(1000))
+    items = [(1, "What is 12 + 5?"), (2, "3 7 11 19 23 31 43 47 59 61 73 88"), (3, long), (4, "?!"), (5, "Name the red planet.")]
+    part = " ".join(long.split()[300:700])
+    rows = [(1, "They ask: what is 12 + 5? Nobody knows.", "a"), (2, "they ask what is 12 - 5, or 12 + 6", "a"), (3, "rows 3 7 11 19 23 31 43 47 59 61 73 88 end", "a"), (4, "rows 3 8 11 20 23 32 43 48 59 62 73 89 end", "a"), (5, "intro " + part, "a"), (6, " ".join(long.split()[300:320]), "a"), (7, "Please name the red planet, now!", "a"), (8, "name the blue planet", "a")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 5)}
+
+
 def test_inconsistent_values_do_not_count(spark):
     item = "there were 5 red birds on the wall and then all 5 red birds flew off to the 5 red trees by the lake near the mill"
     bad = "there were 5 red birds on the wall and then all 6 red birds flew off to the 7 red trees by the lake near the mill"
