@@ -1,16 +1,17 @@
 """Training-order materialisation of token ids (operator 1).
 
-Documents are tokenised, joined in scan order with an end token after each, and cut into sequences of a fixed
-number of tokens; only the last sequence of a scan partition is padded. Sequences are numbered from 0: a first
-pass counts tokens per partition, so a partition's first number is the total of those before it. A keyed
-Feistel network over the next even power of two permutes the numbers, walking along its cycles until it is
-back below the number of sequences; that gives every sequence its slot in training order. Slots are dealt in
-ranges to shards, and a shard file holds its slots in order at a fixed stride, so slot s lies at byte
-(s - first slot) * stride of shard s // slots_per_shard, and a run resumes by seeking.
-
-Both passes see the same rows in the same order: input whose plan has an exchange is written down first, and the
-second pass fails if a partition's token count differs from the first. Shards are written under a temporary name and renamed, so a
-task that is run again gives the same file.
+Documents are tokenised once, each followed by an end token, into a table of compressed chunks in the shared folder. Their
+tokens, in order of (file, place in the file, row), are one stream, cut into sequences of a fixed number of
+tokens; only the last sequence is padded. The stream does not depend on how a scan is split: running totals over the
+splits give each chunk its place. A keyed Feistel network over the next even power of two permutes the sequences' numbers, walking
+along its cycles until it is back below the number of sequences; that gives every sequence its slot in training
+order. Slots are dealt to partitions in ranges, a range is written as shard files of a fixed stride, so slot s
+lies at byte (s - first slot) * stride of shard s // slots_per_shard, and ``manifest.json`` beside them holds what a
+reader needs to resume by seeking.
+
+Rows that do not come from files keep their partition's order. Shards are written under a temporary name and renamed, so a
+task that is run again gives the same file. A task holds one chunk (``CHUNK`` bytes or one longer text), ``HELD`` bytes of pieces, or one range
+(``RANGE`` bytes); one row of three numbers for each split of the scan is broadcast.
 
 Edge cases: null and empty texts give their end token only; an empty table gives no shards; repeated documents are repeated
 in the order; null ids are kept in ``first_doc_id`` as null; other columns are not read.
@@ -19,15 +20,15 @@ in the order; null ids are kept in ``first_doc_id`` as null; other columns are n
 from __future__ import annotations
 
 import base64
-import math
+import json
 import re
 import zlib
 from array import array
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import fresh_dir, materialize
@@ -37,6 +38,8 @@ VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's cache of words' tokens (about 300 MB when full); it is emptied when full.
 CACHE = 1_800_000
+#: Bytes of tokens in a chunk, of pieces that a task holds, of a range of slots; level of compression of what is stored and shuffled.
+CHUNK, HELD, RANGE, LEVEL = 4 << 20, 64 << 20, 32 << 20, 3
 #: Signs that end a word as a piece of their own; an apostrophe may begin a contraction.
 SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -152,63 +155,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _counted(path: str):
+def _tokenised(path: str, end: int):
+    """Chunks of the token stream of each split: place in the split, documents' starts and ids, compressed tokens."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        t, total = Tokenizer.of(path), 0
+        part, t = TaskContext.get().partitionId(), Tokenizer.of(path)
+        width, stop, pack = t.dtype.itemsize, np.array([end], t.dtype).tobytes(), zstandard.ZstdCompressor(LEVEL)
+        where, split, at, held = None, -1, 0, bytearray()
+        starts: list[int] = []
+        ids: list = []
+
+        def chunk():
+            nonlocal at, held
+            n = len(held) // width
+            row = {"file": where[0], "block": where[1], "part": part, "split": split, "at": at, "n": n, "doc_at": starts[:], "doc_ids": ids[:], "tokens": pack.compress(held)}
+            at, held = at + n, bytearray()
+            starts.clear()
+            ids.clear()
+            return pa.RecordBatch.from_pylist([row], _CHUNKS)
+
         for b in batches:
-            total += sum(len(t(x or "")) for x in b.column(1).to_pylist()) // t.dtype.itemsize + b.num_rows
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([total])], names=["part", "tokens"])
+            for i, x, file, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (file, block) != where:
+                    if held:
+                        yield chunk()
+                    where, split, at = (file, block), split + 1, 0
+                starts.append(len(held) // width)
+                ids.append(i)
+                held += t(x or "")
+                held += stop
+                if len(held) >= CHUNK:
+                    yield chunk()
+        if held:
+            yield chunk()
 
     return run
 
 
-def _sequences(path: str, end: int, length: int, starts: dict, totals: dict, n: int, key: int):
+_CHUNKS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("split", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("doc_at", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("tokens", pa.binary())])
+_CHUNKS_DDL = "file string, block long, part int, split int, at long, n long, doc_at array<long>, doc_ids array<long>, tokens binary"
+_PIECES = pa.schema([("range", pa.int32()), ("slot", pa.list_(pa.int64())), ("seq", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("doc", pa.list_(pa.int64())), ("tokens", pa.binary())])
+_PIECES_DDL = "range int, slot array<long>, seq array<long>, at array<int>, n array<int>, doc array<long>, tokens binary"
+
+
+def _dealt(length: int, width: int, sequences: int, key: int, per_range: int):
+    """Pieces of sequences, packed by the range of slots they go to."""
+
     def run(batches):
-        from pyspark import TaskContext
+        pack, unpack = zstandard.ZstdCompressor(LEVEL), zstandard.ZstdDecompressor()
+        held: dict[int, list] = {}
+        size = 0
 
-        part, t = TaskContext.get().partitionId(), Tokenizer.of(path)
-        width, stop = t.dtype.itemsize, np.array([end], t.dtype).tobytes()
-        at, seen, held, first = starts.get(part, 0), 0, bytearray(), []
-        out: dict[str, list] = {"seq": [], "first_doc_id": [], "n_tokens": [], "tokens": []}
-
-        def flush(last=False):
-            nonlocal at, held, first
-            size = length * width
-            whole = len(held) // size * size
-            places = [p for p, _ in first]
-            for p in range(0, len(held) if last else whole, size):
-                piece = bytes(held[p : p + size])
-                out["seq"].append(at)
-                out["first_doc_id"].append(first[bisect_right(places, p) - 1][1])
-                out["n_tokens"].append(len(piece) // width)
-                out["tokens"].append(piece + stop * (length - len(piece) // width))
-                at += 1
-            if not last and whole:
-                now = bisect_right(places, whole) - 1
-                first = [(max(0, p - whole), d) for p, d in first[now:]]
-                held = held[whole:]
-            if not out["seq"]:
-                return None
-            slots = feistel(np.array(out["seq"], np.int64), n, key)
-            made = pa.record_batch([pa.array(slots), pa.array(out["seq"], pa.int64()), pa.array(out["first_doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int32()), pa.array(out["tokens"], pa.binary())], names=["slot", "seq", "first_doc_id", "n_tokens", "tokens"])
-            for v in out.values():
-                v.clear()
-            return made
+        def packed():
+            rows = [{"range": k, "slot": [p[0] for p in ps], "seq": [p[1] for p in ps], "at": [p[2] for p in ps], "n": [p[3] for p in ps], "doc": [p[4] for p in ps], "tokens": pack.compress(b"".join(p[5] for p in ps))} for k, ps in sorted(held.items())]
+            held.clear()
+            return pa.RecordBatch.from_pylist(rows, _PIECES)
 
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                first.append((len(held), i))
-                got = t(x or "") + stop
-                seen += len(got) // width
-                held += got
-                if len(held) > 1 << 21 and (made := flush()) is not None:
-                    yield made
-        if seen != totals.get(part, 0):
-            raise RuntimeError(f"partition {part} had {totals.get(part, 0)} tokens when they were counted, now {seen}")
-        if (made := flush(last=True)) is not None:
-            yield made
+            for start, n, doc_at, doc_ids, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = unpack.decompress(tokens, max_output_size=n * width)
+                seq = np.arange(start // length, (start + n - 1) // length + 1)
+                lo, hi = np.maximum(seq * length, start), np.minimum((seq + 1) * length, start + n)
+                slot, at = feistel(seq, sequences, key), lo - seq * length
+                doc = np.searchsorted(np.array(doc_at), lo - start, side="right") - 1
+                for s, q, a, x, y, d in zip(slot.tolist(), seq.tolist(), at.tolist(), (lo - start).tolist(), (hi - start).tolist(), doc.tolist(), strict=True):
+                    held.setdefault(s // per_range, []).append((s, q, a, y - x, doc_ids[d], data[x * width : y * width]))
+                size += len(data)
+                if size >= HELD:
+                    yield packed()
+                    size = 0
+        if held:
+            yield packed()
 
     return run
 
@@ -232,21 +251,45 @@ def write_atomically(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
-def _shards(uri: str, per_shard: int):
-    def run(key, table):
-        shard = key[0].as_py()
-        table = table.sort_by("slot")
-        slots = table.column("slot").to_numpy()
-        if len(slots) and (slots != np.arange(slots[0], slots[0] + len(slots))).any() or len(slots) and slots[0] != shard * per_shard:
-            raise RuntimeError(f"shard {shard} does not hold every slot of its range once")
-        pieces = table.column("tokens").to_pylist()
-        write_atomically(f"{uri}/shard-{shard:08d}.bin", b"".join(pieces))
-        stride = len(pieces[0])
-        return pa.table({"slot": table.column("slot"), "shard": pa.array([shard] * len(slots), pa.int64()), "offset": pa.array((slots - shard * per_shard) * stride), "stride": pa.array([stride] * len(slots), pa.int32()), "seq": table.column("seq"), "first_doc_id": table.column("first_doc_id"), "n_tokens": table.column("n_tokens"), "crc32": pa.array([zlib.crc32(p) for p in pieces], pa.int64())})
+def _written(uri: str, length: int, dtype: np.dtype, end: int, sequences: int, tokens: int, per_shard: int, per_range: int):
+    """Write the shards of the ranges that come and give their index."""
+
+    def run(batches):
+        unpack, ranges = zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            for k, slot, seq, at, n, doc, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                first, count = k * per_range, min(per_range, sequences - k * per_range)
+                if k not in ranges:
+                    ranges[k] = (np.full(count * length, end, dtype), np.zeros(count, np.int64), np.full(count, -1), [None] * count)
+                stream, filled, seqs, docs = ranges[k]
+                piece, p = np.frombuffer(unpack.decompress(data, max_output_size=sum(n) * dtype.itemsize), dtype), 0
+                for s, q, a, m, d in zip(slot, seq, at, n, doc, strict=True):
+                    stream[(s - first) * length + a : (s - first) * length + a + m] = piece[p : p + m]
+                    filled[s - first] += m
+                    seqs[s - first] = q
+                    if a == 0:
+                        docs[s - first] = d
+                    p += m
+        for k, (stream, filled, seqs, docs) in sorted(ranges.items()):
+            want = np.where(seqs == sequences - 1, tokens - (sequences - 1) * length, length)
+            if (seqs < 0).any() or (filled != want).any():
+                raise RuntimeError(f"range {k} does not hold every token of its slots once")
+            rows, stride = stream.reshape(-1, length), length * dtype.itemsize
+            for i in range(0, len(rows), per_shard):
+                shard = (k * per_range + i) // per_shard
+                part = rows[i : i + per_shard]
+                write_atomically(shard_name(uri, shard), part.tobytes())
+                m = len(part)
+                yield pa.record_batch([pa.array(np.arange(m) + k * per_range + i), pa.array([shard] * m, pa.int64()), pa.array(np.arange(m) * stride), pa.array([stride] * m, pa.int32()), pa.array(seqs[i : i + m]), pa.array(docs[i : i + m], pa.int64()), pa.array(filled[i : i + m].astype(np.int32)), pa.array([zlib.crc32(x.tobytes()) for x in part], pa.int64())], names=_INDEX_NAMES)
 
     return run
 
 
+def shard_name(uri: str, shard: int) -> str:
+    return f"{uri}/shard-{shard:08d}.bin"
+
+
+_INDEX_NAMES = ["slot", "shard", "offset", "stride", "seq", "first_doc_id", "n_tokens", "crc32"]
 INDEX = "slot long, shard long, offset long, stride int, seq long, first_doc_id long, n_tokens int, crc32 long"
 
 
@@ -256,37 +299,40 @@ def materialise_order(df: DataFrame, path: str | None = None, length: int = 1024
     The files are written while the index is computed. ``key`` fixes the order; ``length`` is in tokens.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col))
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = materialize(rows, "order")
-    counts = {r["part"]: r["tokens"] for r in rows.mapInArrow(_counted(vocabulary), "part long, tokens long").collect()}
-    starts, n = {}, 0
-    for part in sorted(counts):
-        starts[part] = n
-        n += math.ceil(counts[part] / length)
-    width = Tokenizer.of(vocabulary).dtype.itemsize
-    per_shard = max(1, shard_bytes // (length * width))
-    sequences = rows.mapInArrow(_sequences(vocabulary, end, length, starts, counts, n, key), "slot long, seq long, first_doc_id long, n_tokens int, tokens binary")
+    rows = df.select(F.col(id_col).cast("long"), F.col(text_col), F.input_file_name(), F.input_file_block_start())
+    chunks = materialize(rows.mapInArrow(_tokenised(vocabulary, end), _CHUNKS_DDL), "tokens", compression="none")
+    splits = chunks.groupBy("file", "block", "part", "split").agg(F.sum("n").alias("tokens"))
+    before = Window.orderBy("file", "block", "part", "split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("part", "split", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+    tokens = chunks.agg(F.sum("n")).first()[0] or 0
+    dtype = Tokenizer.of(vocabulary).dtype
+    stride, sequences = length * dtype.itemsize, -(-tokens // length)
+    per_shard = max(1, shard_bytes // stride)
+    per_range = per_shard * max(1, RANGE // (per_shard * stride))
     uri = path or fresh_dir(spark, "order")
     uri = uri if "://" in uri else f"file://{uri.removeprefix('file:')}"
-    return sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)).groupBy("shard").applyInArrow(_shards(uri, per_shard), INDEX)
+    manifest = {"sequences": sequences, "tokens": tokens, "length": length, "dtype": dtype.str, "stride": stride, "slots_per_shard": per_shard, "key": key, "end": end, "vocabulary": vocabulary.rsplit("/", 1)[-1]}
+    write_atomically(f"{uri}/manifest.json", json.dumps(manifest).encode())
+    placed = chunks.join(F.broadcast(starts), ["part", "split"]).select((F.col("before") + F.col("at")).alias("start"), "n", "doc_at", "doc_ids", "tokens")
+    pieces = placed.mapInArrow(_dealt(length, dtype.itemsize, sequences, key, per_range), _PIECES_DDL)
+    return pieces.repartitionById(max(1, -(-sequences // per_range)), F.col("range")).mapInArrow(_written(uri, length, dtype, end, sequences, tokens, per_shard, per_range), INDEX)
 
 
-def read_slots(uri: str, first: int, count: int, length: int, per_shard: int, dtype: str = "<u2") -> np.ndarray:
-    """Sequences of slots first .. first + count - 1, by seeking in the shard files."""
+def read_slots(uri: str, first: int, count: int) -> np.ndarray:
+    """Sequences of slots first .. first + count - 1, by seeking in the shard files that the manifest describes."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    stride, out = length * np.dtype(dtype).itemsize, []
+    with system.open_input_file(f"{path}/manifest.json") as f:
+        m = json.loads(f.read())
+    out, count = [], min(count, m["sequences"] - first)
     while count > 0:
-        shard, at = divmod(first, per_shard)
-        with system.open_input_file(f"{path}/shard-{shard:08d}.bin") as f:
-            got = f.read_at(min(count, per_shard - at) * stride, at * stride)
-        if not got:
-            break
-        out.append(np.frombuffer(got, dtype).reshape(-1, length))
+        shard, at = divmod(first, m["slots_per_shard"])
+        with system.open_input_file(shard_name(path, shard)) as f:
+            got = f.read_at(min(count, m["slots_per_shard"] - at) * m["stride"], at * m["stride"])
+        out.append(np.frombuffer(got, m["dtype"]).reshape(-1, m["length"]))
         first, count = first + len(out[-1]), count - len(out[-1])
-    return np.concatenate(out) if out else np.zeros((0, length), dtype)
+    return np.concatenate(out) if out else np.zeros((0, m["length"]), m["dtype"])
 
 
 def op1_order(spark, sf_dir: str) -> DataFrame:

@@ -24,14 +24,14 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lamina/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     It cuts the lineage without a second computation, survives the loss of any executor, and later
     passes read only the columns they use.
     """
     path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
