@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +45,21 @@ def test_topk_against_brute_force(spark, spread):
     assert {tuple(r) for r in got} == want
 
 
+def test_topk_of_repeated_ids_and_unit_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (400, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i % 130, [float(x) for x in r]) for i, r in enumerate(v)] + [(50, [float(x) for x in v[50]])] * 3  # three ids of four rows, and equal rows
+    got = Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0).collect())
+    q = [np.floor(256 * np.array(r)).astype(np.int64) for _, r in rows]
+    want = Counter()
+    for a, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            s = sorted((-int(q[a] @ q[b]), j) for b, (j, _) in enumerate(rows) if b != a)[:5]
+            want.update((i, k + 1, j, -x) for k, (x, j) in enumerate(s))
+    assert got == want
+
+
 def test_topk_exact_beyond_float(spark):
     rows = [(0, [2.0**22, 1.0]), (1, [2.0**22, 3.0]), (2, [2.0**45, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 2).collect()
