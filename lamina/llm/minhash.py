@@ -10,18 +10,21 @@ Candidates are confirmed on full sets, links are closed to components, and a com
 
 Rows of larger regions (``crowded``) are then joined exactly across the components found so far, by prefix filter: with shingles ordered
 by rarity, two linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles, at places that leave room for the
-overlap. So true links among many texts that share a passage are found, while a group of copies, one component by then, makes no pairs.
+overlap, and parity bitmaps of the sets differ in no more bits than the sets may differ in shingles. So true links among many texts that share a passage are found, while a group of copies, one component by then, makes no pairs.
 
 A pair at similarity s shares a prefix of ``DEPTH`` in a tree with probability s**3, and is then compared or in the exact join; over 12
 trees a pair at 0.85 is missed once in about 100,000, one at 0.8 once in about 5,000.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words
-than a shingle is one shingle; rows of a null id form classes but have no name of their own; rows of one id
-share their text's component; an empty table gives an empty result; extra columns are not read.
+than a shingle is one shingle; where an id is null or repeated with different texts, rows are told apart by a key of their own
+and a component is named by the smallest id of its rows (null if it has none); an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ from .textgrid import grids, mix
 TREES, LENGTH, DEPTH, SMALL = 12, 8, 3, 4
 #: Buckets that count shingles for their order by rarity (any order is exact); rows of a shingle that meet in one block.
 BUCKETS, CHUNK = 1 << 20, 1024
+#: Bits of a set's parity bitmap; each shingle that only one of two sets holds changes at most one of them.
+BITS = 512
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, TREES * LENGTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,8 +233,11 @@ def _counted(words: int):
     return run
 
 
+_PARITY = [f"p{i}" for i in range(BITS // 64)]
+
+
 def _prefixes(words: int, percent: int, counts):
-    """(id, n, at, token): each text's rarest shingles, of which two linked texts share one, and their places from 0."""
+    """(id, n, at, token, parity): each text's rarest shingles, of which two linked texts share one, and their places from 0."""
 
     def run(batches):
         often = counts.value
@@ -242,29 +250,32 @@ def _prefixes(words: int, percent: int, counts):
                 n = np.bincount(row, minlength=g.rows)
                 at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 need = (percent * n + 99) // 100
+                odd = np.bincount(row * BITS + (mix(value + np.uint64(BITS)) & np.uint64(BITS - 1)).astype(np.int64), minlength=g.rows * BITS) & 1
+                parity = np.packbits(odd.astype(np.uint8).reshape(g.rows, BITS), axis=1).view(np.int64)
                 keep = (at < np.minimum(n - need + 1, n)[row]) & (c > 1)  # a shingle counted once stands in no other text
                 ids = b.column(0).slice(g.first_row, g.rows).take(pa.array(row[keep]))
-                yield pa.record_batch([ids, pa.array(n[row[keep]]), pa.array(at[keep]), pa.array(value[keep].view(np.int64))], names=["id", "n", "at", "token"])
+                yield pa.record_batch([ids, pa.array(n[row[keep]]), pa.array(at[keep]), pa.array(value[keep].view(np.int64)), *map(pa.array, parity[row[keep]].T)], names=["id", "n", "at", "token", *_PARITY])
 
     return run
 
 
 def crowded_pairs(crowd: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
     """Every pair (a, b), a < b, of ``crowd`` (id, text) that may be linked and is not in one component of ``roots`` (node, root)."""
-    counts = np.zeros(BUCKETS, np.int32)
-    found = crowd.select("text").mapInArrow(_counted(words), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.ones(BUCKETS, np.int32)
+    found = crowd.select("text").mapInArrow(_counted(words), "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
     counts[np.asarray(found["bucket"])] = np.minimum(np.asarray(found["c"]), 2**31 - 1)
     shared = crowd.sparkSession.sparkContext.broadcast(counts)
-    rows = crowd.select("id", "text").mapInArrow(_prefixes(words, percent, shared), "id long, n long, at long, token long")
-    rows = materialize(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "n", "at"), "prefixes")
+    rows = crowd.select("id", "text").mapInArrow(_prefixes(words, percent, shared), "id long, n long, at long, token long, " + ", ".join(f"{c} long" for c in _PARITY))
+    rows = materialize(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "n", "at", *_PARITY), "prefixes")
     # a token's largest component does not meet itself: its rows are only met by those of the others
     by = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("roots"))
     mixed = materialize(by.where("roots > 1").select("token", F.col("most.root").alias("main"), F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")), "mixed")
     all_rows = rows.join(mixed, "token")
     build = all_rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    probe = all_rows.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("token", "chunk", *[F.col(c).alias(f"_{c}") for c in ("root", "id", "n", "at")])
+    probe = all_rows.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("token", "chunk", *[F.col(c).alias(f"_{c}") for c in ("root", "id", "n", "at", *_PARITY)])
     most = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))  # overlap from this token on
-    met = build.join(probe, ["token", "chunk"]).where(F.col("root") != F.col("_root"))
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in _PARITY])
+    met = build.join(probe, ["token", "chunk"]).where(F.col("root") != F.col("_root")).where(differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("_n")))
     met = met.where((F.col("root") == F.col("main")) | (F.col("id") < F.col("_id"))).where(100 * most >= percent * (F.col("n") + F.col("_n") - most))
     return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
@@ -278,11 +289,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_signed(words), "id long, n long, s1 long, s2 long, keys array<binary>"), "signed")
     same = ["s1", "s2", "n"]
-    classes = materialize(signed.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
+    if not signed.groupBy("id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("id is null or x <> y").isEmpty():
+        return _by_row(texts, words, percent, id_col)
+    classes = materialize(signed.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "classes")
     near, crowded = candidates(classes.select("id", "keys"))
     pairs = materialize(near, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("crowded")).unionByName(crowded.withColumn("crowded", F.lit(True))).groupBy("id").agg(F.max("crowded").alias("crowded"))
-    # ``wanted`` grows with the input, so it is never broadcast; a repeated id is confirmed on its smallest text
+    # ``wanted`` grows with the input, so it is never broadcast; rows of one id have one text here
     few = materialize(texts.join(wanted.hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("crowded").alias("crowded")), "wanted")
 
     def confirmed(pairs):
@@ -301,6 +314,27 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def _by_row(texts: DataFrame, words: int, percent: int, id_col: str) -> DataFrame:
+    """``near_duplicates`` of (id, text) whose ids do not tell texts apart."""
+    rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, words, percent, "row", "text").select("row", "n_shingles", F.col("component_id").alias("root"))
+    found = rows.select("row", "id").join(found, "row")
+    names = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    return found.join(names, "root").select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of the smallest id."""
+    if docs.groupBy(id_col).count().where(f"count > 1 or {id_col} is null").isEmpty():
+        gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(id_col)
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # ids do not tell rows apart: rows in order of their id get a key
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, words, percent, "_row", text_col)
+    best = rows.select("_row", F.col(id_col).alias("_own")).join(found.select("_row", "component_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull(), "_own", "_row")).alias("m"))
+    return rows.join(best.select(F.col("m._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85)

@@ -129,6 +129,19 @@ def test_minhash_true_pairs_in_a_family_below_the_threshold(spark):
     assert got == want
 
 
+def test_minhash_of_ids_that_do_not_tell_texts_apart(spark):
+    rng = np.random.default_rng(12)
+    a, b, c = (text(rng, 80, 5000) for _ in range(3))
+    rows = [(7, a), (7, b), (3, b + " end"), (9, a + " end"), (None, c), (None, c + " end"), (7, a), (12, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df, 3, 85).collect())
+    assert got == [(False, 3, 79, 3, True), (False, 7, 78, 3, False), (False, 7, 78, 7, True), (False, 7, 78, 7, True), (False, 9, 79, 7, False), (False, 12, 0, 12, True), (True, 0, 78, 0, False), (True, 0, 79, 0, False)]
+    left = [(r["doc_id"], r["text"][:9]) for r in minhash.deduplicated(df, 3, 85).collect()]
+    assert Counter(left)[7, a[:9]] == 1
+    assert {x for x, _ in left} == {3, 7, None, 12}
+    assert len(left) == 4
+
+
 def test_minhash_edges(spark, odd):
     got = minhash.near_duplicates(odd, 3, 85).collect()
     by = {r["doc_id"]: r for r in got}
