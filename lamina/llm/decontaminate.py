@@ -1,9 +1,9 @@
 r"""Benchmark decontamination by templates (operator 3), with DataFrame functions only.
 
-Texts become templates: names (capitalised words after a lower-case word), numbers and the units behind them turn into
+Texts become templates: names (capitalised words that are not in a list of common first words, wherever they stand), numbers and the units behind them turn into
 typed placeholders, letters are lower-cased and signs dropped. Every window of ``WINDOW`` template words of
 every document meets the benchmark's windows by hash; windows with too few literal words are left out. Where windows
-hold placeholders, the values behind them are read from both texts: an item's value must stand for the
+hold placeholders, the values behind them are read from both texts: within a copy (windows of one distance between text and item) an item's value must stand for the
 same document value throughout (the most frequent one), and windows that break this do not count. A document
 contains an item if the matched windows are at least ``SHARE`` of the item's. So re-worded numbers or names of a
 question are caught, while a text that merely shares its form with inconsistent values is not. A document that holds ``RUN`` words
@@ -15,7 +15,7 @@ they have fewer than ``WINDOW`` words and signs, else by windows and ``SHARE``.
 The benchmark's windows are counted; up to ``BROADCAST_ROWS`` they are broadcast and no text is shuffled, beyond
 that the join is by shuffle. Only ids of matched documents and matched windows are ever grouped.
 
-Edge cases: null and empty texts match nothing, nor do items of nothing but punctuation; repeated items are reported each; a repeated doc_id counts as one document; empty tables give an empty
+Edge cases: private signs that serve as placeholders are taken out of texts first; null and empty texts match nothing, nor do items of nothing but punctuation; repeated items are reported each; a repeated doc_id counts as one document; empty tables give an empty
 result; extra columns are not read.
 """
 
@@ -35,7 +35,14 @@ BROADCAST_ROWS = 500_000
 NUMBER, NAME, UNIT = "", "", ""
 #: Units that are recognised behind a number.
 UNITS = "km|cm|mm|m|miles|mile|feet|foot|ft|inches|inch|kg|g|mg|lbs|pounds|pound|tons|ton|l|ml|litres|liters|gallons|hours|hour|hrs|minutes|minute|min|seconds|second|s|days|day|weeks|week|months|years|year|dollars|euros|usd|eur|cents|percent|degrees|kmh|mph|kwh|watts|volts"
-_NAME = r"([\p{Ll},;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+_LETTERS = r"[\p{L}\p{M}'’-]"
+#: A word with a capital at its start and a small letter.
+_CAPITAL = rf"(^|[^\p{{L}}\p{{M}}\p{{N}}'’-])(\p{{Lu}}{_LETTERS}*\p{{Ll}}{_LETTERS}*)"
+#: Common first words of sentences, which are no names.
+COMMON = "A About After All Also Although An And Another Any Are As At Because Before Between Both But By Calculate Can Choose Compute Consider Could Describe Determine Did Do Does During Each Either Every Explain Few Find First For From Given Had Has Have He Her Here His How However If In Into Is It Its Last Later Let List Many More Most Much My Name Next No Not Now Of Often On Once One Only Or Other Our Out Over Please Prove Select She Should Show Since So Solve Some Such Suppose Than That The Their Then There These They This Those Three Through To Two Under Until Up Was We Were What When Where Which While Who Whose Why Will With Within Without Would Write You Your"
+_COMMON = rf"{NAME}({COMMON.replace(' ', '|')})([^\p{{L}}\p{{M}}'’-]|$)"
+_NAMES = rf"{NAME}{_LETTERS}+(?: {NAME}{_LETTERS}+){{0,63}}"
+_OWN = f"[{NUMBER}{NAME}{UNIT}]"
 _NUMBER = r"(\p{N}+(?:[.,:/]\p{N}+)*)"
 _UNIT = rf"{NUMBER}([^\x20\x09-\x0D]*) ?({UNITS})([^\p{{L}}\p{{N}}]|$)"
 _SIGNS = rf"[^\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}\x20\x09-\x0D]+"
@@ -48,11 +55,14 @@ _ENDS = r"""^[\x20\x09-\x0D.,;:!?"'()]+|[\x20\x09-\x0D.,;:!?"'()]+$"""
 def template(text: Column, values: bool = False) -> Column:
     """Words of the text's template; with ``values``, placeholders are followed by what they stand for."""
     put = (lambda mark, group: f"{mark}${group}") if values else (lambda mark, group: mark)
-    # inside a value, spaces of a name are joined so that both forms have equally many words
-    t = F.regexp_replace(text, _NAME, f"$1{put(NAME, 2)}")
+    t = F.regexp_replace(F.regexp_replace(text, _OWN, ""), _CAPITAL, f"$1{NAME}$2")
+    t = F.regexp_replace(t, _COMMON, "$1$2")
     if values:
-        for _ in range(4):
-            t = F.regexp_replace(t, rf"({NAME}\p{{L}}+) (\p{{Lu}}\p{{Ll}}+)", "$1$2")
+        # names in a row are one value; six rounds join 64 of them, as many as a placeholder stands for
+        for _ in range(6):
+            t = F.regexp_replace(t, rf"({NAME}{_LETTERS}+) {NAME}", "$1")
+    else:
+        t = F.regexp_replace(t, _NAMES, NAME)
     t = F.regexp_replace(F.lower(t), _NUMBER, put(NUMBER, 1))
     t = F.regexp_replace(t, _UNIT, f"{NUMBER}$1 {put(UNIT, 2)}$3")
     t = F.regexp_replace(t, _SIGNS_BUT_VALUES if values else _SIGNS, "")
@@ -102,16 +112,20 @@ def matches(docs: DataFrame, known: DataFrame, n: int = WINDOW, id_col: str = "d
 
 
 def consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The slotted ``hits`` whose values agree with the pair's most frequent reading of each item value."""
+    """The slotted ``hits`` whose values agree with their copy's most frequent reading of each item value; a copy is the hits of one distance."""
     words = lambda df, key, text, out: df.select(F.col(key).alias(out), template(F.col(text), values=True).alias(f"_{out}"))
     few = docs.join(hits.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
     x = hits.join(words(few, id_col, text_col, "doc_id").dropDuplicates(["doc_id"]), "doc_id").join(words(items, item_col, item_text, "item_id").dropDuplicates(["item_id"]), "item_id")
     mine, theirs = F.slice("_doc_id", F.col("pos") + 1, F.lit(n)), F.slice("_item_id", F.col("at") + 1, F.lit(n))
     pairs = F.filter(F.arrays_zip(theirs.alias("t"), mine.alias("m")), lambda p: F.substring(p["t"], 1, 1).isin(NUMBER, NAME, UNIT))
-    s = x.select("doc_id", "item_id", "pos", "at", F.explode(pairs).alias("p")).select("doc_id", "item_id", "pos", "at", F.col("p.t").alias("t"), F.col("p.m").alias("m"))
-    most = s.groupBy("doc_id", "item_id", "t", "m").agg(F.countDistinct("at").alias("c")).groupBy("doc_id", "item_id", "t").agg(F.max_by("m", F.struct("c", "m")).alias("m"))
-    good = s.join(most.withColumnRenamed("m", "_m"), ["doc_id", "item_id", "t"])
-    return good.groupBy("doc_id", "item_id", "pos", "at").agg(F.min(F.col("m") == F.col("_m")).alias("ok"), F.max(F.col("m") != F.col("t")).alias("changed")).where("ok").drop("ok")
+    copy = ["doc_id", "item_id", "far"]
+    s = x.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("far"), "at", F.explode(pairs).alias("p")).select(*copy, "at", F.col("p.t").alias("t"), F.col("p.m").alias("m"))
+    most = s.groupBy(*copy, "t", "m").agg(F.countDistinct("at").alias("c")).groupBy(*copy, "t").agg(F.max_by("m", F.struct("c", "m")).alias("m"))
+    good = s.join(most.withColumnRenamed("m", "_m"), [*copy, "t"])
+    # a name beside the copy may have joined its first or last one
+    kept = F.col("m").startswith(F.col("t")) | F.col("m").endswith(F.substring("t", 2, 2**30))
+    same = good.groupBy(*copy, "at").agg(F.min(F.col("m") == F.col("_m")).alias("ok"), F.max(~kept).alias("changed")).where("ok")
+    return same.select("doc_id", "item_id", (F.col("far") + F.col("at")).alias("pos"), "at", "changed")
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -143,8 +157,8 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same by strings; windows with placeholders are matched without the consistency of their values, which they keep in the test tables."""
     t = "{x}"
-    for pattern, to in ((_NAME, rf"\1{NAME}"), (None, None), (_NUMBER, NUMBER), (_UNIT, rf"{NUMBER}\1 {UNIT}\3"), (_SIGNS, ""), (_GAP, " ")):
-        t = f"lower({t})" if pattern is None else "regexp_replace(" + t + ", '" + pattern + "', '" + to + "', 'g')"
+    for pattern, to in ((_OWN, ""), (_CAPITAL, rf"\1{NAME}\2"), (_COMMON, r"\1\2"), (_NAMES, NAME), (None, None), (_NUMBER, NUMBER), (_UNIT, rf"{NUMBER}\1 {UNIT}\3"), (_SIGNS, ""), (_GAP, " ")):
+        t = f"lower({t})" if pattern is None else "regexp_replace(" + t + ", '" + pattern.replace("'", "''") + "', '" + to + "', 'g')"
     words = "string_split(trim(" + t + "), ' ')"
     def grams(name, table, key):
         return f"""{name}w as (select {key}, {words.replace("{x}", "text")} as w from {table} where text is not null),

@@ -187,6 +187,20 @@ def test_inconsistent_values_do_not_count(spark):
     assert got[2] < got[1]
 
 
+def test_decontamination_of_names_that_open_sentences_and_of_several_copies(spark):
+    item = "Tom has 5 apples in a small basket near the door. Tom gives 2 of the apples to his friend Mary-Ann at school. O'Brien then asks how many apples are left in the basket."
+    one = item.replace("Tom", "Anna").replace("Mary-Ann", "Jean-Luc").replace("O'Brien", "McDonald").replace("5", "7")
+    two = item.replace("Tom", "Karl").replace("Mary-Ann", "Lisa").replace("O'Brien", "Smith").replace("5", "9").replace("2", "4")
+    mixed = item.replace("Tom", "Anna", 1)
+    rows = [(1, one, "a"), (2, f'He said: "{one}" And then: {two}', "a"), (3, one.replace("Anna", "\ue001Anna"), "a"), (4, mixed, "a"), (5, "Tom has nothing. Nobody gives apples.", "a")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["changed"], r["matched"], r["windows"]) for r in decontaminate.leaks(docs(spark, rows), items).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert all(got[i][0] for i in (1, 2, 3))
+    assert all(got[i][1] == got[i][2] for i in (1, 2, 3))
+    assert got[4][1] < got[4][2]
+
+
 # --- 4
 
 
