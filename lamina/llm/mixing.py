@@ -1,6 +1,6 @@
 r"""Mixing sources to target weights by weighted fair queueing (operator 7), with DataFrame functions only.
 
-Documents of a source are shuffled by a keyed hash and queue up once per epoch. A copy's virtual finish time is
+Documents of a source are shuffled by a keyed hash of id and text and queue up once per epoch. A copy's virtual finish time is
 the source's words so far, this copy included, divided by the source's target. All copies are put in order of
 finish time and the order is cut where its running total would pass the budget. Every source has taken its
 target at time 1, so each source's words differ from its target by about one document.
@@ -9,9 +9,9 @@ Running totals are distributed: sums per (source, hash range) give each range it
 one range are ordered together, so a source with a third of all rows is worked on by many tasks.
 
 Edge cases: null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
-after all others; identical ids tie and are ordered arbitrarily among themselves, which changes no total of
-equal rows; a source of size 0 has target 0; an empty table gives an empty result. Columns named like the
-added ones are replaced; all other columns pass through.
+after all others; rows of null or repeated ids are told apart by their texts and other plain columns, and rows equal in all of them
+change places without effect; a source of size 0 has target 0; an empty table gives an empty result. Columns named like the
+added ones are replaced; all other columns pass through (helper columns begin with ``_mix_``).
 """
 
 from __future__ import annotations
@@ -31,22 +31,22 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """Targets per source (columns _src, source_size, target) from per-source sizes.
+    """Targets per source (columns _mix_src, source_size, target) from per-source sizes.
 
     The total ``share`` * all sizes is dealt by weight; a source stops at ``repeats`` * its size and the rest is
     dealt again among the others until none is above. Sorted by limit per weight, the sources that stop are a
     prefix, so the level at which the dealing settles is the first one that the next source's limit reaches.
     """
-    order = F.row_number().over(Window.orderBy("_src")) - 1
+    order = F.row_number().over(Window.orderBy("_mix_src")) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(order, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    s = sizes.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * repeats)
-    s = s.withColumn("_r", F.col("_cap").cast("double") / F.col("_w"))
-    before = Window.orderBy("_r", "_src").rowsBetween(Window.unboundedPreceding, -1)
+    s = sizes.withColumn("_mix_w", weight).withColumn("_mix_cap", F.col("source_size") * repeats)
+    s = s.withColumn("_mix_r", F.col("_mix_cap").cast("double") / F.col("_mix_w"))
+    before = Window.orderBy("_mix_r", "_mix_src").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(1))
-    level = (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    s = s.withColumn("_level", level)
-    settled = F.min(F.when(F.col("_level") <= F.col("_r"), F.struct("_r", "_src", "_level"))).over(every)["_level"]
-    return s.select("_src", "source_size", F.coalesce(F.least(F.col("_cap").cast("double"), settled * F.col("_w")), F.col("_cap").cast("double")).alias("target"))
+    level = (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("_mix_cap").over(before), F.lit(0))) / (F.sum("_mix_w").over(every) - F.coalesce(F.sum("_mix_w").over(before), F.lit(0)))
+    s = s.withColumn("_mix_level", level)
+    settled = F.min(F.when(F.col("_mix_level") <= F.col("_mix_r"), F.struct("_mix_r", "_mix_src", "_mix_level"))).over(every)["_mix_level"]
+    return s.select("_mix_src", "source_size", F.coalesce(F.least(F.col("_mix_cap").cast("double"), settled * F.col("_mix_w")), F.col("_mix_cap").cast("double")).alias("target"))
 
 
 def schedule(df: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -57,27 +57,29 @@ def schedule(df: DataFrame, size: Column | None = None, weights: tuple[int, ...]
     size = word_count(F.col(text_col)) if size is None else size
     src = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     df = df.drop("size", "source_size", "target", "copies", "finish")
-    keyed = df.withColumn("size", size).withColumn("_src", src).withColumn("_h", order_key(F.col(id_col), seed=seed)).withColumn("_id", F.col(id_col))
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    text = [F.md5(F.col(text_col))] if text_col in df.columns else []
+    keyed = df.withColumn("size", size).withColumn("_mix_src", src).withColumn("_mix_h", order_key(F.col(id_col), *text, seed=seed)).withColumn("_mix_x", F.xxhash64(*plain))
     narrow = set(df.columns) <= {id_col, source_col, text_col}
-    slim = materialize(keyed.select(*([id_col, source_col] if narrow else []), "_src", "_h", "_id", "size"), "mix")
+    slim = materialize(keyed.select(*([id_col, source_col] if narrow else []), "_mix_src", "_mix_h", "_mix_x", "size"), "mix")
     n = bucket_count(slim.count())
 
     def timed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_b", bucket_of(F.col("_h"), n))
-        w = Window.partitionBy("_src", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.join(starts, ["_src", "_b"]).withColumn("_cum", F.col("before") + F.sum("size").over(w)).drop("before", "_b")
+        rows = rows.withColumn("_mix_b", bucket_of(F.col("_mix_h"), n))
+        w = Window.partitionBy("_mix_src", "_mix_b").orderBy("_mix_h", "_mix_x").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.join(starts, ["_mix_src", "_mix_b"]).withColumn("_mix_cum", F.col("before") + F.sum("size").over(w)).drop("before", "_mix_b")
 
-    targets = source_targets(slim.groupBy("_src").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    starts = bucket_offsets(slim.withColumn("_b", bucket_of(F.col("_h"), n)), ["_src"], "_b", F.col("size")).join(targets, "_src")
-    finish = [(F.col("_cum") + F.lit(e) * F.col("source_size")) / F.col("target") for e in range(repeats)]
+    targets = source_targets(slim.groupBy("_mix_src").agg(F.sum("size").alias("source_size")), weights, share, repeats)
+    starts = bucket_offsets(slim.withColumn("_mix_b", bucket_of(F.col("_mix_h"), n)), ["_mix_src"], "_mix_b", F.col("size")).join(targets, "_mix_src")
+    finish = [(F.col("_mix_cum") + F.lit(e) * F.col("source_size")) / F.col("target") for e in range(repeats)]
     out = timed(keyed)
-    slow = timed(slim).where("size > 0 and target > 0").select("size", "_src", "_h", "_id", F.posexplode(F.array(*finish)).alias("_epoch", "_finish"))
+    slow = timed(slim).where("size > 0 and target > 0").select("size", "_mix_src", "_mix_h", "_mix_x", F.posexplode(F.array(*finish)).alias("_mix_epoch", "_mix_finish"))
     cut = cut_off(materialize(slow, "mix"), n, share)
     if cut is None:
         taken = F.lit(0)
     else:
-        upto = F.struct(*[F.lit(cut[c]).cast(t).alias(c) for c, t in (("_finish", "double"), ("_src", "string"), ("_epoch", "int"), ("_h", "long"), ("_id", dict(keyed.dtypes)["_id"]))])
-        reach = [F.struct(f.alias("_finish"), F.col("_src"), F.lit(e).alias("_epoch"), F.col("_h"), F.col("_id")) <= upto for e, f in enumerate(finish)]
+        upto = F.struct(*[F.lit(cut[c]).cast(t).alias(c) for c, t in (("_mix_finish", "double"), ("_mix_src", "string"), ("_mix_epoch", "int"), ("_mix_h", "long"), ("_mix_x", "long"))])
+        reach = [F.struct(f.alias("_mix_finish"), F.col("_mix_src"), F.lit(e).alias("_mix_epoch"), F.col("_mix_h"), F.col("_mix_x")) <= upto for e, f in enumerate(finish)]
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((x.cast("int") for x in reach), F.lit(0))).otherwise(0)
     out = out.withColumn("copies", taken).withColumn("finish", F.slice(F.array(*[F.when(F.col("target") > 0, f) for f in finish]), F.lit(1), F.col("copies")))
     return out.select(*df.columns, "size", "source_size", "target", "copies", "finish") if not narrow else out.select(*[c for c in df.columns if c in out.columns], "size", "source_size", "target", "copies", "finish")
@@ -88,22 +90,22 @@ def cut_off(copies: DataFrame, buckets: int, share: float):
 
     A histogram over finish times finds the range in which the total passes the budget; only that range is sorted.
     """
-    budget = copies.where("_epoch = 0").agg(F.sum("size")).first()[0]
+    budget = copies.where("_mix_epoch = 0").agg(F.sum("size")).first()[0]
     if not budget:
         return None
     budget = share * budget
     # finish times up to 2 get ranges of their own; the cut is near 1
-    b = F.least(F.floor(F.col("_finish") * buckets), F.lit(2 * buckets)).cast("long")
-    sums = copies.groupBy(b.alias("_fb")).agg(F.sum("size").alias("_s"))
-    upto = sums.select("_fb", F.sum("_s").over(Window.orderBy("_fb")).alias("_upto"), "_s")
-    at = upto.where(F.col("_upto") > budget).orderBy("_fb").first()
+    b = F.least(F.floor(F.col("_mix_finish") * buckets), F.lit(2 * buckets)).cast("long")
+    sums = copies.groupBy(b.alias("_mix_fb")).agg(F.sum("size").alias("_mix_s"))
+    upto = sums.select("_mix_fb", F.sum("_mix_s").over(Window.orderBy("_mix_fb")).alias("_mix_upto"), "_mix_s")
+    at = upto.where(F.col("_mix_upto") > budget).orderBy("_mix_fb").first()
     if at is None:  # everything fits
-        return copies.select(F.max(F.struct("_finish", "_src", "_epoch", "_h", "_id")).alias("m")).first()["m"]
-    order = Window.orderBy("_finish", "_src", "_epoch", "_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = copies.where(b == at["_fb"]).withColumn("_run", F.lit(at["_upto"] - at["_s"]) + F.sum("size").over(order))
-    key = F.struct("_finish", "_src", "_epoch", "_h", "_id")
-    last = inside.where(F.col("_run") <= budget).select(F.max(key).alias("m")).first()["m"]
-    return last or copies.where(b < at["_fb"]).select(F.max(key).alias("m")).first()["m"]
+        return copies.select(F.max(F.struct("_mix_finish", "_mix_src", "_mix_epoch", "_mix_h", "_mix_x")).alias("m")).first()["m"]
+    order = Window.orderBy("_mix_finish", "_mix_src", "_mix_epoch", "_mix_h", "_mix_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = copies.where(b == at["_mix_fb"]).withColumn("_mix_run", F.lit(at["_mix_upto"] - at["_mix_s"]) + F.sum("size").over(order))
+    key = F.struct("_mix_finish", "_mix_src", "_mix_epoch", "_mix_h", "_mix_x")
+    last = inside.where(F.col("_mix_run") <= budget).select(F.max(key).alias("m")).first()["m"]
+    return last or copies.where(b < at["_mix_fb"]).select(F.max(key).alias("m")).first()["m"]
 
 
 def mix(df: DataFrame, partitions: int | None = None, **options) -> DataFrame:
@@ -122,7 +124,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = rf"""
 with d as (
   select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-         case when source is null then '1' else '0' || source end as src, {order_key_sql("doc_id", "mix")} as h
+         case when source is null then '1' else '0' || source end as src, {order_key_sql("doc_id", "md5(text)", seed="mix")} as h
   from documents),
 s as (select src, cast(sum(size) as bigint) as source_size, cast(sum(size) * 2 as bigint) as cap,
              [3, 1, 2][cast((row_number() over (order by src) - 1) % 3 + 1 as int)] as w from d group by src),

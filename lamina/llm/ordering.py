@@ -17,9 +17,10 @@ def order_key(*cols: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def order_key_sql(col: str, seed: str = "") -> str:
-    """``order_key`` of one column, for DuckDB."""
-    return f"cast('0x' || substr(md5('{seed}|' || coalesce(cast({col} as varchar), '')), 1, {KEY_BITS // 4}) as bigint)"
+def order_key_sql(*cols: str, seed: str = "") -> str:
+    """``order_key``, for DuckDB."""
+    text = "".join(f" || '|' || coalesce(cast({c} as varchar), '')" for c in cols)
+    return f"cast('0x' || substr(md5('{seed}'{text}), 1, {KEY_BITS // 4}) as bigint)"
 
 
 def bucket_count(rows: int, least: int = 256) -> int:
