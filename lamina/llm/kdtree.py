@@ -1,13 +1,13 @@
 """Sharding by a k-d tree over document metadata (operator 8), with DataFrame functions.
 
 A node that holds more than one shard is split along its widest metadata dimension (its range over the whole
-table's range) at the weighted median: the first row, in order of (dimension, hash, id), with which the
+table's range) at the weighted median: the first row, in order of (dimension, hash, row key), with which the
 running bytes reach the left side's share. Medians of all nodes of a level are found together: histograms
-of 1024 bins narrow each node's interval until few rows are left, and only those are sorted. Ties of the
-dimension are narrowed further by the hash, so a value that a third of all rows share is split like any other.
+of up to 1024 bins narrow each node's interval until few rows are left, and only those are sorted. Ties of the
+dimension are narrowed further by the hash, ties of the hash (repeated ids) by the row key, so a value that a third of all rows share is split like any other.
 
-The driver holds the tree only: a few numbers a node, as many nodes as shards. Null metadata counts as -1, null
-texts have size 1; rows that agree in dimension, hash and id stay together; an empty table gives an empty result.
+The driver holds the tree, a few numbers a node and as many nodes as shards, and ``CELLS`` bins of a level at most. Null metadata counts as -1, null
+texts have size 1; rows of a null id are hashed by their row key; an empty table gives an empty result; dimensions are renamed, so any name serves.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from .ordering import bucket_count, bucket_of, bucket_offsets, order_key, order_key_sql
 from .store import materialize
 
-BINS, SORTED_ROWS = 1024, 4096
+#: Bins of a node's histogram, bins of all nodes of a level (16 a node at least), rows that are sorted at once.
+BINS, CELLS, SORTED_ROWS = 1024, 1 << 20, 4096
+#: Sort key of rows in a node.
+KEY = ("v", "h", "r")
 
 
 def text_bytes(text: Column) -> Column:
@@ -38,49 +41,50 @@ def _pick(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def split_points(slim: DataFrame, nodes: dict[int, dict]) -> dict[int, tuple]:
-    """Per node the (value, hash, id) of its weighted median; ``nodes`` maps node to dim and need (bytes on the left). ``slim`` has node, size, h, id and the dimensions."""
+    """Per node the key of its weighted median; ``nodes`` maps node to dim, its range and need (bytes on the left). ``slim`` has node, size, h, r and the dimensions."""
     dims = sorted({x["dim"] for x in nodes.values()})
     val = F.coalesce(*[F.when(F.col("_dim") == d, F.col(d)) for d in dims])
-    rows = materialize(_pick(slim, [(n, x["dim"]) for n, x in nodes.items()], "node long, _dim string").select("node", "size", "h", "id", val.alias("v")), "split")
-    open_ = {n: {"lo": x["lo"], "hi": x["hi"], "hlo": 0, "hhi": 2**52, "by_h": x["lo"] == x["hi"], "before": 0, "need": x["need"], "n": x["n"]} for n, x in nodes.items()}
+    rows = materialize(_pick(slim, [(n, x["dim"]) for n, x in nodes.items()], "node long, _dim string").select("node", "size", "h", "r", val.alias("v")), "split")
+    open_ = {n: {"box": [(x["lo"], x["hi"]), (0, 2**52), (0, 2**62)], "level": int(x["lo"] == x["hi"]), "before": 0, "need": x["need"], "n": x["n"]} for n, x in nodes.items()}
     ready: dict[int, dict] = {}
     while True:
-        for n in [n for n, x in open_.items() if x["n"] <= SORTED_ROWS or (x["by_h"] and x["hlo"] == x["hhi"])]:
+        for n in [n for n, o in open_.items() if o["n"] <= SORTED_ROWS or (o["level"] == 2 and o["box"][2][0] == o["box"][2][1])]:
             ready[n] = open_.pop(n)
         if not open_:
             break
-        x = F.when(F.col("_by_h"), F.col("h").cast("double")).otherwise(F.col("v"))
-        lo, hi = (F.when(F.col("_by_h"), F.col(a).cast("double")).otherwise(F.col(b)) for a, b in (("_hlo", "_lo"), ("_hhi", "_hi")))
-        inside = _inside(rows, open_)
-        bin_ = F.least(F.lit(BINS - 1), F.floor((x - lo) / (hi - lo) * BINS)).cast("int")
-        got = inside.groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("h").alias("hlo"), F.max("h").alias("hhi")).collect()
+        bins = max(16, min(BINS, CELLS // len(open_)))
+        at = lambda *cols: F.element_at(F.array(*[F.col(c).cast("double") for c in cols]), F.col("_level") + 1)
+        lo, hi = at("_lo0", "_lo1", "_lo2"), at("_hi0", "_hi1", "_hi2")
+        bin_ = F.least(F.lit(bins - 1), F.floor((at(*KEY) - lo) / (hi - lo) * bins)).cast("int")
+        got = _inside(rows, open_).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in KEY for k, f in (("lo", F.min), ("hi", F.max))]).collect()
+        by: dict[int, list] = {}
+        for g in sorted(got, key=lambda g: g["bin"]):
+            by.setdefault(g["node"], []).append(g)
         for n, o in open_.items():
             run = o["before"]
-            for g in sorted((g for g in got if g["node"] == n), key=lambda g: g["bin"]):
+            for g in by[n]:
                 if run + g["s"] >= o["need"]:
-                    if o["by_h"]:
-                        o |= {"hlo": g["hlo"], "hhi": g["hhi"]}
-                    else:
-                        o |= {"lo": g["lo"], "hi": g["hi"], "by_h": g["lo"] == g["hi"]}
-                        if o["by_h"]:
-                            o |= {"hlo": g["hlo"], "hhi": g["hhi"]}
+                    box = [(g[f"{c}_lo"], g[f"{c}_hi"]) for c in KEY]
+                    o["box"][o["level"] :] = box[o["level"] :]
+                    while o["level"] < 2 and o["box"][o["level"]][0] == o["box"][o["level"]][1]:
+                        o["level"] += 1
                     o |= {"before": run, "n": g["n"]}
                     break
                 run += g["s"]
-    run = F.sum("size").over(Window.partitionBy("node").orderBy("v", "h", "id").rangeBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("node").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0))
     found = _inside(rows, ready).withColumn("_run", F.col("_before") + run).where(F.col("_run") >= F.col("_need"))
-    return {r["node"]: tuple(r["k"]) for r in found.groupBy("node").agg(F.min(F.struct("v", "h", "id")).alias("k")).collect()}
+    return {r["node"]: tuple(r["k"]) for r in found.groupBy("node").agg(F.min(F.struct(*KEY)).alias("k")).collect()}
 
 
 def _inside(rows: DataFrame, open_: dict) -> DataFrame:
     """Rows in their node's current interval."""
-    narrow = [(n, float(o["lo"]), float(o["hi"]), int(o["hlo"]), int(o["hhi"]), bool(o["by_h"]), int(o["before"]), float(o["need"])) for n, o in open_.items()]
-    x = _pick(rows, narrow, "node long, _lo double, _hi double, _hlo long, _hhi long, _by_h boolean, _before long, _need double")
-    return x.where((F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi")) & (~F.col("_by_h") | ((F.col("h") >= F.col("_hlo")) & (F.col("h") <= F.col("_hhi")))))
+    narrow = [(n, o["level"], *[x for (lo, hi), kind in zip(o["box"], (float, int, int), strict=True) for x in (kind(lo), kind(hi))], int(o["before"]), float(o["need"])) for n, o in open_.items()]
+    x = _pick(rows, narrow, "node long, _level int, _lo0 double, _hi0 double, _lo1 long, _hi1 long, _lo2 long, _hi2 long, _before long, _need double")
+    return x.where(F.col("v").between(F.col("_lo0"), F.col("_hi0")) & ((F.col("_level") < 1) | F.col("h").between(F.col("_lo1"), F.col("_hi1"))) & ((F.col("_level") < 2) | F.col("r").between(F.col("_lo2"), F.col("_hi2"))))
 
 
 def grow_tree(slim: DataFrame, dims: list[str], shards: int) -> list[dict]:
-    """The splits, level by level: each maps a node to (dim, value, hash, id, left's first shard ...). ``slim`` has size, h, id and ``dims``."""
+    """The splits, level by level: each maps a node to (dim, value, hash, row key, left's first shard ...). ``slim`` has size, h, id and ``dims``."""
     whole = slim.agg(*[f(d).alias(f"{d}_{k}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).first()
     if whole[0] is None:
         return []
@@ -106,13 +110,12 @@ def grow_tree(slim: DataFrame, dims: list[str], shards: int) -> list[dict]:
 def descend(df: DataFrame, level: dict[int, tuple]) -> DataFrame:
     """Rows moved to their node of the next level; nodes without a split stay."""
     dims = sorted({x[0] for x in level.values()})
-    id_type = dict(df.dtypes)["id"]
-    cuts = df.sparkSession.createDataFrame([(n, *x) for n, x in level.items()], f"node long, _dim string, _v double, _h long, _id {id_type}")
+    cuts = df.sparkSession.createDataFrame([(n, *x) for n, x in level.items()], "node long, _dim string, _v double, _h long, _r long")
     x = df.join(F.broadcast(cuts), "node", "left")
     val = F.coalesce(*[F.when(F.col("_dim") == d, F.col(d)) for d in dims])
-    left = F.struct(val.alias("v"), F.col("h"), F.col("id")) <= F.struct(F.col("_v").alias("v"), F.col("_h").alias("h"), F.col("_id").alias("id"))
+    left = F.struct(val.alias("v"), "h", "r") <= F.struct(F.col("_v").alias("v"), F.col("_h").alias("h"), F.col("_r").alias("r"))
     node = F.when(F.col("_dim").isNull(), F.col("node")).otherwise(F.when(left, 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2))
-    return x.withColumn("node", node).drop("_dim", "_v", "_h", "_id")
+    return x.withColumn("node", node).drop("_dim", "_v", "_h", "_r")
 
 
 def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: str = "kd") -> DataFrame:
@@ -120,10 +123,10 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
 
     ``target_bytes`` sets the number of shards if ``shards`` is not given. Texts are read once; everything after works on a narrow table.
     """
-    dims = dimensions or default_dimensions()
+    dims = {f"_kd{i}": c for i, c in enumerate((dimensions or default_dimensions()).values())}
     text = F.col(text_col)
     base = df.withColumn("size", text_bytes(text))
-    slim = materialize(base.select(F.col(id_col).alias("id"), "size", F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), order_key(F.col(id_col), seed=seed).alias("h"), *[c.alias(d) for d, c in dims.items()]), "kd")
+    slim = materialize(base.select(F.col(id_col).alias("id"), "size", F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.monotonically_increasing_id().alias("r"), *[c.alias(d) for d, c in dims.items()]).withColumn("h", F.when(F.col("id").isNull(), order_key(F.col("r"), seed=seed)).otherwise(order_key(F.col("id"), seed=seed))), "kd")
     if shards is None:
         shards = max(1, round((slim.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     *levels, leaves = grow_tree(slim, list(dims), shards) or [{0: (0, 1)}]
@@ -131,12 +134,12 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
     for level in levels:
         x = descend(x, level)
     x = _pick(x, [(n, first) for n, (first, _) in leaves.items()], "node long, shard int")
-    placed = materialize(x.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "h"), "kd")
+    placed = materialize(x.select("id", "size", "text_crc32", "shard", "h", "r"), "kd")
     b = bucket_of(F.col("h"), bucket_count(placed.count()))
     rows = placed.withColumn("_b", b)
     starts = bucket_offsets(rows, ["shard"], "_b", F.lit(1))
-    w = Window.partitionBy("shard", "_b").orderBy("h", id_col)
-    return rows.join(starts, ["shard", "_b"]).withColumn("slot", F.col("before") + F.row_number().over(w) - 1).select(id_col, "size", "text_crc32", "shard", "slot")
+    w = Window.partitionBy("shard", "_b").orderBy("h", "r")
+    return rows.join(starts, ["shard", "_b"]).withColumn("slot", F.col("before") + F.row_number().over(w) - 1).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
 def op8_kdtree(spark, sf_dir: str) -> DataFrame:
@@ -154,7 +157,7 @@ def _sql(levels: int = 3, dims: tuple[str, ...] = ("d0", "d1", "d2")) -> str:
     sql = f"""with crc_table as (select list({bits} order by i) as t from range(256) r(i)),
   codes as (select x, cast(cast({of("x")} as bigint) as double) as code from (select source as x from documents union select lang from documents), crc_table where x is not null),
   n0 as (select doc_id, coalesce(octet_length(encode(text)), 0) + 1 as size, cast(coalesce({of("text")}, 0) as bigint) as text_crc32,
-     {order_key_sql("doc_id", "kd")} as h, 0 as node,
+     {order_key_sql("doc_id", seed="kd")} as h, 0 as node,
      cast(coalesce(octet_length(encode(text)), 0) + 1 as double) as d0, coalesce(s.code, -1) as d1, coalesce(l.code, -1) as d2
      from documents cross join crc_table left join codes s on s.x = source left join codes l on l.x = lang)"""
     for i in range(levels):

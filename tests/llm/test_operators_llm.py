@@ -312,6 +312,26 @@ def test_mix_edges(spark, odd):
     assert mixing.schedule(docs(spark, [(1, None, "a")])).first()["copies"] == 0
 
 
+def test_mix_of_repeated_ids_agrees_on_reruns(spark):
+    rng = np.random.default_rng(13)
+    rows = [(None if i % 3 else 5, text(rng, int(rng.integers(1, 40))), "a" if i % 2 else "b") for i in range(600)]
+    runs = []
+    for n in (1, 7):
+        got = mixing.schedule(docs(spark, rows).drop("size").repartition(n)).select("doc_id", "text", "source", "copies").collect()
+        runs.append(Counter(tuple(r) for r in got))
+    assert runs[0] == runs[1]
+    clash = docs(spark, rows).selectExpr("*", "1 as _h", "2 as _src", "3 as _b", "4 as _id")
+    assert mixing.schedule(clash).select("_h", "_src", "_b", "_id").distinct().collect() == [(1, 2, 3, 4)]
+
+
+def test_shards_of_repeated_and_null_ids_are_even(spark):
+    d = docs(spark, [(None if i % 2 else 7, "same text", "s") for i in range(20_000)])
+    size = np.bincount([r["shard"] for r in kdtree.shard(d, 8).collect()], minlength=8)
+    assert size.max() - size.min() <= 1
+    named = kdtree.shard(d.withColumn("id", F.lit(1)), 4, dimensions={"id": F.length("text").cast("double"), "h": F.lit(0.0), "node": F.lit(1.0)})
+    assert sorted(r["count"] for r in named.groupBy("shard").count().collect()) == [5000] * 4
+
+
 def test_shards_are_even_and_gapless(spark, odd):
     rng = np.random.default_rng(8)
     d = docs(spark, [(i, "same" if i % 3 == 0 else text(rng, int(rng.integers(1, 60))), "s") for i in range(3000)])
