@@ -16,11 +16,6 @@ from lamina.llm.store import materialize
 QUALITY = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows without an id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least ``QUALITY``; learnt from the labelled ones."""
     scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True)
@@ -28,16 +23,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8; an id that is repeated stays once."""
-    found = materialize(minhash.near_duplicates(docs, 5, 80), "kept")
-    out = _without(docs, found.where("doc_id is not null and not kept"))
-    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1")
-    return out if repeated.isEmpty() else out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8; rows of one id with different texts are documents of their own."""
+    return minhash.deduplicated(docs, 5, 80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents that contain no benchmark item; rows of null or repeated ids are judged one by one."""
+    rows, key = docs, "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows, key = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+    found = decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
