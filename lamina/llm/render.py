@@ -3,12 +3,16 @@
 A tokenizer and a tree builder with implied tags make a tree: an open paragraph ends before a block, list items,
 table parts, options and terms end at the next of their kind, void elements have no content, and end tags without
 an open element are ignored. Elements that are not shown (head, scripts, styles, templates, the hidden attribute, display:none,
-visibility:hidden, what closed details hide) are left out. The rest is laid out: white space
+visibility:hidden unless a part is made visible again, what closed details hide, what stands in for media) are left out; formulas, labels of drawings, options and
+what is typed in text areas are shown. The rest is laid out: white space
 collapses outside pre, blocks start on new lines with an empty line around paragraphs, headings, lists, tables and
-quotes, list items have bullets or numbers and are indented, and table cells are padded to columns.
+quotes, list items have bullets or numbers and are indented, and table cells are padded to columns, spanned columns and rows included.
+
+Time and output are linear in the page: it is scanned once, what is known not to come again is not looked for again, indents end at
+``DEEPEST`` columns, and a table whose padding would exceed ``GROWTH`` times its text pads to ``WIDEST`` at most.
 
 Edge cases: null pages give null, empty ones an empty text; text outside any tag is shown; unclosed comments and
-tags at the end run to the end; depth is not limited (no recursion); other columns pass through, and
+tags at the end run to the end; a quote that is never closed does not hide the end of its tag; depth is not limited (no recursion); other columns pass through, and
 a column named as the result is replaced.
 """
 
@@ -23,9 +27,9 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never shown.
-UNSEEN = frozenset("head script style template noscript title datalist object iframe audio video canvas svg math textarea select".split())
+UNSEEN = frozenset("head script style template noscript title datalist iframe audio video canvas defs desc metadata annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr td th thead tbody tfoot caption".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr td th thead tbody tfoot caption option optgroup text".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 #: Start tags that end an open paragraph.
@@ -46,33 +50,52 @@ IMPLIED = {
 }
 #: End tags do not reach out of these.
 SCOPE = frozenset(["table", "td", "th", "caption", "html"])
-_MARK = re.compile(r"<(?:!--(.*?)(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/][^>]*)>)", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOP = re.compile(r">|=[ \t\n\r\f]*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VEIL = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _GAP = re.compile(r"[ \t\n\r\f\v]+")
-#: Cells wider than this are not padded to.
-WIDEST = 60
+#: Columns of the deepest indent; padding of a table for each character of it, and what small tables may have; widest cell that is padded to in a table beyond that.
+DEEPEST, GROWTH, FREE, WIDEST = 60, 8, 1 << 16, 60
 
 
 def tokens(html: str):
-    """("text", s), ("start", tag, attributes, closed) and ("end", tag)."""
+    """("text", s), ("start", tag, attributes, closed) and ("end", tag), in one pass."""
     at, n = 0, len(html)
-    while at < n:
-        m = _MARK.search(html, at)
-        if m is None:
-            yield "text", html[at:]
-            return
+    absent: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        k = -1 if what in absent else html.find(what, start)
+        if k < 0:
+            absent.add(what)
+        return k
+
+    def tag_end(start: int) -> int:
+        while (m := _STOP.search(html, start)) is not None:
+            if m[1] is None:
+                return m.start()
+            k = find(m[1], m.end())
+            if k < 0:  # the quote is never closed
+                return find(">", m.end())
+            start = k + 1
+        return -1
+
+    while at < n and (m := _OPEN.search(html, at)) is not None:
         if m.start() > at:
             yield "text", html[at : m.start()]
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+        if m[3] is None:
+            k = find("-->", m.start() + 2) if m[1] else find(">", m.end())
+            at = n if k < 0 else k + (3 if m[1] else 1)
             continue
-        tag = tag.lower()
+        k = tag_end(m.end())
+        if k < 0:
+            return
+        tag, at = m[3].lower(), k + 1
         if m[2]:
             yield "end", tag
             continue
-        rest = m[4]
+        rest = html[m.end() : k]
         yield "start", tag, rest, rest.endswith("/")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -80,6 +103,8 @@ def tokens(html: str):
             if stop > at:
                 yield "text", html[at:stop]
             at = stop
+    if at < n:
+        yield "text", html[at:]
 
 
 def attributes(rest: str) -> dict:
@@ -97,11 +122,17 @@ class Layout:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = self.gap = False
-        self.prefix: list[str] = []
+        self.prefix: list[int] = []
+        self.inset = 0
         self.bullet = ""
 
-    def indent(self) -> str:
-        return "".join(self.prefix)
+    def deeper(self, by: int) -> None:
+        self.prefix.append(by)
+        self.inset += by
+
+    def back(self) -> None:
+        self.inset -= self.prefix.pop()
+        self.bullet = ""
 
     def put(self, text: str, pre: bool) -> None:
         if pre:
@@ -128,10 +159,8 @@ class Layout:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            own = self.indent()
-            if self.bullet:
-                own, self.bullet = own[: len(own) - len(self.bullet)] + self.bullet, ""
-            self.line.append(own)
+            self.line.append(" " * (min(self.inset, DEEPEST) - len(self.bullet)) + self.bullet)
+            self.bullet = ""
         elif self.space:
             self.line.append(" ")
         self.space = False
@@ -155,53 +184,74 @@ class Layout:
 
 
 class Table:
-    """Rows of (text, columns spanned)."""
+    """Rows of (text, columns spanned, rows spanned)."""
 
     def __init__(self, outer: Layout):
         self.outer, self.rows = outer, []
 
-    def lines(self) -> list[str]:
-        width: dict[int, int] = {}
+    def placed(self) -> list[list[tuple]]:
+        """Per row its cells as (column, lines, columns spanned); columns that a cell above spans are left free."""
+        out, taken = [], {}
         for row in self.rows:
-            at = 0
-            for text, span in row:
-                w = max(map(len, text.split("\n")))
-                if span == 1 and w <= WIDEST:
-                    width[at] = max(width.get(at, 0), w)
+            at, cells, after = 0, [], {c: k - 1 for c, k in taken.items() if k > 1}
+            for text, span, deep in row:
+                while at in taken:
+                    at += 1
+                span = span if at < 10_000 else 1
+                cells.append((at, text.split("\n"), span))
+                if deep > 1:
+                    after |= dict.fromkeys(range(at, at + span), deep - 1)
                 at += span
+            out.append(cells)
+            taken = after
+        return out
+
+    def lines(self) -> list[str]:
+        grid, width = self.placed(), {}
+        for cells in grid:
+            for at, lines, span in cells:
+                if span == 1:
+                    width[at] = max(width.get(at, 0), max(map(len, lines)))
+        size = sum(len(text) for row in self.rows for text, _, _ in row)
+        if len(grid) * sum(width.values()) > GROWTH * size + FREE:
+            width = {c: min(w, WIDEST) for c, w in width.items()}
+        offset, total = [], 0
+        for c in range(max((at for cells in grid for at, _, _ in cells), default=-1) + 1):
+            offset.append(total)
+            total += width.get(c, 0) + 2
         out = []
-        for row in self.rows:
-            at, cells = 0, []
-            for text, span in row:
-                cells.append((text.split("\n"), sum(width.get(at + k, 0) for k in range(span)) + 2 * (span - 1)))
-                at += span
-            for i in range(max((len(c) for c, _ in cells), default=0)):
-                out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in cells).rstrip())
+        for cells in grid:
+            for i in range(max((len(lines) for _, lines, _ in cells), default=0)):
+                line = ""
+                for at, lines, _ in cells:
+                    if i < len(lines) and lines[i]:
+                        line = max(line.ljust(offset[at]), line and line + "  ", key=len) + lines[i]
+                out.append(line.rstrip())
         return [x for x in out if x]
 
 
 def render(html: str) -> str:
     """The visible text of a page."""
     page = Layout()
-    lay, stack = page, []  # open elements: (tag, hidden before, state to restore)
-    hidden, pre, tables = 0, 0, []
+    lay, stack = page, []  # open elements: (tag, hidden before, state to restore, veiled before)
+    hidden, veiled, pre, tables = 0, False, 0, []
     opened: Counter = Counter()
 
     def close(down_to: int) -> None:
-        nonlocal lay, hidden, pre
+        nonlocal lay, hidden, veiled, pre
         while len(stack) > down_to:
-            tag, was_hidden, state = stack.pop()
+            tag, was_hidden, state, veiled = stack.pop()
             opened[tag] -= 1
             unseen = hidden
             hidden = was_hidden
             if unseen:
                 continue
-            if tag == "pre":
+            if tag in ("pre", "textarea"):
                 pre -= 1
             if tag in ("td", "th") and state:
-                table, span, outer = state
+                table, span, deep, outer = state
                 if table.rows:
-                    table.rows[-1].append((lay.text(), span))
+                    table.rows[-1].append((lay.text(), span, deep))
                 lay = outer
             elif tag == "table":
                 table = tables.pop()
@@ -216,8 +266,7 @@ def render(html: str) -> str:
             else:
                 if tag in ("li", "dd", "blockquote") and state:
                     lay.block(False)
-                    lay.prefix.pop()
-                    lay.bullet = ""
+                    lay.back()
                 if tag in BLOCK and tag not in ("tr", "thead", "tbody", "tfoot"):
                     # a list inside a list has no empty line around it
                     lay.block(tag in SPACED and not (tag in ("ul", "ol") and (opened["ul"] or opened["ol"])))
@@ -235,7 +284,7 @@ def render(html: str) -> str:
     for t in tokens(html):
         kind = t[0]
         if kind == "text":
-            if not hidden:
+            if not (hidden or veiled):
                 text = unescape(t[1]) if "&" in t[1] else t[1]
                 if tables and lay is tables[-1].outer and not text.strip():
                     continue
@@ -268,10 +317,13 @@ def render(html: str) -> str:
                 lay.block(True)
             continue
         attrs = attributes(t[2]) if t[2] and not t[2].isspace() and not hidden else {}
-        unseen = tag in UNSEEN or "hidden" in attrs or ("style" in attrs and _HIDDEN.search(attrs["style"]) is not None) or (tag != "summary" and bool(stack) and stack[-1][0] == "details" and stack[-1][2] is False)
+        unseen = tag in UNSEEN or "hidden" in attrs or ("style" in attrs and _GONE.search(attrs["style"]) is not None) or (tag != "summary" and bool(stack) and stack[-1][0] == "details" and stack[-1][2] is False)
+        was_veiled = veiled
+        if "style" in attrs and (seen := _VEIL.findall(attrs["style"])):
+            veiled = seen[-1].lower() != "visible"
         state = None
         if not (hidden or unseen):
-            if tag == "pre":
+            if tag in ("pre", "textarea"):
                 pre += 1
             if tag == "table":
                 tables.append(Table(lay))
@@ -283,8 +335,9 @@ def render(html: str) -> str:
                 if tables:
                     if not tables[-1].rows or last(("tr",), frozenset(["table"])) is None:
                         tables[-1].rows.append([])
-                    span = attrs.get("colspan", "1")
-                    state = (tables[-1], min(1000, max(1, int(span))) if span.isdecimal() and len(span) < 6 else 1, lay)
+                    span, deep = (int(x) if re.fullmatch(r"[0-9]{1,5}", x) else 1 for x in (attrs.get("colspan", "1"), attrs.get("rowspan", "1")))
+                    # a row span of 0 goes on to the end of the table
+                    state = (tables[-1], min(1000, max(1, span)), deep or 65_534, lay)
                     lay = Layout()
             elif tag == "details":
                 state = "open" in attrs
@@ -298,20 +351,20 @@ def render(html: str) -> str:
                     bullet = f"{count[0]}. "
                 else:
                     bullet = "- "
-                lay.prefix.append(" " * len(bullet))
-                lay.bullet, state = bullet, True
+                lay.deeper(len(bullet))
+                lay.bullet, state = "" if veiled else bullet, True
             elif tag in BLOCK:
                 nested = tag in ("ul", "ol") and last(("ul", "ol")) is not None
                 lay.block(tag in SPACED and not nested)
                 if tag == "ol":
                     state = [int(attrs["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", attrs.get("start", "")) else 0]
                 elif tag in ("dd", "blockquote"):
-                    lay.prefix.append("  ")
+                    lay.deeper(2)
                     state = True
-        stack.append((tag, hidden, state))
+        stack.append((tag, hidden, state, was_veiled))
         opened[tag] += 1
         hidden = 1 if hidden or unseen else 0
-        if t[3] and tag in ("svg", "math", "iframe", "script", "canvas"):
+        if t[3] and (tag in ("svg", "math", "iframe", "script", "canvas") or opened["svg"] or opened["math"]):
             close(len(stack) - 1)
     close(0)
     return page.text()

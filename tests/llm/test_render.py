@@ -26,6 +26,15 @@ CASES = [
     ("<p>a <b>b</b>, c</p>", "a b, c"),
     ("<blockquote><p>q</p></blockquote>r", "  q\n\nr"),
     ("a < b and c > d", "a < b and c > d"),
+    ("<p>x <select><option>one<option>two</select> <textarea>typed\n  so</textarea> <math><mi>e</mi><mo>=</mo><annotation>no</annotation></math> <svg><title>no</title><text>label</text><path/></svg> <object>instead</object>", "x\none\ntwo\ntyped\n  so e=\nlabel\ninstead"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z", "yes\nz"),
+    ("<ul style='visibility:hidden'><li>no</ul>z", "z"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+    ("<table><tr><td>" + "w" * 61 + "<td>b<tr><td>a<td>c</table>", "w" * 61 + "  b\na" + " " * 62 + "c"),
+    ('<a href="never closed>seen', "seen"),
+    ("x<a b", "x"),
+    ("<!-->x<!--->y", "xy"),
 ]
 
 
@@ -40,6 +49,24 @@ def test_depth_and_length():
     assert len(render("<p>" + "word " * 200_000)) == 999_999
 
 
+@pytest.mark.parametrize("part", ['<a "', "<a =\"'", "<", "<!--", "<a b='", "<ul><li>x", "<td>", "</p", "<textarea>", "<p style='visibility:hidden'>"])
+def test_time_and_output_are_linear(part):
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        start = time.process_time()
+        out = render(part * n)
+        took.append(time.process_time() - start)
+        assert len(out) <= 70 * n
+    assert took[1] <= 24 * took[0] + 0.5
+
+
+def test_wide_columns_do_not_blow_up():
+    page = "<table><tr><td>" + "w" * 100_000 + "<td>b" + "<tr><td>a<td>c" * 5000 + "</table>"
+    assert len(render(page)) < 1_000_000
+
+
 class Words(HTMLParser):
     """All text outside head, script and style, by the standard library's parser."""
 
