@@ -1,15 +1,18 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine (operator 5).
 
-Terms are lower-cased words and their first letters. Those that come mostly with label 1, and more often than chance
-allows given how many terms were tried (near copies of a text count about once), span the vectors; a bounded sample of labelled rows gives the examples. An
-inverted index holds each term's weights in blocks of examples with the block's largest weight. A document's
-blocks are visited by falling upper bound and skipped once the bound is below its k-th cosine, so its nearest
-examples are exact; they vote with their cosine, and their ids are the evidence.
+Terms are lower-cased words and their first letters. Every term of the sample that goes with the label in either direction (likelihood
+ratio of at least ``TELLING``; near copies of a text count about once) spans the vectors, pure or not: words that clean texts use too stay, and clean
+examples are neighbours like toxic ones. A bounded sample of labelled rows gives the examples. An
+inverted index holds each term's weights in blocks of examples with the block's largest weight. The blocks with the highest
+upper bounds are looked at first, then all whose bound reaches the k-th cosine found there, so a document's nearest
+examples are exact; they vote with their cosine, and their ids are the evidence. Votes become scores by a monotone
+calibration, fitted to the votes that each example gets from the others.
 
-Broadcast: at most ``EXAMPLES`` examples over at most ``TERMS`` terms.
+Broadcast: at most ``EXAMPLES`` examples over the telling terms of their texts.
 
 Edge cases: texts without such a term, empty and null ones too, get the smoothed rate of label 1 among examples
-without one; without usable labels every score is 0.5; extra columns are not read.
+without one; without usable labels every score is 0.5; examples of equal cosine count in a fixed order (heaviest term, id); ids with
+conflicting labels teach nothing; each row of a repeated id is scored on its own text; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import functions as F
 from .labelled import fold, training_texts
 from .textgrid import grids, mix
 
-#: Labelled rows and terms at most; examples a block; voters.
-EXAMPLES, TERMS, BLOCK, VOTERS = 12000, 8192, 128, 25
+#: Labelled rows at most; examples a block; voters; blocks that are looked at first.
+EXAMPLES, BLOCK, VOTERS, FIRST = 12000, 128, 25, 8
 #: Bytes of the word beginnings that are terms of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Least share of label 1 among the texts with a term.
-PURITY = 0.97
+#: Likelihood ratio from which a term is telling (chance gives it to one term in about 600).
+TELLING = 10.0
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[i for i in range(128) if not chr(i).isalnum()]] = True
@@ -63,8 +66,8 @@ def _distinct(batches):
             yield pa.record_batch([b.column(0).slice(g.first_row, g.rows), b.column(1).slice(g.first_row, g.rows), lists], names=["id", "y", "terms"])
 
 
-def telling_terms(known: DataFrame, most: int = TERMS) -> list[int]:
-    """Terms (of rows id, y, terms) that come with y = 1 more than chance allows, by the likelihood ratio; the bar rises with the number of terms tried."""
+def telling_terms(known: DataFrame, bar: float = TELLING) -> list[int]:
+    """Terms (of rows id, y, terms) whose rate of y = 1 differs from that of all rows, by the likelihood ratio."""
     # a text's two smallest term hashes are those of most of its near copies: a group of copies counts about once
     known = known.groupBy("y", F.slice("terms", 1, 2)).agg(F.first("terms").alias("terms"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -75,9 +78,7 @@ def telling_terms(known: DataFrame, most: int = TERMS) -> list[int]:
     a, m = F.col("a"), F.col("n")
     part = lambda x, q: F.when(x > 0, x * F.log(x / (m * q))).otherwise(0.0)
     ratio = 2 * (part(a, F.lit(p)) + part(m - a, F.lit(1 - p)))
-    tried = counts.count()
-    bar = 2 * np.log(max(tried, 2)) + 2
-    return [r["term"] for r in counts.where((a / m >= max(p, PURITY)) & (ratio >= bar)).orderBy(ratio.desc(), "term").limit(most).select("term").collect()]
+    return [r["term"] for r in counts.where(ratio >= bar).select("term").collect()]
 
 
 def weighted(row: np.ndarray, term: np.ndarray, vocabulary: np.ndarray):
@@ -90,31 +91,52 @@ def weighted(row: np.ndarray, term: np.ndarray, vocabulary: np.ndarray):
     return key // len(vocabulary), key % len(vocabulary), count
 
 
+def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a rising curve from votes ``x`` to rates of ``y``: pools of adjacent votes whose rates would fall, each drawn a little to the overall rate."""
+    order, base = np.argsort(x, kind="stable"), float(y.mean())
+    pools: list[list[float]] = []  # sum of y, rows, sum of x
+    for v, t in zip(x[order], y[order], strict=True):
+        pools.append([t, 1.0, v])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
+    s, n, at = np.array(pools).T
+    return at / n, np.maximum.accumulate((s + base) / (n + 1))
+
+
 class Index:
     """Examples' unit vectors by term, in blocks with their largest weights."""
 
     def __init__(self, vocabulary, examples: list[tuple], voters: int = VOTERS):
         """``examples``: (id, y, terms' positions, counts)."""
+        # examples with the same heaviest term stand together, which lowers the bounds of the other blocks
+        df = np.bincount(np.concatenate([x[2] for x in examples] or [np.zeros(0, int)]).astype(int), minlength=len(vocabulary))
+        self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
+        examples = sorted(examples, key=lambda x: (int(x[2][np.argmax(self.weights(x[2], x[3]))]) if len(x[2]) else -1, x[0]))
         self.vocabulary, self.voters = vocabulary, voters
         self.ids, self.y = [x[0] for x in examples], np.array([x[1] for x in examples], float)
         n, v = len(examples), len(vocabulary)
-        df = np.bincount(np.concatenate([x[2] for x in examples] or [np.zeros(0, int)]).astype(int), minlength=v)
-        self.idf = np.log((1 + n) / (1 + df)) + 1
         self.blocks = -(-n // BLOCK)
-        self.bounds = np.zeros((v, self.blocks), np.float32)
-        posts: list[list] = [[] for _ in range(v)]
-        empty = []
-        for i, (_, y, at, count) in enumerate(examples):
-            w = self.weights(at, count)
-            if not len(at):
-                empty.append(y)
-            for t, x in zip(at, w, strict=True):
-                posts[t].append((i, x))
-                self.bounds[t, i // BLOCK] = max(self.bounds[t, i // BLOCK], np.float32(x) * np.float32(1 + 1e-6))
-        self.posts = [(np.array([i for i, _ in p], np.int32), np.array([x for _, x in p])) for p in posts]
+        term = np.concatenate([x[2] for x in examples] or [np.zeros(0, int)]).astype(int)
+        owner = np.repeat(np.arange(n), [len(x[2]) for x in examples])
+        weight = np.concatenate([self.weights(x[2], x[3]) for x in examples] or [np.zeros(0)])
+        order = np.lexsort((owner, term))
+        term, self.owner, self.weight = term[order], owner[order].astype(np.int32), weight[order]
+        cell = term * self.blocks + self.owner // BLOCK
+        self.bounds = np.zeros(v * self.blocks)
+        np.maximum.at(self.bounds, cell, self.weight * (1 + 1e-9))
+        self.bounds = self.bounds.reshape(v, self.blocks)
+        # where each term's examples of each block begin
+        self.starts = np.searchsorted(cell, np.arange(v * self.blocks + 1)).astype(np.int32)
         self.base = float(self.y.mean()) if n else 0.5
+        empty = [x[1] for x in examples if not len(x[2])]
         self.without = (sum(empty) + self.base) / (len(empty) + 1) if n else 0.5
         self._known: dict = {}
+        self.knots = None
+        full = [i for i, x in enumerate(examples) if len(x[2])]
+        if full:
+            votes = np.array([self._share(*self.nearest(examples[i][2], examples[i][3], without=i)) for i in full])
+            self.knots = monotone(votes, self.y[full])
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
@@ -123,26 +145,37 @@ class Index:
         w = (1 + np.log(count)) * self.idf[at]
         return w / max(np.linalg.norm(w), 1e-12) if len(at) else w
 
-    def nearest(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples with the largest cosines (ties: the first) and the cosines; only those above 0."""
+    def _cosines(self, at, w, blocks) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of some blocks."""
+        cells = (at[:, None] * self.blocks + blocks[None, :]).ravel()
+        first, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+        where = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        cos = np.bincount(self.owner[where], np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=len(self.y))
+        hit = np.flatnonzero(cos)
+        return hit, cos[hit]
+
+    def nearest(self, at: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The examples (but ``without``) with the largest cosines (ties: the first) and the cosines; only those above 0."""
+        at = np.asarray(at, int)
         w = self.weights(at, count)
         bound = w @ self.bounds[at]
-        best_c, best_i = np.zeros(0), np.zeros(0, int)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_c) == self.voters and bound[b] < best_c[-1]:
-                break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.y))
-            cos = np.zeros(hi - lo)
-            for t, x in zip(at, w, strict=True):
-                ids, weights = self.posts[t]
-                i, j = np.searchsorted(ids, [lo, hi])
-                cos[ids[i:j] - lo] += x * weights[i:j]
-            hit = np.flatnonzero(cos > 0)
-            c, i = np.concatenate([best_c, cos[hit]]), np.concatenate([best_i, hit + lo])
-            order = np.lexsort((i, -c))[: self.voters]
-            best_c, best_i = c[order], i[order]
+        order = np.argsort(-bound, kind="stable")
+        best_i, best_c = np.zeros(0, int), np.zeros(0)
+        for blocks in (order[:FIRST], order[FIRST:]):
+            if len(best_c) == self.voters:
+                blocks = blocks[bound[blocks] * (1 + 1e-9) >= best_c[-1]]
+            blocks = blocks[bound[blocks] > 0]
+            if len(blocks):
+                i, c = self._cosines(at, w, blocks)
+                i, c = np.concatenate([best_i, i[i != without]]), np.concatenate([best_c, c[i != without]])
+                top = np.lexsort((i, -c))[: self.voters]
+                best_i, best_c = i[top], c[top]
         return best_i, best_c
 
+    def _share(self, i: np.ndarray, c: np.ndarray) -> float:
+        """Cosine-weighted share of label 1, drawn a little to the overall rate."""
+        return float((c @ self.y[i] + 0.2 * self.base) / (c.sum() + 0.2))
+
     def vote(self, at: np.ndarray, count: np.ndarray) -> tuple[float, list]:
         """Score and the ids of the nearest examples."""
         key = (at.tobytes(), count.tobytes())
@@ -150,7 +183,7 @@ class Index:
             if len(self._known) > 50_000:
                 self._known.clear()
             i, c = self.nearest(at, count)
-            self._known[key] = ((float((c @ self.y[i] + 0.2 * self.base) / (c.sum() + 0.2)), [self.ids[j] for j in i[:5]]) if len(i) else (self.without, []))
+            self._known[key] = (float(np.interp(self._share(i, c), *self.knots)), [self.ids[j] for j in i[:5]]) if len(i) else (self.without, [])
         return self._known[key]
 
 

@@ -255,20 +255,63 @@ def test_scores_hold_on_the_held_out_fold(spark):
 
 def test_index_finds_the_nearest_exactly():
     rng = np.random.default_rng(7)
-    vocabulary = np.arange(30)
-    ex = [(i, int(rng.integers(0, 2)), np.sort(rng.choice(30, int(rng.integers(0, 6)), False)), None) for i in range(700)]
-    ex = [(i, y, at, rng.integers(1, 4, len(at))) for i, y, at, _ in ex]
+    vocabulary = np.arange(60)
+    ex = []
+    for i in range(3000):
+        at = np.sort(rng.choice(60, int(rng.integers(0, 7)), False))
+        ex.append((i, int(rng.random() < (0.9 if 3 in at else 0.1)), at, rng.integers(1, 4, len(at))))
     x = toxicity.Index(vocabulary, ex, 9)
-    dense = np.zeros((700, 30))
-    for i, _, at, c in ex:
-        dense[i, at] = x.weights(at, c)
-    for _ in range(30):
-        at = np.sort(rng.choice(30, 4, False))
-        c = rng.integers(1, 4, 4)
-        q = np.zeros(30)
-        q[at] = x.weights(at, c)
-        i, cos = x.nearest(at, c)
-        assert np.allclose(cos, np.sort(dense @ q)[::-1][:9])
+    where = {i: k for k, i in enumerate(x.ids)}
+    dense, label = np.zeros((3000, 60)), np.zeros(3000)
+    for i, y, at, c in ex:
+        dense[where[i], at] = x.weights(at, c)
+        label[where[i]] = y
+    votes = []
+    for k in range(60):
+        at, c = ex[k][2], ex[k][3]
+        cos = dense @ (dense[where[k]] if len(at) else np.zeros(60))
+        best = np.lexsort((np.arange(3000), -np.round(cos, 12)))[:9]
+        best = best[cos[best] > 0]
+        i, got = x.nearest(at, c)
+        assert np.allclose(got, cos[best])
+        if len(at):
+            w = cos[best]
+            share = (w @ label[i] + 0.2 * label.mean()) / (w.sum() + 0.2)
+            score, evidence = x.vote(at, c)
+            assert abs(score - np.interp(share, *x.knots)) < 1e-9
+            assert evidence == [x.ids[j] for j in i[:5]]
+            votes.append((share, score))
+    votes.sort()
+    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(votes, votes[1:], strict=False))
+
+
+def test_calibrated_scores_are_rates():
+    rng = np.random.default_rng(3)
+    x = rng.random(20_000)
+    y = (rng.random(20_000) < x**2).astype(float)
+    at, rate = toxicity.monotone(x, y)
+    for v in (0.1, 0.3, 0.5, 0.7, 0.9):
+        assert abs(np.interp(v, at, rate) - v**2) < 0.05
+
+
+def test_quality_votes_against_plain_loops():
+    rng = np.random.default_rng(8)
+    x = np.maximum(rng.normal(0, 1, (500, quality.FEATURES)), 0).astype(np.float32)
+    x[40:60] = x[7]  # ties
+    y = (rng.random(500) < 0.4).astype(float)
+    m = quality.fit(x[:300], y[:300], 16)
+    got = m.scores(x)
+    assert len({*got[40:60], got[7]}) == 1
+    for i in range(0, 500, 7):
+        a = (x[i] * m.idf).astype(np.float32) @ m.basis
+        cos = np.round(m.vectors @ (a / np.linalg.norm(a)), 4)
+        assert np.abs(m.cosines(x[i : i + 1])[0] - cos).max() < 2e-4
+        cos = m.cosines(x[i : i + 1])[0]
+        last = sorted(cos)[-m.voters]
+        more, same = [j for j in range(300) if cos[j] > last], [j for j in range(300) if cos[j] == last]
+        w = {j: max(float(cos[j]), 0.0) ** 8 for j in more} | {j: max(float(last), 0.0) ** 8 * (m.voters - len(more)) / len(same) for j in same}
+        want = (sum(w[j] * y[j] for j in w) + 0.1 * m.base) / (sum(w.values()) + 0.1)
+        assert abs(got[i] - want) < 1e-6
 
 
 def test_scores_of_odd_texts(spark, odd):
