@@ -151,7 +151,9 @@ class Index:
         first, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
         where = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         cos = np.bincount(self.owner[where], np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=len(self.y))
-        hit = np.flatnonzero(cos)
+        # what lies below the last voter, and what ties with nothing, need no sorting
+        least = np.partition(cos, -self.voters - 1)[-self.voters - 1] if len(cos) > self.voters else 0.0
+        hit = np.flatnonzero(cos >= least) if least > 0 else np.flatnonzero(cos)
         return hit, cos[hit]
 
     def nearest(self, at: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
