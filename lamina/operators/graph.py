@@ -1,10 +1,19 @@
-"""Graphs as edge tables, iterated with joins; each round is cut by a reliable checkpoint."""
+"""Graphs as edge tables, iterated with joins; each round is cut by a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources import scratch
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, where a checkpoint computes twice."""
+    path = scratch.shared(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def _both(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select("src", "dst", *more).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *more))
@@ -12,13 +21,13 @@ def _both(edges: DataFrame, *more: str) -> DataFrame:
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, by minimum labels with pointer jumping."""
-    both = _both(edges).distinct()
-    labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
+    both = _both(edges).distinct().transform(_cut)
+    labels = nodes.select("id", F.col("id").alias("label")).transform(_cut)
     while True:
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("m"))
         new = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         up = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = new.join(up, "label").select("id", F.col("up").alias("label")).checkpoint()
+        new = new.join(up, "label").select("id", F.col("up").alias("label")).transform(_cut)
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old")
         if changed.isEmpty():
             return new.withColumnRenamed("label", "component")
@@ -33,16 +42,16 @@ def number(components: DataFrame) -> DataFrame:
 
 def max_spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (src, dst, weight) of the maximum spanning forest, by Boruvka rounds; ties go to the smaller (src, dst)."""
-    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")).checkpoint()
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")).transform(_cut)
     comp, tree = nodes.select("id", F.col("id").alias("component")), None
     while True:
         named = e.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b")
         rank = F.struct(F.col("weight").alias("w"), (-F.col("src")).alias("s"), (-F.col("dst")).alias("d"))
         ends = named.select(F.explode(F.array("a", "b")).alias("c"), rank.alias("r"))
-        best = ends.groupBy("c").agg(F.max("r").alias("r")).select((-F.col("r.s")).alias("src"), (-F.col("r.d")).alias("dst"), F.col("r.w").alias("weight")).distinct().checkpoint()
+        best = ends.groupBy("c").agg(F.max("r").alias("r")).select((-F.col("r.s")).alias("src"), (-F.col("r.d")).alias("dst"), F.col("r.w").alias("weight")).distinct().transform(_cut)
         if best.isEmpty():
             return tree if tree is not None else best
-        tree = best if tree is None else tree.unionByName(best).checkpoint()
+        tree = best if tree is None else tree.unionByName(best).transform(_cut)
         comp = connected(nodes, tree)
 
 
@@ -52,13 +61,13 @@ def assign_winding(nodes: DataFrame, tree: DataFrame, root: int) -> DataFrame:
     ``nodes`` is (id, init); nodes that the root does not reach keep their ``init``.
     """
     step = tree.select("src", "dst", "k").unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("k")).alias("k")))
-    done = nodes.where(F.col("id") == root).select("id", F.col("init").alias("f")).checkpoint()
+    done = nodes.where(F.col("id") == root).select("id", F.col("init").alias("f")).transform(_cut)
     front = done
     while not front.isEmpty():
         to = front.join(step, front.id == step.src).select(F.col("dst").alias("id"), (F.col("f") + F.col("k")).alias("f")).join(done, "id", "left_anti")
         to = to.join(nodes, "id").select("id", (F.col("f") + F.round((F.col("init") - F.col("f")) / 360.0) * 360.0).alias("f"))
-        front = to.groupBy("id").agg(F.min("f").alias("f")).checkpoint()
-        done = done.unionByName(front).checkpoint()
+        front = to.groupBy("id").agg(F.min("f").alias("f")).transform(_cut)
+        done = done.unionByName(front).transform(_cut)
     return nodes.join(done, "id", "left").select("id", F.coalesce("f", "init").alias("f"), F.col("f").isNotNull().alias("visited"))
 
 
@@ -71,7 +80,7 @@ def belief(nodes: DataFrame, edges: DataFrame, labels: int, iterations: int, dam
     e = _both(edges.select("src", "dst", off.alias("off")), "off").groupBy("src", "dst").agg(F.max("off").alias("off"))
     lab = F.sequence(F.lit(0), F.lit(labels - 1))
     prior = nodes.select("id", F.posexplode("prior").alias("label", "p"))
-    msg = e.withColumn("label", F.explode(lab)).withColumn("m", F.lit(1.0 / labels)).checkpoint()
+    msg = e.withColumn("label", F.explode(lab)).withColumn("m", F.lit(1.0 / labels)).transform(_cut)
     for _ in range(iterations):
         total = msg.groupBy(F.col("dst").alias("id"), "label").agg(F.sum(F.log("m")).alias("s"))
         node = prior.join(total, ["id", "label"], "left").select(F.col("id").alias("src"), "label", (F.log("p") + F.coalesce("s", F.lit(0.0))).alias("s"))
@@ -79,7 +88,7 @@ def belief(nodes: DataFrame, edges: DataFrame, labels: int, iterations: int, dam
         out = e.join(node, "src").join(back, ["src", "dst", "label"]).select("src", "dst", "off", "label", F.exp(F.col("s") - F.col("b")).alias("h"))
         sums = out.withColumn("all", F.sum("h").over(Window.partitionBy("src", "dst"))).withColumn("raw", F.col("h") + F.col("off") * (F.col("all") - F.col("h")))
         new = sums.withColumn("raw", F.col("raw") / F.sum("raw").over(Window.partitionBy("src", "dst"))).select("src", "dst", "label", "raw")
-        msg = msg.join(new, ["src", "dst", "label"]).select("src", "dst", "off", "label", (damping * F.col("m") + (1 - damping) * F.col("raw")).alias("m")).checkpoint()
+        msg = msg.join(new, ["src", "dst", "label"]).select("src", "dst", "off", "label", (damping * F.col("m") + (1 - damping) * F.col("raw")).alias("m")).transform(_cut)
     total = msg.groupBy(F.col("dst").alias("id"), "label").agg(F.sum(F.log("m")).alias("s"))
     b = prior.join(total, ["id", "label"], "left").withColumn("b", F.log("p") + F.coalesce("s", F.lit(0.0)))
     return b.groupBy("id").agg(F.max_by("label", F.struct(F.round("b", 9), -F.col("label"))).alias("label"))
@@ -87,18 +96,18 @@ def belief(nodes: DataFrame, edges: DataFrame, labels: int, iterations: int, dam
 
 def conjugate_gradient(a: DataFrame, b: DataFrame, iterations: int = 50, tolerance: float = 1e-9) -> DataFrame:
     """Solve A x = b for a symmetric positive definite COO table (i, j, v; duplicates add up) and b (i, v)."""
-    a = a.groupBy("i", "j").agg(F.sum("v").alias("v")).checkpoint()
-    state = b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")).checkpoint()
+    a = a.groupBy("i", "j").agg(F.sum("v").alias("v")).transform(_cut)
+    state = b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")).transform(_cut)
     rr = state.agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0
     for _ in range(iterations):
         if rr <= tolerance**2:
             break
         ap = a.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("p")).alias("ap"))
-        s = state.join(ap, "i", "left").fillna(0.0, ["ap"]).checkpoint()
+        s = state.join(ap, "i", "left").fillna(0.0, ["ap"]).transform(_cut)
         alpha = rr / s.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         s = s.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         new = s.agg(F.sum(F.col("r") ** 2)).first()[0]
-        state = s.select("i", "x", "r", (F.col("r") + new / rr * F.col("p")).alias("p")).checkpoint()
+        state = s.select("i", "x", "r", (F.col("r") + new / rr * F.col("p")).alias("p")).transform(_cut)
         rr = new
     return state.select("i", "x")
 
@@ -108,11 +117,11 @@ def relax(cost: DataFrame, source: tuple) -> DataFrame:
     from lamina.operators.volume import ZYX, neighbours6
 
     key = [F.col(c).alias(f"n{c}") for c in ZYX]
-    dist = cost.where(" and ".join(f"{c} = {v}" for c, v in zip(ZYX, source, strict=True))).select(*ZYX, F.lit(0.0).alias("d")).checkpoint()
+    dist = cost.where(" and ".join(f"{c} = {v}" for c, v in zip(ZYX, source, strict=True))).select(*ZYX, F.lit(0.0).alias("d")).transform(_cut)
     front = dist
     while not front.isEmpty():
         to = neighbours6(front).join(cost.select(*key, "v"), [f"n{c}" for c in ZYX]).groupBy(*[F.col(f"n{c}").alias(c) for c in ZYX]).agg(F.min(F.col("d") + F.col("v")).alias("e"))
-        j = dist.join(to, ZYX, "full").select(*ZYX, F.least(F.coalesce("d", "e"), F.coalesce("e", "d")).alias("d"), (F.col("d").isNull() | (F.col("e") < F.col("d"))).alias("new")).checkpoint()
+        j = dist.join(to, ZYX, "full").select(*ZYX, F.least(F.coalesce("d", "e"), F.coalesce("e", "d")).alias("d"), (F.col("d").isNull() | (F.col("e") < F.col("d"))).alias("new")).transform(_cut)
         dist, front = j.drop("new"), j.where("new").drop("new")
     return dist
 

@@ -60,9 +60,9 @@ def _so_limit(s, d):
     return segments(s, d).orderBy("id").limit(7).select("id")
 
 
-@register("so_umb", "select cast(p_size as double) as z, p_partkey as x, p_retailprice as y from part where p_partkey % 97 = 0 order by z, x")
+@register("so_umb", "select cast(p_size as double) as z, p_partkey as x, p_retailprice as y from part order by z, x")
 def _so_umb(s, d):
-    return table(s, d, "part").where("p_partkey % 97 = 0").select(F.col("p_size").cast("double").alias("z"), F.col("p_partkey").alias("x"), F.col("p_retailprice").alias("y")).orderBy("z", "x")
+    return table(s, d, "part").select(F.col("p_size").cast("double").alias("z"), F.col("p_partkey").alias("x"), F.col("p_retailprice").alias("y")).orderBy("z", "x")
 
 
 _TOP = "select event_type as name, round(sum(value), 6) as total, round(avg(value), 9) as mean, max(value) as top, count(*) as n from events group by 1 order by sum(value) desc, name limit 3"
@@ -151,10 +151,10 @@ def _json(s, d):
     return collab(s, d).select("event_id", F.get_json_object("payload", "$.k").cast("long").alias("k"))
 
 
-@register("map_fmt", "select doc_id, case when n_chars < 1024 then printf('%d B', n_chars) when n_chars < 1048576 then printf('%.1f KB', round(n_chars / 1024e0, 1)) else printf('%.1f MB', round(n_chars / 1048576e0, 1)) end as size, strftime(make_timestamp(n_chars * 1000000000), '%Y-%m-%d %H:%M UTC') as at, replace(replace(replace(replace(substr(text, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as safe from documents")
+@register("map_fmt", "select doc_id, case when n_chars < 1024 then printf('%d B', n_chars) when n_chars < 1048576 then printf('%.1f KB', round(n_chars / 1024e0, 1)) else printf('%.1f MB', round(n_chars / 1048576e0, 1)) end as size, strftime(make_timestamp(n_chars * 1000000000), '%Y-%m-%d %H:%M UTC') as at, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as safe from documents")
 def _fmt(s, d):
     at = F.date_format(F.timestamp_seconds(F.col("n_chars") * 1000), "yyyy-MM-dd HH:mm 'UTC'")
-    return table(s, d, "documents").select("doc_id", C.size_label(F.col("n_chars")).alias("size"), at.alias("at"), C.html_escape(F.substring("text", 1, 40)).alias("safe"))
+    return table(s, d, "documents").select("doc_id", C.size_label(F.col("n_chars")).alias("size"), at.alias("at"), C.html_escape(F.col("text")).alias("safe"))
 
 
 @register("map_nice_scale", "select p_partkey, case when p_retailprice / pow(10, floor(log10(p_retailprice))) >= 5 then 5 * pow(10, floor(log10(p_retailprice))) when p_retailprice / pow(10, floor(log10(p_retailprice))) >= 2 then 2 * pow(10, floor(log10(p_retailprice))) else pow(10, floor(log10(p_retailprice))) end as nice from part")
@@ -190,11 +190,11 @@ def _dml_review(s, d):
     return C.apply_reviews(r.unionByName(edits))
 
 
-@register("dml_version", with_views("select row, col, z from surf2 where row < 5", "surf2"))
+@register("dml_version", with_views("select row, col, z from surf2", "surf2"))
 def _dml_version(s, d):
     log = surface(s, d).withColumn("version_id", F.lit(1)).unionByName(surface(s, d, True).withColumn("version_id", F.lit(2)))
     head = log.agg(F.max("version_id").alias("version_id"))
-    return log.join(F.broadcast(head), "version_id").where("row < 5").select("row", "col", "z")
+    return log.join(F.broadcast(head), "version_id").select("row", "col", "z")
 
 
 @register("jn_version_diff", with_views("select a.row, a.col, b.x - a.x as dx, b.y - a.y as dy, round(b.z - a.z, 9) as dz from surf a join surf2 b on a.row = b.row and a.col = b.col", "surf", "surf2"))
@@ -209,16 +209,17 @@ def _hamt(s, d):
     return C.snapshot(log, 500)
 
 
-@register("dml_hashmap", with_views("select edit_type, map_from_entries(list((user_id, n) order by user_id)) as m from (select edit_type, user_id, count(*) as n from collab where user_id < 5 group by 1, 2) group by 1", "collab").replace("map_from_entries(list((user_id, n) order by user_id)) as m", "string_agg(user_id || ':' || n, ',' order by user_id) as m"))
+@register("dml_hashmap", with_views("select edit_type, map_from_entries(list((user_id, n) order by user_id)) as m from (select edit_type, user_id, count(*) as n from collab group by 1, 2) group by 1", "collab").replace("map_from_entries(list((user_id, n) order by user_id)) as m", "string_agg(user_id || ':' || n, ',' order by user_id) as m"))
 def _hashmap(s, d):
-    g = collab(s, d).where("user_id < 5").groupBy("edit_type", "user_id").agg(F.count("*").alias("n"))
+    g = collab(s, d).groupBy("edit_type", "user_id").agg(F.count("*").alias("n"))
     m = F.map_from_entries(F.array_sort(F.collect_list(F.struct("user_id", "n"))))
     return g.groupBy("edit_type").agg(m.alias("m")).select("edit_type", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("m"))
 
 
-@register("dml_git", with_views("select id, surface_id, ts, status from reviews where surface_id = 5 order by ts desc, id desc limit 10", "reviews"))
+@register("dml_git", with_views("select id, surface_id, ts, status from reviews qualify row_number() over (partition by surface_id order by ts desc, id desc) <= 10", "reviews"))
 def _git(s, d):
-    return reviews(s, d).where("surface_id = 5").orderBy(F.desc("ts"), F.desc("id")).limit(10).select("id", "surface_id", "ts", "status")
+    w = Window.partitionBy("surface_id").orderBy(F.desc("ts"), F.desc("id"))
+    return reviews(s, d).withColumn("n", F.row_number().over(w)).where("n <= 10").select("id", "surface_id", "ts", "status")
 
 
 @register("map_settings", "select n_name as name, coalesce(case when n_nationkey % 4 = 0 then 'project' end, case when n_nationkey % 3 = 0 then 'global' end, 'default') as value from nation")
@@ -234,12 +235,12 @@ for _rule, _sql in (("ours", "case when o.key is not null then o.value else x.va
     )
 
 
-@register("sm_broadcast", with_views("select c.event_id, u.user_id as receiver from collab c join (select distinct user_id from collab where user_id < 20) u on u.user_id <> c.user_id where c.event_id < 100", "collab"))
+@register("sm_broadcast", with_views("select c.event_id, u.user_id as receiver from collab c join (select distinct user_id, ts_ms // 3600000 as h from collab) u on u.h = c.ts_ms // 3600000 and u.user_id <> c.user_id", "collab"))
 def _broadcast(s, d):
-    c = collab(s, d)
-    users = c.where("user_id < 20").select(F.col("user_id").alias("receiver")).distinct()
-    e = c.where("event_id < 100").select("event_id", "user_id")
-    return e.join(users, F.col("receiver") != F.col("user_id")).select("event_id", "receiver")
+    """An event goes to the other users who are there in its hour."""
+    c = collab(s, d).withColumn("hour", F.floor(F.col("ts_ms") / 3_600_000))
+    users = c.select("hour", F.col("user_id").alias("receiver")).distinct()
+    return c.select("event_id", "user_id", "hour").join(users, "hour").where("receiver <> user_id").select("event_id", "receiver")
 
 
 @register("sm_handlers", with_views("select event_id, case when edit_type in (0, 1) and payload is not null then 'ack' when edit_type = 2 then 'chunk' else 'error' end as reply from collab", "collab"))

@@ -108,11 +108,11 @@ register("src_nrrd", _VOXELS)(lambda s, d: _pixels(images.read_nrrd(s, _planes(s
 register("src_npy", _VOXELS)(lambda s, d: _pixels(images.read_npy(s, _planes(s, d, "npy", _npy))))
 
 
-_CORNER = with_views("select row, col, x, y, round(z, 3) as z from surf where row < 6 and col < 6", "surf")
+_CORNER = with_views("select row, col, x, y, round(z, 3) as z from surf", "surf")
 
 
 def _corner(s, d):
-    return surface(s, d).where("row < 6 and col < 6").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "x", "y", F.round("z", 3).alias("z"))
+    return surface(s, d).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "x", "y", F.round("z", 3).alias("z"))
 
 
 @register("src_surface_json", _CORNER)
@@ -127,13 +127,14 @@ def _tifxyz(s, d):
     path = scratch.fresh(s, "surface")
 
     def run(pdf):
-        a = np.zeros((6, 6, 3), "f4")
+        # points that the grid lacks are marked as such
+        a = np.full((pdf.row.max() + 1, pdf.col.max() + 1, 3), -1, "f4")
         a[pdf.row, pdf.col] = pdf[["x", "y", "z"]]
         scratch.put(f"{path}/s.tif", images.tiff_bytes([a]))
         return pd.DataFrame({"n": [len(pdf)]})
 
     _corner(s, d).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "n long").count()
-    return images.read_tifxyz(s, f"{path}/s.tif").select("row", "col", "x", "y", F.round("z", 3).alias("z"))
+    return images.read_tifxyz(s, f"{path}/s.tif").where("x >= 0").select("row", "col", "x", "y", F.round("z", 3).alias("z"))
 
 
 @register("src_obj", with_views("select count(*) as faces, 8 as vertices from box", "box"))
@@ -284,7 +285,7 @@ def _mask_get(s, d):
     return log.groupBy("z", "y", "x").agg(F.max_by("m", "seq").alias("m"))
 
 
-@register("src_volpkg", "select url as path, case when url like '%/en/%' then 'volumes' else 'paths' end as kind from pages where page_id % 2 = 0")
+@register("src_volpkg", "select url as path, case when url like '%/en/%' then 'volumes' else 'paths' end as kind from pages")
 def _volpkg(s, d):
     u = F.col("url")
-    return table(s, d, "pages").where("page_id % 2 = 0").select(u.alias("path"), F.when(u.contains("/en/"), "volumes").otherwise("paths").alias("kind"))
+    return table(s, d, "pages").select(u.alias("path"), F.when(u.contains("/en/"), "volumes").otherwise("paths").alias("kind"))

@@ -20,9 +20,9 @@ def _nodes(s, d):
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
 
 
-@register("gr_cc", with_views("with recursive e as (select src as a, dst as b from edges where weight >= 2e-1 union select dst, src from edges where weight >= 2e-1), n as (select src as id from edges union select dst from edges), r as (select id, id as root from n union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as m from r group by 1) select id, dense_rank() over (order by m) - 1 as component from c", "edges"))
+@register("gr_cc", with_views("with recursive e as (select src as a, dst as b from edges where weight >= 65e-2 union select dst, src from edges where weight >= 65e-2), n as (select src as id from edges union select dst from edges), r as (select id, id as root from n union select e.b, r.root from r join e on e.a = r.id), c as (select id, min(root) as m from r group by 1) select id, dense_rank() over (order by m) - 1 as component from c", "edges"))
 def _cc(s, d):
-    return G.number(G.connected(_nodes(s, d), edges(s, d).where("weight >= 0.2"))).withColumn("component", F.col("component").cast("long"))
+    return G.number(G.connected(_nodes(s, d), edges(s, d).where("weight >= 0.65"))).withColumn("component", F.col("component").cast("long"))
 
 
 @register("gr_mst")

@@ -41,9 +41,9 @@ def surface(spark, d, shift: bool = False) -> DataFrame:
 
 
 def edges(spark, d) -> DataFrame:
-    """Bipartite graph of suppliers and part classes (src, dst, weight, k)."""
-    li = table(spark, d, "lineitem").where("l_suppkey % 10 = 3")
-    g = li.groupBy(F.col("l_suppkey").alias("src"), (F.lit(100000) + F.col("l_partkey") % 50).alias("dst")).agg((F.count("*") / 10.0).cast("double").alias("weight"))
+    """Bipartite graph of groups of ten suppliers and part classes (src, dst, weight, k)."""
+    li = table(spark, d, "lineitem")
+    g = li.groupBy(F.floor(F.col("l_suppkey") / 10).alias("src"), (F.lit(100000) + F.col("l_partkey") % 50).alias("dst")).agg((F.count("*") / 200.0).cast("double").alias("weight"))
     return g.withColumn("k", F.lit(360.0))
 
 
@@ -103,7 +103,7 @@ SQL = {
     "volf": "volf as (select vec_id // 16 as z, vec_id % 16 as y, cast(i - 1 as bigint) as x, round(cast(embedding[i] as double), 4) as v from embeddings, unnest(range(1, 65)) t(i) where i <= len(embedding))",
     "surf": "surf as (select p_partkey // 40 as row, p_partkey % 40 as col, cast(p_partkey % 40 as double) as x, cast(p_partkey // 40 as double) as y, cast(p_size % 7 + p_retailprice / 1e4 as double) as z from part)",
     "surf2": "surf2 as (select p_partkey // 40 as row, p_partkey % 40 as col, cast(p_partkey % 40 as double) as x, cast(p_partkey // 40 as double) as y, cast(p_size % 7 + p_retailprice / 1e4 + p_size as double) as z from part)",
-    "edges": "edges as (select l_suppkey as src, 100000 + l_partkey % 50 as dst, cast(count(*) as double) / 10 as weight, cast(360 as double) as k from lineitem where l_suppkey % 10 = 3 group by 1, 2)",
+    "edges": "edges as (select l_suppkey // 10 as src, 100000 + l_partkey % 50 as dst, cast(count(*) as double) / 200 as weight, cast(360 as double) as k from lineitem group by 1, 2)",
     "reviews": "reviews as (select o_orderkey as id, o_custkey % 100 as surface_id, o_custkey as reviewer_id, case o_orderstatus when 'F' then 1 when 'P' then 2 else 0 end as status, cast(epoch(o_orderdate) as bigint) as ts from orders)",
     "segments": "segments as (select s_suppkey as id, 'vol-' || s_nationkey as volume_id, s_name as name, '/surfaces/' || lower(s_name) || '.obj' as surface_path from supplier)",
     "annotations": "annotations as (select doc_id as id, doc_id % 10 as segment_id, case when toxic = 1 then 'circle' when quality = 1 then 'point' else 'line' end as type, '{\"quality\":' || quality || ',\"toxic\":' || toxic || '}' as data_json from labels)",

@@ -209,9 +209,9 @@ def _slice_quad(s, d):
     return V.sample(p, vol(s, d), ["row", "col"]).withColumn("value", F.round(F.col("value") + 123e-10, 6))
 
 
-@register("jn_sample", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol where v % 4 = 0), " + _taps("p.z, p.y, p.x", "t.z, t.y, t.x"), "vol"))
+@register("jn_sample", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol), " + _taps("p.z, p.y, p.x", "t.z, t.y, t.x"), "vol"))
 def _sample(s, d):
-    p = vol(s, d).where("v % 4 = 0").select(*ZYX, (F.col("z") + 0.75).alias("pz"), (F.col("y") + 1.0).alias("py"), (F.col("x") + 1.25).alias("px"))
+    p = vol(s, d).select(*ZYX, (F.col("z") + 0.75).alias("pz"), (F.col("y") + 1.0).alias("py"), (F.col("x") + 1.25).alias("px"))
     return V.sample(p, vol(s, d), ZYX).withColumn("value", F.round("value", 6))
 
 
@@ -221,9 +221,9 @@ def _slice_plane(s, d):
     return V.sample(g, vol(s, d), ["i", "j"]).withColumn("value", F.round("value", 6))
 
 
-@register("map_trilinear", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol where z < 5 and y < 15 and x < 15 and v % 8 = 0), " + _taps("p.z, p.y, p.x", "t.z, t.y, t.x"), "vol"))
+@register("map_trilinear", with_views("with p as (select z, y, x, z + 25e-2 as fz, y + 5e-1 as fy, x + 75e-2 as fx from vol), " + _taps("p.z, p.y, p.x", "t.z, t.y, t.x"), "vol"))
 def _trilinear(s, d):
-    p = vol(s, d).where("z < 5 and y < 15 and x < 15 and v % 8 = 0").select(*ZYX, (F.col("z") + 0.25).alias("pz"), (F.col("y") + 0.5).alias("py"), (F.col("x") + 0.75).alias("px"))
+    p = vol(s, d).select(*ZYX, (F.col("z") + 0.25).alias("pz"), (F.col("y") + 0.5).alias("py"), (F.col("x") + 0.75).alias("px"))
     return V.sample(p, vol(s, d), ZYX, "corner").withColumn("value", F.round("value", 6))
 
 

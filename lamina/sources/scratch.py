@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def fresh(spark: SparkSession, tag: str) -> str:
-    """A new local path or URI under ``spark.checkpoint.dir``; a temporary folder only for local sessions without one."""
+def shared(spark: SparkSession, tag: str) -> str:
+    """A new path under ``spark.checkpoint.dir``, as Spark names it; a temporary folder only for local sessions without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         base = tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/files/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/files/{tag}-{uuid.uuid4().hex}"
+
+
+def fresh(spark: SparkSession, tag: str) -> str:
+    """The same as a local path or URI, for readers and writers outside Spark."""
+    path = shared(spark, tag)
     return path.replace("file:///", "/").replace("file:/", "/") if path.startswith("file:") else path
 
 
