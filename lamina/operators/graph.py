@@ -9,10 +9,7 @@ from lamina.sources import scratch
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, where a checkpoint computes twice."""
-    path = scratch.shared(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch.cut(df, "graph")
 
 
 def _both(edges: DataFrame, *more: str) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources import scratch
+
 
 def dist2(a: str, b: str) -> Column:
     """Squared distance of the points with columns ``a``x.. and ``b``x.."""
@@ -30,17 +32,32 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     return j.where((F.col("dist") <= radius) & F.lit(radius > 0)).drop("cx", "cy", "cz")
 
 
-def nearest(points: DataFrame, targets: DataFrame, radius: float, rounds: int = 12) -> DataFrame:
-    """For each point the nearest target (ties: smallest tid), by searching cells of doubling radius; (qid, tid, dist)."""
-    out, left = None, points
-    for _ in range(rounds):
+def _reach(points: DataFrame, targets: DataFrame) -> float:
+    """No point is farther than this from a target; below 0 if a side is empty."""
+    box = lambda t, p: t.where(" and ".join(f"not isnan({p}{c})" for c in "xyz")).agg(*[f(f"{p}{c}").alias(f"{c}{k}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    a, b = box(points, "q"), box(targets, "t")
+    if None in a or None in b:
+        return -1.0
+    return math.dist([0.0] * 3, [max(a[f"{c}hi"], b[f"{c}hi"]) - min(a[f"{c}lo"], b[f"{c}lo"]) for c in "xyz"])
+
+
+def nearest(points: DataFrame, targets: DataFrame, radius: float, rounds: int | None = None) -> DataFrame:
+    """For each point the nearest target (ties: smallest tid), by searching cells of doubling radius until all have one; (qid, tid, dist).
+
+    The search ends when no point is left or the radius spans both tables; points with null or NaN coordinates have no row. Each round's rest is written once.
+    A caller who wants near targets only may end it after some ``rounds``.
+    """
+    reach, found, left = _reach(points, targets), [], points
+    while True:
         hit = within(left, targets, radius).groupBy("qid").agg(F.min(F.struct("dist", "tid")).alias("m")).select("qid", F.col("m.tid").alias("tid"), F.col("m.dist").alias("dist"))
-        out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit, "qid", "left_anti")
+        found.append(scratch.cut(hit, "nearest"))
+        if radius > reach or len(found) == rounds:
+            break
+        left = scratch.cut(left.join(found[-1], "qid", "left_anti"), "nearest")
         if left.isEmpty():
             break
         radius *= 2
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
 def hausdorff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -215,7 +215,8 @@ def plane_grid(spark, width: int, height: int, origin: tuple, u: tuple, v: tuple
 
 def lod_best(want: DataFrame, levels: DataFrame) -> DataFrame:
     """For each wanted voxel (level, z, y, x): the value of the finest level at or above it that has it, with coordinates halved per level."""
-    j = want.withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(8))))
+    last = levels.agg(F.max("level")).first()[0]
+    j = want.where(F.col("level") <= F.lit(-1 if last is None else last)).withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(last or 0).cast("int"))))
     for c in ZYX:
         j = j.withColumn(f"s{c}", F.expr(f"shiftright({c}, at - level)"))
     have = levels.select(F.col("level").alias("at"), *[F.col(c).alias(f"s{c}") for c in ZYX], "v")

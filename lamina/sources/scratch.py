@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession, tag: str) -> str:
@@ -25,6 +25,13 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return path.replace("file:///", "/").replace("file:/", "/") if path.startswith("file:") else path
 
 
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, where a checkpoint computes twice."""
+    path = shared(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put(path: str, data: bytes) -> None:
     """Write a file through Arrow's file systems, making its folder."""
     from lamina.sources.zarr import open_path

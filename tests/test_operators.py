@@ -191,3 +191,31 @@ def test_kernels_keep_constants_and_lines():
     hole = np.zeros((7, 7), bool)
     hole[3, 3] = True
     assert K.inpaint(np.full((7, 7), 5.0), hole)[3, 3] == pytest.approx(5)
+
+
+def test_nearest_reaches_far_targets(spark):
+    import itertools
+    import math
+
+    from lamina.operators import spatial
+
+    q = [(0, 0.0, 0.0, 0.0), (1, 3.0, 1.0, 2.0), (2, 1e6, -2e5, 7.0), (3, float("nan"), 0.0, 0.0)]
+    t = [(10, 5e5, 0.0, 0.0), (11, 5e5, 0.0, 0.0), (12, -4e5, 3.0, 1.0)]
+    points, targets = spark.createDataFrame(q, "qid long, qx double, qy double, qz double"), spark.createDataFrame(t, "tid long, tx double, ty double, tz double")
+    got = {r["qid"]: (r["tid"], r["dist"]) for r in spatial.nearest(points, targets, 0.5).collect()}
+    want = {}
+    for a, b in itertools.product(q[:3], t):
+        want[a[0]] = min(want.get(a[0], (math.inf, 0)), (math.dist(a[1:], b[1:]), b[0]))
+    assert {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][0]) < 1e-6 for k in want)
+    assert spatial.nearest(points, targets.limit(0), 0.5).count() == 0
+
+
+def test_best_level_beyond_eight(spark):
+    from lamina.operators import volume
+
+    want = spark.createDataFrame([(9, 4, 5, 6), (3, 64, 80, 96), (12, 0, 0, 0)], "level int, z long, y long, x long")
+    levels = spark.createDataFrame([(10, 2, 2, 3, 7)], "level int, z long, y long, x long, v int")
+    got = {(r["level"], r["v"], r["found"]) for r in volume.lod_best(want, levels).collect()}
+    assert got == {(9, 7, 10)}
+    assert volume.lod_best(want, levels.limit(0)).count() == 0
