@@ -151,7 +151,18 @@ class Index:
         first, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
         where = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         cos = np.bincount(self.owner[where], np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=len(self.y))
-        # what lies below the last voter, and what ties with nothing, need no sorting
+        return self._top(cos)
+
+    def _everywhere(self, at, w) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of all blocks, a term at a time."""
+        cos = np.zeros(len(self.y))
+        for t, x in zip(at.tolist(), w.tolist(), strict=True):
+            i, j = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
+            cos[self.owner[i:j]] += x * self.weight[i:j]
+        return self._top(cos)
+
+    def _top(self, cos) -> tuple[np.ndarray, np.ndarray]:
+        # what lies below the last voter needs no sorting; one more, as an example may be left out
         least = np.partition(cos, -self.voters - 1)[-self.voters - 1] if len(cos) > self.voters else 0.0
         hit = np.flatnonzero(cos >= least) if least > 0 else np.flatnonzero(cos)
         return hit, cos[hit]
@@ -167,8 +178,10 @@ class Index:
             if len(best_c) == self.voters:
                 blocks = blocks[bound[blocks] * (1 + 1e-9) >= best_c[-1]]
             blocks = blocks[bound[blocks] > 0]
+            if 3 * len(blocks) > self.blocks:  # most blocks: all of them, which is cheaper than picking
+                best_i, best_c = np.zeros(0, int), np.zeros(0)
             if len(blocks):
-                i, c = self._cosines(at, w, blocks)
+                i, c = self._everywhere(at, w) if 3 * len(blocks) > self.blocks else self._cosines(at, w, blocks)
                 i, c = np.concatenate([best_i, i[i != without]]), np.concatenate([best_c, c[i != without]])
                 top = np.lexsort((i, -c))[: self.voters]
                 best_i, best_c = i[top], c[top]
