@@ -36,7 +36,7 @@ def _reach(points: DataFrame, targets: DataFrame) -> float:
     """No point is farther than this from a target; below 0 if a side is empty."""
     box = lambda t, p: t.where(" and ".join(f"not isnan({p}{c})" for c in "xyz")).agg(*[f(f"{p}{c}").alias(f"{c}{k}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))]).first()
     a, b = box(points, "q"), box(targets, "t")
-    if None in a or None in b:
+    if any(x is None for x in (*a, *b)):
         return -1.0
     return math.dist([0.0] * 3, [max(a[f"{c}hi"], b[f"{c}hi"]) - min(a[f"{c}lo"], b[f"{c}lo"]) for c in "xyz"])
 
