@@ -3,8 +3,10 @@
 Terms are lower-cased words and their first letters. Every term of the sample that goes with the label in either direction (likelihood
 ratio of at least ``TELLING``; near copies of a text count about once) spans the vectors, pure or not: words that clean texts use too stay, and clean
 examples are neighbours like toxic ones. A bounded sample of labelled rows gives the examples. An
-inverted index holds each term's weights in blocks of examples with the block's largest weight. The blocks with the highest
-upper bounds are looked at first, then all whose bound reaches the k-th cosine found there, so a document's nearest
+inverted index holds each term's weights in blocks of examples with the block's largest weight; postings of frequent terms are rows over
+all examples, added up for a batch of texts by one product. A block's bound is its largest such sum and the largest weights of the other
+terms. The blocks with the highest bounds are looked at first, then all whose bound reaches the k-th cosine found there, and what may be
+among the nearest is summed again in double precision, so a document's nearest
 examples are exact; they vote with their cosine, and their ids are the evidence. Votes become scores by a monotone
 calibration, fitted to the votes that each example gets from the others.
 
@@ -27,6 +29,8 @@ from .textgrid import grids, mix
 
 #: Labelled rows at most; examples a block; voters; blocks that are looked at first.
 EXAMPLES, BLOCK, VOTERS, FIRST = 12000, 128, 25, 8
+#: Terms in more than one example of so many are added up for a batch of texts at once; texts a batch.
+FREQUENT, BATCH = 16, 64
 #: Bytes of the word beginnings that are terms of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Likelihood ratio from which a term is telling (chance gives it to one term in about 600).
@@ -120,6 +124,9 @@ class Index:
         term = np.concatenate([x[2] for x in examples] or [np.zeros(0, int)]).astype(int)
         owner = np.repeat(np.arange(n), [len(x[2]) for x in examples])
         weight = np.concatenate([self.weights(x[2], x[3]) for x in examples] or [np.zeros(0)])
+        # the same by example, for exact cosines
+        self.row_term, self.row_weight = term.astype(np.int32), weight
+        self.rows = np.searchsorted(owner, np.arange(n + 1))
         order = np.lexsort((owner, term))
         term, self.owner, self.weight = term[order], owner[order].astype(np.int32), weight[order]
         cell = term * self.blocks + self.owner // BLOCK
@@ -132,74 +139,113 @@ class Index:
         empty = [x[1] for x in examples if not len(x[2])]
         self.without = (sum(empty) + self.base) / (len(empty) + 1) if n else 0.5
         self._known: dict = {}
+        self._spread()
         self.knots = None
         full = [i for i, x in enumerate(examples) if len(x[2])]
         if full:
-            votes = np.array([self._share(*self.nearest(examples[i][2], examples[i][3], without=i)) for i in full])
+            votes = np.array([self._share(*found) for found in self.nearest_of([examples[i][2:] for i in full], full)])
             self.knots = monotone(votes, self.y[full])
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        # the rows of frequent terms are drawn up again from their postings where the index is used
+        return self.__dict__ | {"_known": {}, "often": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._spread()
+
+    def _spread(self):
+        """Postings of frequent terms as rows over all examples, which a batch of texts adds up at once."""
+        size = np.diff(self.starts[:: self.blocks]) if self.blocks else np.zeros(len(self.vocabulary), int)
+        frequent = np.flatnonzero(size * FREQUENT > len(self.y))
+        self.slot = np.full(len(self.vocabulary), -1)
+        self.slot[frequent] = np.arange(len(frequent))
+        self.often = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        for k, t in enumerate(frequent):
+            i, j = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
+            self.often[k, self.owner[i:j]] = self.weight[i:j]
+        # single precision only chooses what is looked at: sums of products of unit vectors are off by less
+        self.slack = 1.2e-7 * (len(frequent) + 8)
 
     def weights(self, at, count) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[at]
         return w / max(np.linalg.norm(w), 1e-12) if len(at) else w
 
-    def _cosines(self, at, w, blocks) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of some blocks."""
-        cells = (at[:, None] * self.blocks + blocks[None, :]).ravel()
-        first, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
-        where = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        cos = np.bincount(self.owner[where], np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=len(self.y))
-        return self._top(cos)
-
-    def _everywhere(self, at, w) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of all blocks, a term at a time."""
-        cos = np.zeros(len(self.y))
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            i, j = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
-            cos[self.owner[i:j]] += x * self.weight[i:j]
-        return self._top(cos)
-
-    def _top(self, cos) -> tuple[np.ndarray, np.ndarray]:
-        # what lies below the last voter needs no sorting; one more, as an example may be left out
-        least = np.partition(cos, -self.voters - 1)[-self.voters - 1] if len(cos) > self.voters else 0.0
-        hit = np.flatnonzero(cos >= least) if least > 0 else np.flatnonzero(cos)
-        return hit, cos[hit]
-
-    def nearest(self, at: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples (but ``without``) with the largest cosines (ties: the first) and the cosines; only those above 0."""
-        at = np.asarray(at, int)
-        w = self.weights(at, count)
-        bound = w @ self.bounds[at]
+    def _opened(self, at, w, blocks, sums) -> np.ndarray:
+        """Cosines with the examples of some blocks, but for the slack: sums of frequent terms and the postings of the others."""
+        got = sums[blocks].astype(float)
+        if len(at):
+            cells = (at[:, None] * self.blocks + blocks[None, :]).ravel()
+            first, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            where = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat(np.tile(np.arange(len(blocks)), len(at)), n) * BLOCK + self.owner[where] % BLOCK
+            got += np.bincount(place, np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=got.size).reshape(got.shape)
+        return got.ravel()
+
+    def _exact(self, at, w, examples) -> np.ndarray:
+        """Cosines with some examples in double precision, each summed in the order of its terms."""
+        whole = np.zeros(len(self.vocabulary))
+        whole[at] = w
+        first, n = self.rows[examples], self.rows[examples + 1] - self.rows[examples]
+        where = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(np.repeat(np.arange(len(examples)), n), whole[self.row_term[where]] * self.row_weight[where], minlength=len(examples))
+
+    def _search(self, at, w, sums, without: int) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.slot[at] < 0
+        some, x = at[rare], w[rare]
+        # the largest sum of frequent terms in a block and the other terms' largest weights bound its cosines
+        bound = sums.max(axis=1) + x @ self.bounds[some]
         order = np.argsort(-bound, kind="stable")
-        best_i, best_c = np.zeros(0, int), np.zeros(0)
+        order = order[bound[order] > 0]
+        wanted, least = self.voters + (without >= 0), 0.0
+        examples, near = np.zeros(0, int), np.zeros(0)
         for blocks in (order[:FIRST], order[FIRST:]):
-            if len(best_c) == self.voters:
-                blocks = blocks[bound[blocks] * (1 + 1e-9) >= best_c[-1]]
-            blocks = blocks[bound[blocks] > 0]
-            if 3 * len(blocks) > self.blocks:  # most blocks: all of them, which is cheaper than picking
-                best_i, best_c = np.zeros(0, int), np.zeros(0)
+            blocks = blocks[bound[blocks] + self.slack >= least]
             if len(blocks):
-                i, c = self._everywhere(at, w) if 3 * len(blocks) > self.blocks else self._cosines(at, w, blocks)
-                i, c = np.concatenate([best_i, i[i != without]]), np.concatenate([best_c, c[i != without]])
-                top = np.lexsort((i, -c))[: self.voters]
-                best_i, best_c = i[top], c[top]
-        return best_i, best_c
+                got = self._opened(some, x, blocks, sums)
+                keep = np.flatnonzero((got > 0) & (got + self.slack >= least))
+                examples = np.concatenate([examples, blocks[keep // BLOCK] * BLOCK + keep % BLOCK])
+                near = np.concatenate([near, got[keep]])
+                if len(near) >= wanted:
+                    least = np.partition(near, -wanted)[-wanted] - self.slack
+        examples = np.sort(examples[(near + self.slack >= least) & (examples != without)])
+        cos = self._exact(at, w, examples)
+        top = np.lexsort((examples, -cos))[: self.voters]
+        return examples[top], cos[top]
+
+    def nearest_of(self, texts: list[tuple], without: list[int] | None = None):
+        """``nearest`` of many (terms' positions, counts), a batch at a time."""
+        for lo in range(0, len(texts), BATCH):
+            part = [(np.asarray(at, int), self.weights(np.asarray(at, int), count)) for at, count in texts[lo : lo + BATCH]]
+            batch = np.zeros((len(part), len(self.often)), np.float32)
+            for r, (at, w) in enumerate(part):
+                slot = self.slot[at]
+                batch[r, slot[slot >= 0]] = w[slot >= 0]
+            sums = (batch @ self.often).reshape(len(part), self.blocks, BLOCK)
+            for r, (at, w) in enumerate(part):
+                yield self._search(at, w, sums[r], -1 if without is None else without[lo + r])
+
+    def nearest(self, at: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The examples (but ``without``) with the largest cosines (ties: the first) and the cosines; only those above 0."""
+        return next(self.nearest_of([(at, count)], [without]))
 
     def _share(self, i: np.ndarray, c: np.ndarray) -> float:
         """Cosine-weighted share of label 1, drawn a little to the overall rate."""
         return float((c @ self.y[i] + 0.2 * self.base) / (c.sum() + 0.2))
 
+    def votes(self, texts: list[tuple]) -> list[tuple[float, list]]:
+        """Score and the ids of the nearest examples, for each (terms' positions, counts)."""
+        keys = [(at.tobytes(), count.tobytes()) for at, count in texts]
+        if len(self._known) > 50_000:
+            self._known.clear()
+        new = {k: x for k, x in zip(keys, texts, strict=True) if k not in self._known}
+        for k, (i, c) in zip(new, self.nearest_of(list(new.values())), strict=True):
+            self._known[k] = (float(np.interp(self._share(i, c), *self.knots)), [self.ids[j] for j in i[:5]]) if len(i) else (self.without, [])
+        return [self._known[k] for k in keys]
+
     def vote(self, at: np.ndarray, count: np.ndarray) -> tuple[float, list]:
-        """Score and the ids of the nearest examples."""
-        key = (at.tobytes(), count.tobytes())
-        if key not in self._known:
-            if len(self._known) > 50_000:
-                self._known.clear()
-            i, c = self.nearest(at, count)
-            self._known[key] = (float(np.interp(self._share(i, c), *self.knots)), [self.ids[j] for j in i[:5]]) if len(i) else (self.without, [])
-        return self._known[key]
+        """``votes`` of one text."""
+        return self.votes([(at, count)])[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -235,8 +281,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
                 row, at, count = weighted(*terms(g), m.vocabulary)
                 out: list = [(m.without, [])] * g.rows
                 cut = np.searchsorted(row, np.arange(g.rows + 1))
-                for r in np.unique(row):
-                    out[r] = m.vote(at[cut[r] : cut[r + 1]], count[cut[r] : cut[r + 1]])
+                some = np.unique(row)
+                for r, found in zip(some, m.votes([(at[cut[r] : cut[r + 1]], count[cut[r] : cut[r + 1]]) for r in some]), strict=True):
+                    out[r] = found
                 ids = b.column(0).slice(g.first_row, g.rows)
                 yield pa.record_batch([ids, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(ids.type))], names=["id", "score", "evidence"])
 
