@@ -16,6 +16,7 @@ NAMES = {
     "op7_mixing": "mixing",
     "op8_kdtree": "kdtree",
     "op10_topk": "topk",
+    "op11_secrets": "secrets",
     "op13_infill": "infill",
 }
 
