@@ -17,6 +17,7 @@ NAMES = {
     "op8_kdtree": "kdtree",
     "op10_topk": "topk",
     "op11_secrets": "secrets",
+    "op12_negatives": "negatives",
     "op13_infill": "infill",
 }
 
