@@ -1,8 +1,8 @@
 """Dense blocks: voxel tables become chunk rows, kernels run on chunks with halos.
 
 A chunk row is (cz, cy, cx, data) with float64 values in raster order, padded to the full chunk; NaN marks
-absent voxels. A kernel that needs neighbours gets them by the halo exchange: every chunk sends its rows to the chunks
-around it, and one grouped task assembles a chunk with its surroundings.
+absent voxels. A kernel that needs neighbours gets them by the halo exchange: every chunk sends the slabs that its
+neighbours need, and one grouped task assembles a chunk with its surroundings.
 """
 
 from __future__ import annotations
@@ -42,37 +42,76 @@ def to_voxels(chunks: DataFrame, chunk: tuple) -> DataFrame:
     return chunks.mapInPandas(split, "z long, y long, x long, v double")
 
 
-def with_halo(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np.ndarray, tuple], np.ndarray], shape: tuple) -> DataFrame:
-    """Apply ``kernel(block with halo, origin of the block)`` to every chunk; edges of the volume repeat their last voxel.
+SLAB = "tz long, ty long, tx long, oz long, oy long, ox long, nz int, ny int, nx int, data binary"
 
-    ``halo`` may not exceed the chunk. The kernel returns an array of the block's size; its inside becomes the chunk.
+
+def shape_of(voxels: DataFrame) -> tuple[int, int, int]:
+    """One past the largest coordinates (z, y, x) of a voxel table."""
+    top = voxels.agg(*[F.coalesce(F.max(c), F.lit(-1)).alias(c) for c in "zyx"]).first()
+    return tuple(int(top[c]) + 1 for c in "zyx")
+
+
+def _slabs(chunk: tuple, halo: int, counts: list):
+    """Each chunk for itself, and the parts of it within ``halo`` of a neighbour for that neighbour; nothing else is sent."""
+
+    def cut(n, d):
+        return slice(0, halo) if d < 0 else slice(n - halo, n) if d > 0 else slice(0, n)
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, out = np.frombuffer(r.data).reshape(chunk), []
+                for d in np.ndindex(3, 3, 3):
+                    d = [k - 1 for k in d]
+                    to = [c + k for c, k in zip((r.cz, r.cy, r.cx), d, strict=True)]
+                    if any(not 0 <= t < n for t, n in zip(to, counts, strict=True)) or (any(d) and not halo):
+                        continue
+                    at = tuple(cut(n, k) for n, k in zip(chunk, d, strict=True))
+                    part = np.ascontiguousarray(a[at])
+                    out.append((*to, *[c * n + x.start for c, n, x in zip((r.cz, r.cy, r.cx), chunk, at, strict=True)], *part.shape, part.tobytes()))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SLAB.split(", ")])
+
+    return run
+
+
+def over_blocks(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np.ndarray, tuple, tuple], pd.DataFrame], shape: tuple, schema: str, outside: str = "edge") -> DataFrame:
+    """Rows of ``kernel(block, first voxel of the chunk, size of the chunk)`` for every chunk and its surroundings of ``halo`` voxels.
+
+    Voxels outside the volume repeat its last ones (``outside`` "edge") or are 0 ("zero"); absent voxels inside are 0. ``halo`` may not exceed the chunk.
     """
     if halo > min(chunk):
         raise ValueError("a halo reaches into the next chunk only")
     counts = [-(-n // c) for n, c in zip(shape, chunk, strict=True)]
-    near = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("zyx", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    sent = chunks.withColumn("_o", F.explode(near)).select(*[(F.col(f"c{k}") + F.col(f"_o.{k}")).alias(f"t{k}") for k in "zyx"], "cz", "cy", "cx", "data")
-    sent = sent.where(" and ".join(f"t{k} >= 0 and t{k} < {n}" for k, n in zip("zyx", counts, strict=True)))
 
     def run(key, pdf):
-        lo = [max(0, k * c - halo) for k, c in zip(key, chunk, strict=True)]
-        hi = [min(n, (k + 1) * c + halo) for k, c, n in zip(key, chunk, shape, strict=True)]
+        key = [int(k) for k in key]
+        first = [k * c for k, c in zip(key, chunk, strict=True)]
+        size = tuple(min(c, n - f) for c, n, f in zip(chunk, shape, first, strict=True))
+        lo = [max(0, f - halo) for f in first]
+        hi = [min(n, f + c + halo) for f, c, n in zip(first, chunk, shape, strict=True)]
         block = np.zeros([b - a for a, b in zip(lo, hi, strict=True)])
         for r in pdf.itertuples():
-            at = [r.cz * chunk[0], r.cy * chunk[1], r.cx * chunk[2]]
-            a = np.nan_to_num(np.frombuffer(r.data).reshape(chunk))
-            cut = [(max(p, q), min(p + c, e)) for p, q, c, e in zip(at, lo, chunk, hi, strict=True)]
+            at, n = (r.oz, r.oy, r.ox), (r.nz, r.ny, r.nx)
+            a = np.nan_to_num(np.frombuffer(r.data).reshape(n))
+            cut = [(max(p, q), min(p + m, e)) for p, q, m, e in zip(at, lo, n, hi, strict=True)]
             if all(e > s for s, e in cut):
                 block[tuple(slice(s - q, e - q) for (s, e), q in zip(cut, lo, strict=True))] = a[tuple(slice(s - p, e - p) for (s, e), p in zip(cut, at, strict=True))]
-        pad = [(halo - (k * c - a), halo - (b - min(n, (k + 1) * c))) for k, c, a, b, n in zip(key, chunk, lo, hi, shape, strict=True)]
-        block = np.pad(block, pad, mode="edge")
-        got = kernel(block, tuple(a - p[0] for a, p in zip(lo, pad, strict=True)))
-        inner = got[tuple(slice(halo, g - halo) for g in got.shape)]
+        pad = [(halo - (f - a), halo - (b - f - m)) for f, a, b, m in zip(first, lo, hi, size, strict=True)]
+        return kernel(np.pad(block, pad, **({"mode": "edge"} if outside == "edge" else {})), tuple(first), size)
+
+    return chunks.mapInPandas(_slabs(chunk, halo, counts), SLAB).groupBy("tz", "ty", "tx").applyInPandas(run, schema)
+
+
+def with_halo(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np.ndarray, tuple], np.ndarray], shape: tuple, outside: str = "edge") -> DataFrame:
+    """Apply ``kernel(block with halo, origin of the block)`` to every chunk. The kernel returns an array of the block's size; its inside becomes the chunk."""
+
+    def run(block, first, size):
+        got = kernel(block, tuple(f - halo for f in first))
         out = np.full(chunk, np.nan)
-        out[tuple(slice(0, n) for n in inner.shape)] = inner
-        return pd.DataFrame([(*key, out.tobytes())], columns=["cz", "cy", "cx", "data"])
+        out[tuple(slice(0, n) for n in size)] = got[tuple(slice(halo, halo + n) for n in size)]
+        return pd.DataFrame([(*[f // c for f, c in zip(first, chunk, strict=True)], out.tobytes())], columns=["cz", "cy", "cx", "data"])
 
-    return sent.groupBy("tz", "ty", "tx").applyInPandas(run, CHUNK)
+    return over_blocks(chunks, chunk, halo, run, shape, CHUNK, outside)
 
 
 def lines(voxels: DataFrame, axis: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -84,3 +123,30 @@ def lines(voxels: DataFrame, axis: str, kernel: Callable[[np.ndarray, np.ndarray
         return pdf.assign(v=kernel(pdf[axis].to_numpy(), pdf.v.to_numpy()))[["z", "y", "x", "v"]]
 
     return voxels.groupBy(*rest).applyInPandas(run, "z long, y long, x long, v double")
+
+
+def thin(mask: DataFrame, chunk: tuple, shape: tuple, rounds: int | None = None) -> DataFrame:
+    """Skeleton (z, y, x) of the voxels of ``mask``: rounds of directional thinning until nothing changes, or ``rounds`` of them.
+
+    A round depends on six voxels around each one, so one exchange of six layers serves its six directions; the result does
+    not depend on the chunks. Chunks without voxels are not kept.
+    """
+    from lamina.functions.kernels import thin3d_round
+    from lamina.sources import scratch
+
+    def some(batches):
+        for pdf in batches:
+            yield pdf[[bool((np.nan_to_num(np.frombuffer(x)) != 0).any()) for x in pdf.data]]
+
+    def total(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [int(sum(np.nan_to_num(np.frombuffer(x)).sum() for x in pdf.data))]})
+
+    now = scratch.cut(to_chunks(mask.select("z", "y", "x", F.lit(1.0).alias("v")), chunk), "thin")
+    left, done = now.mapInPandas(total, "n long").agg(F.sum("n")).first()[0], 0
+    while rounds is None or done < rounds:
+        now = scratch.cut(with_halo(now, chunk, 6, lambda a, o: thin3d_round(a > 0).astype(float), shape, "zero").mapInPandas(some, CHUNK), "thin")
+        before, left, done = left, now.mapInPandas(total, "n long").agg(F.sum("n")).first()[0], done + 1
+        if left == before:
+            break
+    return to_voxels(now, chunk).where("v > 0").select("z", "y", "x")

@@ -138,12 +138,6 @@ def _convert(s, d):
     return c.groupBy("g").agg(F.round(F.max(F.when(F.col("j") == 1, F.col("c"))), 6).alias("slope"), F.round(F.max(F.when(F.col("j") == 0, F.col("c"))), 6).alias("base"))
 
 
-@register("sf_grow_cli", with_views("select -1 as row, col, round(2 * a.x - b.x, 6) as x, round(2 * a.y - b.y, 6) as y, round(2 * a.z - b.z, 6) as z from (select * from surf where row = 0) a join (select col, x, y, z from surf where row = 1) b using (col)", "surf"))
-def _grow(s, d):
-    g = M.grow(surface(s, d).withColumn("g", F.lit(1)), "g", 1)
-    return g.where("row = -1 and col between 0 and 39").select(F.col("row").cast("int").alias("row"), "col", *[F.round(k, 6).alias(k) for k in "xyz"])
-
-
 @register("sf_flatten_lscm")
 def _flatten(s, d):
     """Conformal flattening of a corner of the surface; a flat sheet keeps its shape in tests."""
