@@ -13,7 +13,8 @@ Items without such a window (short ones, and those dense in numbers or names) ar
 they have fewer than ``WINDOW`` words and signs, else by windows and ``SHARE``.
 
 The benchmark's windows are counted; up to ``BROADCAST_ROWS`` they are broadcast and no text is shuffled, beyond
-that the join is by shuffle. Only ids of matched documents and matched windows are ever grouped.
+that the join is by shuffle. Only ids of matched documents and matched windows are ever grouped. Values are read only from
+documents whose hits, consistent or not, would suffice for a leak; their ids are counted and broadcast up to ``BROADCAST_IDS``, so texts are shuffled beyond that only.
 
 Edge cases: private signs that serve as placeholders are taken out of texts first; null and empty texts match nothing, nor do items of nothing but punctuation; repeated items are reported each; a repeated doc_id counts as one document; empty tables give an empty
 result; extra columns are not read.
@@ -30,8 +31,8 @@ from .store import materialize
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 #: Words copied with their values that make a leak whatever their share.
 RUN = 50
-#: Benchmark windows that may be broadcast (16 bytes each and their overhead: under 64 MB).
-BROADCAST_ROWS = 500_000
+#: Benchmark windows that may be broadcast (16 bytes each and their overhead: under 64 MB), and ids of documents (8 bytes each: the same).
+BROADCAST_ROWS, BROADCAST_IDS = 500_000, 1_000_000
 NUMBER, NAME, UNIT = "", "", ""
 #: Units that are recognised behind a number.
 UNITS = "km|cm|mm|m|miles|mile|feet|foot|ft|inches|inch|kg|g|mg|lbs|pounds|pound|tons|ton|l|ml|litres|liters|gallons|hours|hour|hrs|minutes|minute|min|seconds|second|s|days|day|weeks|week|months|years|year|dollars|euros|usd|eur|cents|percent|degrees|kmh|mph|kwh|watts|volts"
@@ -114,7 +115,8 @@ def matches(docs: DataFrame, known: DataFrame, n: int = WINDOW, id_col: str = "d
 def consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The slotted ``hits`` whose values agree with their copy's most frequent reading of each item value; a copy is the hits of one distance."""
     words = lambda df, key, text, out: df.select(F.col(key).alias(out), template(F.col(text), values=True).alias(f"_{out}"))
-    few = docs.join(hits.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    wanted = materialize(hits.select(F.col("doc_id").alias(id_col)).where(F.col("doc_id").isNotNull()).distinct(), "wanted")
+    few = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, id_col, "left_semi")
     x = hits.join(words(few, id_col, text_col, "doc_id").dropDuplicates(["doc_id"]), "doc_id").join(words(items, item_col, item_text, "item_id").dropDuplicates(["item_id"]), "item_id")
     mine, theirs = F.slice("_doc_id", F.col("pos") + 1, F.lit(n)), F.slice("_item_id", F.col("at") + 1, F.lit(n))
     pairs = F.filter(F.arrays_zip(theirs.alias("t"), mine.alias("m")), lambda p: F.substring(p["t"], 1, 1).isin(NUMBER, NAME, UNIT))
@@ -128,10 +130,19 @@ def consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, n: int = WIND
     return same.select("doc_id", "item_id", (F.col("far") + F.col("at")).alias("pos"), "at", "changed")
 
 
+def possible(hits: DataFrame, known: DataFrame, n: int, share: float) -> DataFrame:
+    """The ``hits`` of documents and items that can be leaks at all: if every hit counted, their share or a run would suffice."""
+    total = known.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
+    enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("m")).join(total, "item_id").where(F.col("m") >= share * F.col("windows"))
+    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("far")).agg(F.countDistinct("at").alias("run")).where(F.col("run") > RUN - n)
+    pairs = enough.select("doc_id", "item_id").unionByName(runs.select("doc_id", "item_id")).distinct().toDF("_d", "_i")
+    return hits.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("item_id") == F.col("_i")), "left_semi")
+
+
 def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, windows, changed): the documents that contain an item; ``changed`` tells whether values behind its placeholders differ."""
     known = materialize(benchmark_windows(items, n, LITERAL, item_col, item_text), "benchmark")
-    hits = materialize(matches(docs, known, n, id_col, text_col), "hits")
+    hits = materialize(possible(materialize(matches(docs, known, n, id_col, text_col), "windows"), known, n, share), "hits")
     slotted = hits.where("slotted")
     plain = hits.where("not slotted").select("doc_id", "item_id", "pos", "at", F.lit(False).alias("changed"))
     if not slotted.isEmpty():
