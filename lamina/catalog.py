@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    for module in ("volume_queries", "surface_queries", "catalog_queries", "iterative_queries", "more_queries", "file_queries", "shape_queries"):
+    for module in ("volume_queries", "surface_queries", "catalog_queries", "iterative_queries", "more_queries", "file_queries", "shape_queries", "derived_queries"):
         importlib.import_module(f"lamina.plans.{module}")
 
 

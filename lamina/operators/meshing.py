@@ -1,12 +1,10 @@
-"""Surface fitting, growing, flattening and simplification; one surface a group, solved with NumPy."""
+"""Small dense helpers for one patch or group: terms, triangles, simplification, least squares."""
 
 from __future__ import annotations
 
 import heapq
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 
 def polynomial_terms(degree: int) -> list[tuple[int, int]]:
@@ -14,53 +12,6 @@ def polynomial_terms(degree: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(degree + 1) for j in range(degree + 1 - i)]
 
 
-def fit_heights(points: DataFrame, key: str, degree: int) -> DataFrame:
-    """Least-squares z = sum c y^i x^j per group of points (x, y, z); groups of fewer than four points are left out."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        terms = polynomial_terms(degree)
-        if len(pdf) < 4:
-            return pd.DataFrame({key: [], "i": [], "j": [], "c": []})
-        a = np.stack([pdf.y**i * pdf.x**j for i, j in terms], 1)
-        c = np.linalg.lstsq(a, pdf.z, rcond=None)[0]
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": [t[0] for t in terms], "j": [t[1] for t in terms], "c": c})
-
-    return points.groupBy(key).applyInPandas(fit, f"{key} {dict(points.dtypes)[key]}, i int, j int, c double")
-
-
-def grow_ring(grid: np.ndarray, score=None, steps: int = 4) -> np.ndarray:
-    """A (rows, cols, 3) surface with one extrapolated ring; ``score(points)`` may pull each new point along z to the best of a few offsets."""
-    out = np.pad(grid, ((1, 1), (1, 1), (0, 0)))
-    out[0, 1:-1] = 2 * grid[0] - grid[min(1, len(grid) - 1)]
-    out[-1, 1:-1] = 2 * grid[-1] - grid[max(-2, -len(grid))]
-    out[:, 0] = 2 * out[:, 1] - out[:, min(2, out.shape[1] - 1)]
-    out[:, -1] = 2 * out[:, -2] - out[:, max(-3, -out.shape[1])]
-    if score is not None:
-        ring = np.ones(out.shape[:2], bool)
-        ring[1:-1, 1:-1] = False
-        offsets = np.linspace(-1, 1, 2 * steps + 1)
-        p = out[ring]
-        s = np.stack([score(p + [0, 0, d]) for d in offsets])
-        p[:, 2] += offsets[np.argmax(s, 0)]
-        out[ring] = p
-    return out
-
-
-def grow(surface: DataFrame, key: str, generations: int) -> DataFrame:
-    """Surfaces (key, row, col, x, y, z) with extrapolated rings; rows and columns start at minus the number of rings."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf.row.min(), pdf.col.min()
-        g = np.zeros((pdf.row.max() - r0 + 1, pdf.col.max() - c0 + 1, 3))
-        g[pdf.row - r0, pdf.col - c0] = pdf[["x", "y", "z"]]
-        for _ in range(generations):
-            g = grow_ring(g)
-        r, c = np.indices(g.shape[:2])
-        return pd.DataFrame({key: pdf[key].iloc[0], "row": r.ravel() + r0 - generations, "col": c.ravel() + c0 - generations, "x": g[..., 0].ravel(), "y": g[..., 1].ravel(), "z": g[..., 2].ravel()})
-
-    return surface.groupBy(key).applyInPandas(run, f"{key} {dict(surface.dtypes)[key]}, row long, col long, x double, y double, z double")
-
-
 def triangles(rows: int, cols: int) -> np.ndarray:
     """Two triangles a cell of a grid, as vertex indices."""
     i = np.arange(rows * cols).reshape(rows, cols)
@@ -68,37 +19,6 @@ def triangles(rows: int, cols: int) -> np.ndarray:
     return np.concatenate([np.stack([a, b, c], 1), np.stack([b, d, c], 1)])
 
 
-def flatten(vertices: np.ndarray, faces: np.ndarray, pins: tuple[int, int] | None = None) -> np.ndarray:
-    """Least-squares conformal map to the plane, two vertices pinned at their distance."""
-    n = len(vertices)
-    pins = pins or (0, n - 1)
-    rows, cols, vals = [], [], []
-    for t, f in enumerate(faces):
-        p = vertices[f]
-        x = p[1] - p[0]
-        lx = np.linalg.norm(x)
-        normal = np.cross(x, p[2] - p[0])
-        area2 = np.linalg.norm(normal)
-        if area2 == 0 or lx == 0:
-            continue
-        ex, ey = x / lx, np.cross(normal / area2, x / lx)
-        q = np.array([[0, 0], [lx, 0], [(p[2] - p[0]) @ ex, (p[2] - p[0]) @ ey]])
-        for k in range(3):
-            w = (q[(k + 2) % 3] - q[(k + 1) % 3]) / np.sqrt(area2)
-            rows += [2 * t, 2 * t, 2 * t + 1, 2 * t + 1]
-            cols += [f[k], n + f[k], f[k], n + f[k]]
-            vals += [w[0], -w[1], w[1], w[0]]
-    a = np.zeros((2 * len(faces), 2 * n))
-    np.add.at(a, (rows, cols), vals)
-    fixed = [pins[0], pins[1], n + pins[0], n + pins[1]]
-    at = np.array([0.0, np.linalg.norm(vertices[pins[1]] - vertices[pins[0]]), 0.0, 0.0])
-    free = np.setdiff1d(np.arange(2 * n), fixed)
-    uv = np.zeros(2 * n)
-    uv[fixed] = at
-    uv[free] = np.linalg.lstsq(a[:, free], -a[:, fixed] @ at, rcond=None)[0]
-    return np.stack([uv[:n], uv[n:]], 1)
-
-
 def simplify(vertices: np.ndarray, faces: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
     """Quadric edge collapse, the cheapest edge of all first, down to ``target`` faces; a mesh with no more is copied."""
     v, f = vertices.astype(float).copy(), [tuple(map(int, t)) for t in faces]
@@ -160,28 +80,3 @@ def levenberg_marquardt(residual, x: np.ndarray, iterations: int = 50, damping:
         else:
             damping *= 4
     return x
-
-
-def spiral(umbilicus: list[tuple], mask: np.ndarray, iterations: int) -> np.ndarray:
-    """Winding field by breadth-first search from the umbilicus (z, y, x), counting crossings of the half-plane below it; NaN where not reached in ``iterations`` dequeues."""
-    centre = {z: (y, x) for z, y, x in umbilicus}
-    out, queue = np.full(mask.shape, np.nan), []
-    for z, y, x in umbilicus:
-        p = (int(z), int(y), int(x))
-        if mask[p]:
-            out[p] = 0
-            queue.append(p)
-    for at in range(iterations):
-        if at >= len(queue):
-            break
-        z, y, x = queue[at]
-        for dz, dy, dx in ((-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)):
-            q = (z + dz, y + dy, x + dx)
-            if all(0 <= a < n for a, n in zip(q, mask.shape, strict=True)) and mask[q] and np.isnan(out[q]):
-                uy, ux = centre.get(z, umbilicus[-1][1:])
-                cross = 0
-                if dx and y >= uy:
-                    cross = int(x < ux <= x + dx) - int(x >= ux > x + dx)
-                out[q] = out[z, y, x] + cross
-                queue.append(q)
-    return out

@@ -61,3 +61,42 @@ def batches(df: DataFrame, size: int, seed: int, key: str, drop_last: bool = Fal
         whole = out.groupBy("batch").count().where(F.col("count") == size).select("batch")
         out = out.join(whole, "batch")
     return out
+
+
+# --- many volumes or images at once: positions from their sizes
+
+
+def starts(size: Column, patch: int, stride: int) -> Column:
+    """Starts of patches that fit into ``size``, at least one."""
+    return F.sequence(F.lit(0).cast("long"), F.greatest(size.cast("long") - patch, F.lit(0).cast("long")), F.lit(stride).cast("long"))
+
+
+def covering_starts(size: Column, tile: int, stride: int) -> Column:
+    """Starts of tiles that cover ``size``, the last one flush with the end."""
+    last = F.greatest(size.cast("long") - tile, F.lit(0).cast("long"))
+    return F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long")), F.array(last)))
+
+
+def origins(volumes: DataFrame, patch: tuple, stride: tuple, part: tuple[int, int] | None = None) -> DataFrame:
+    """Patch origins (z, y, x) of every row of ``volumes`` (.., sz, sy, sx); ``part`` = (index, number) keeps every number-th step in z."""
+    out = volumes
+    for c, p, s in zip("zyx", patch, stride, strict=True):
+        at = starts(F.col(f"s{c}"), p, s)
+        if c == "z" and part:
+            at = F.filter(at, lambda v: F.floor(v / stride[0]) % part[1] == part[0])
+        out = out.withColumn(c, F.explode(at))
+    return out.drop("sz", "sy", "sx")
+
+
+def tiles(images: DataFrame, tile: int, stride: int) -> DataFrame:
+    """Tile positions (ty, tx) that cover every row of ``images`` (.., height, width)."""
+    t = images.withColumn("ty", F.explode(covering_starts(F.col("height"), tile, stride)))
+    return t.withColumn("tx", F.explode(covering_starts(F.col("width"), tile, stride))).drop("height", "width")
+
+
+def chunk_ranges(axes: DataFrame, chunk: int, halo: int) -> DataFrame:
+    """(.., i, read_from, read_to, write_from, write_to): chunks of every row of ``axes`` (.., n) with the range to read for a halo."""
+    n, i = F.col("n").cast("long"), F.col("i")
+    out = axes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(n / chunk).cast("long") - 1, F.lit(0).cast("long"))))).where("n > 0")
+    zero = F.lit(0).cast("long")
+    return out.select(*[c for c in axes.columns if c != "n"], "i", F.greatest(zero, i * chunk - halo).alias("read_from"), F.least(n, (i + 1) * chunk + halo).alias("read_to"), (i * chunk).alias("write_from"), F.least(n, (i + 1) * chunk).alias("write_to"))

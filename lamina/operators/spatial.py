@@ -74,16 +74,39 @@ def hausdorff(a: DataFrame, b: DataFrame) -> DataFrame:
     return directed(a, b).unionByName(directed(b, a)).agg(F.max("m").alias("hausdorff"))
 
 
+def box_pairs(boxes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of boxes (id, x0, x1, y0, y1, z0, z1) that share a point, by grids of doubling cells.
+
+    A box lives on the grid whose cells are just no smaller than it, where it touches at most eight cells; it is also sent to the coarser
+    grids in use. Two boxes meet on the coarser one's grid, in the first cell that both touch.
+    """
+    size = F.greatest(*[F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"])
+    b = boxes.select("id", *[F.col(f"{c}{n}").cast("double").alias(f"{c}{n}") for c in "xyz" for n in "01"]).withColumn("own", F.ceil(F.log2(F.greatest(size, F.lit(1e-9)))).cast("int"))
+    used = F.array_sort(F.collect_set("own"))
+    levels = b.agg(used.alias("levels"))
+    b = b.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own")))).drop("levels")
+    cell = F.pow(F.lit(2.0), F.col("level"))
+    for c in "xyz":
+        lo, hi = F.floor(F.col(f"{c}0") / cell).cast("long"), F.floor(F.col(f"{c}1") / cell).cast("long")
+        b = b.withColumn(f"l{c}", lo).withColumn(f"h{c}", hi)
+    for c in "xyz":
+        b = b.withColumn(f"c{c}", F.explode(F.sequence(f"l{c}", f"h{c}")))
+    side = lambda p: b.select("level", "cx", "cy", "cz", *[F.col(k).alias(f"{p}_{k}") for k in ("id", "own", "lx", "ly", "lz", *[f"{c}{n}" for c in "xyz" for n in "01"])])
+    j = side("a").join(side("b"), ["level", "cx", "cy", "cz"]).where((F.col("a_id") < F.col("b_id")) & (F.greatest("a_own", "b_own") == F.col("level")))
+    for c in "xyz":
+        j = j.where((F.greatest(f"a_l{c}", f"b_l{c}") == F.col(f"c{c}")) & (F.col(f"a_{c}1") >= F.col(f"b_{c}0")) & (F.col(f"b_{c}1") >= F.col(f"a_{c}0")))
+    return j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
 def bbox_overlaps(boxes: DataFrame, grow: float = 1.0) -> DataFrame:
     """Pairs a < b of boxes (id, x0, x1, y0, y1, z0, z1) that overlap when grown, with score = overlap / smaller volume."""
-    a, b = (boxes.select(*[F.col(c).alias(f"{p}_{c}") for c in boxes.columns]) for p in "ab")
-    lo = lambda c: F.greatest(F.col(f"a_{c}0") - grow, F.col(f"b_{c}0") - grow)
-    hi = lambda c: F.least(F.col(f"a_{c}1") + grow, F.col(f"b_{c}1") + grow)
-    meets = reduce(lambda p, q: p & q, [lo(c) <= hi(c) for c in "xyz"])
-    j = a.join(b, (F.col("a_id") < F.col("b_id")) & meets)
-    size = lambda p: reduce(lambda x, y: x * y, [F.col(f"{p}_{c}1") - F.col(f"{p}_{c}0") + 2 * grow for c in "xyz"])
-    over = reduce(lambda x, y: x * y, [hi(c) - lo(c) for c in "xyz"])
-    return j.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (over / F.least(size("a"), size("b"))).alias("score"))
+    grown = boxes.select("id", *[(F.col(f"{c}{n}") + (grow if n else -grow)).alias(f"{c}{n}") for c in "xyz" for n in (0, 1)])
+    a, b = (grown.select(F.col("id").alias(p), *[F.col(f"{c}{n}").alias(f"{p}_{c}{n}") for c in "xyz" for n in (0, 1)]) for p in "ab")
+    j = box_pairs(grown).join(a, "a").join(b, "b")
+    side = lambda p, c: F.col(f"{p}_{c}1") - F.col(f"{p}_{c}0")
+    size = lambda p: reduce(lambda x, y: x * y, [side(p, c) for c in "xyz"])
+    over = reduce(lambda x, y: x * y, [F.least(f"a_{c}1", f"b_{c}1") - F.greatest(f"a_{c}0", f"b_{c}0") for c in "xyz"])
+    return j.select("a", "b", (over / F.least(size("a"), size("b"))).alias("score"))
 
 
 def mark_ball(points: DataFrame, radius: int, shape: tuple) -> DataFrame:

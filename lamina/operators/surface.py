@@ -177,3 +177,11 @@ def camera_level(scale: Column, levels: int) -> Column:
     """Pyramid level for a zoom: floor(log2(1 / scale)), clamped; the zoom itself is clamped to 1/32 .. 4."""
     s = F.greatest(F.lit(1 / 32), F.least(F.lit(4.0), scale))
     return F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor(F.log2(1.0 / s)))).cast("int")
+
+
+def axis_rotation(angle: Column, axis: tuple) -> list[list[Column]]:
+    """Rows of the rotation by ``angle`` about ``axis``."""
+    n = [a / math.sqrt(sum(x * x for x in axis)) for a in axis]
+    c, s = F.cos(angle), F.sin(angle)
+    skew = [[0.0, -n[2], n[1]], [n[2], 0.0, -n[0]], [-n[1], n[0], 0.0]]
+    return [[(c if i == j else F.lit(0.0)) + (1 - c) * (n[i] * n[j]) + s * skew[i][j] for j in range(3)] for i in range(3)]

@@ -266,13 +266,6 @@ r as (select *, row_number() over (order by level desc, z, y, x) as seq, lead(le
 select seq, level, z, y, x, n is null or n <> level as is_last from r"""
 
 
-@register("sm_chunk_stream", _CHUNKS)
-def _chunks(s, d):
-    from lamina.streaming.chunks import chunk_plan
-
-    return chunk_plan(s, [(4, 4, 4), (2, 2, 2), (1, 1, 1)])
-
-
 @register("sm_locks")
 def _locks(s, d):
     """All-or-nothing cell claims in event order; tests hold it against a plain loop."""
@@ -306,15 +299,6 @@ def _scan_dir(s, d):
     return table(s, d, "pages").select("url", F.when(u.contains("utm"), "tracked").when(u.contains("#"), "anchor").when(u.contains("?"), "query").otherwise("plain").alias("kind"))
 
 
-@register("ml_schedules", "select cast(i as bigint) as step, round(5e-1 * 1e-2 * (1 + cos(pi() * i / 100)), 12) as cosine, round(1e-2 * pow(1 - i / 100e0, 9e-1), 12) as poly, round(exp(-5e0 * pow(1 - least(1e0, i / 40e0), 2)), 12) as rampup, round(least(1e0, i / 40e0), 12) as linear from range(100) t(i)")
-def _schedules(s, d):
-    from lamina.functions.schedules import cosine, linear_ramp, polynomial, sigmoid_ramp
-
-    i = F.col("id").cast("double")
-    r = lambda c: F.round(c, 12)
-    return s.range(100).select(F.col("id").alias("step"), r(cosine(i, 100, 0.01)).alias("cosine"), r(polynomial(i, 100, 0.01, 0.9)).alias("poly"), r(sigmoid_ramp(i, 40)).alias("rampup"), r(linear_ramp(i, 40)).alias("linear"))
-
-
 @register("ml_batch", "select event_id, (event_id - (select min(event_id) from events)) // 32 as batch from events")
 def _batch(s, d):
     e = table(s, d, "events").select("event_id")

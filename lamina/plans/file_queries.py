@@ -13,7 +13,7 @@ from lamina.functions import topology as T
 from lamina.operators import blocks as B
 from lamina.operators import meshing as M
 from lamina.operators import volume as V
-from lamina.plans.views import BOX_CORNERS, BOX_FACES, collab, surface, table, vol, with_views
+from lamina.plans.views import collab, surface, table, vol, with_views
 from lamina.sources import codecs, containers, images, scratch, zarr
 
 _SHAPE, _CHUNK = (7, 16, 16), (4, 8, 8)
@@ -137,16 +137,6 @@ def _tifxyz(s, d):
     return images.read_tifxyz(s, f"{path}/s.tif").where("x >= 0").select("row", "col", "x", "y", F.round("z", 3).alias("z"))
 
 
-@register("src_obj", with_views("select count(*) as faces, 8 as vertices from box", "box"))
-def _obj(s, d):
-    path = scratch.fresh(s, "mesh")
-    v = s.createDataFrame([(i, *c) for i, c in enumerate(BOX_CORNERS)], "vid long, x double, y double, z double")
-    f = s.createDataFrame([(i, *t) for i, t in enumerate(BOX_FACES)], "fid long, i0 long, i1 long, i2 long")
-    scratch.put(f"{path}/m.obj", "\n".join(images.obj_lines(v, f)).encode())
-    rv, rf = images.read_obj(s, f"{path}/m.obj")
-    return rf.agg(F.count("*").alias("faces")).join(F.broadcast(rv.agg(F.count("*").cast("int").alias("vertices"))))
-
-
 @register("snk_mask_bin", with_views("select count(*) as set_voxels from vol where v >= 128", "vol"))
 def _mask_file(s, d):
     path = scratch.fresh(s, "mask")
@@ -226,30 +216,6 @@ def _ud_rows(s, d):
     return s.createDataFrame([(seen,)], "seen int")
 
 
-@register("sv_lm", "select 3e0 as a, 15e-1 as b")
-def _lm(s, d):
-    """An exponential fitted per group by damped least squares."""
-
-    def run(pdf):
-        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
-        a, b = M.levenberg_marquardt(lambda p: p[0] * np.exp(-p[1] * x) - y, np.ones(2))
-        return pd.DataFrame({"a": [round(a, 4)], "b": [round(b, 4)]})
-
-    p = s.range(20).select(F.lit(1).alias("g"), (F.col("id") / 10).alias("x"), (3 * F.exp(-1.5 * F.col("id") / 10)).alias("y"))
-    return p.groupBy("g").applyInPandas(run, "a double, b double")
-
-
-@register("ip_raster", "select 5 + 5 + 3 + 3 + 1 as drawn")
-def _raster(s, d):
-    def run(pdf):
-        c = T.canvas(9, 9)
-        T.draw_rectangle(c, 1, 1, 5, 5, (255, 0, 0, 255))
-        T.draw_disc(c, 3, 3, 0.5, (0, 255, 0, 255))
-        return pd.DataFrame({"drawn": [int((c[..., 3] > 0).sum())]})
-
-    return s.range(1).groupBy("id").applyInPandas(run, "drawn int")
-
-
 @register("ip_normals")
 def _normals(s, d):
     """Largest component of the direction of least change, by chunks with halos; tests hold eigenvectors on a ramp."""

@@ -31,13 +31,6 @@ def _mst(s, d):
     return G.max_spanning_forest(_nodes(s, d), edges(s, d))
 
 
-@register("gr_winding", "select * from (values (0, 0e0, true), (1, 360e0, true), (2, 720e0, true), (3, 1080e0, true), (4, 77e0, false)) t(id, f, visited)")
-def _winding(s, d):
-    n = s.createDataFrame([(0, 0.0), (1, 350.0), (2, 730.0), (3, 1100.0), (4, 77.0)], "id int, init double")
-    t = s.createDataFrame([(0, 1, 1.0, 360.0), (1, 2, 1.0, 360.0), (2, 3, 1.0, 360.0)], "src int, dst int, weight double, k double")
-    return G.assign_winding(n, t, 0)
-
-
 @register("gr_bp")
 def _bp(s, d):
     """Three rounds of belief propagation with two labels; tests hold it against a plain loop."""
@@ -45,13 +38,6 @@ def _bp(s, d):
     return G.belief(n, edges(s, d).withColumn("weight", F.least(F.lit(1.0), F.col("weight"))), 2, 3)
 
 
-@register("sv_cg", "select i, round(1e0 / (2 + i), 6) as x from range(20) t(i)")
-def _cg(s, d):
-    i = s.range(20).withColumnRenamed("id", "i")
-    a = i.select("i", F.col("i").alias("j"), (F.col("i") + 1.0).alias("v")).unionByName(i.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")))
-    return G.conjugate_gradient(a, i.select("i", F.lit(1.0).alias("v"))).select("i", F.round("x", 6).alias("x"))
-
-
 _NEAR = "(values (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1)) o(dz,dy,dx)"
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from lamina.catalog import register
 from lamina.functions import augment, colours
-from lamina.operators import meshing as M
+from lamina.operators import mesh as X
 from lamina.operators import surface as S
 from lamina.operators import volume as V
-from lamina.plans.views import annotations, box, surface, table, vol, vol2, vol_float, with_views
+from lamina.plans.views import annotations, surface, table, vol, vol2, vol_float, with_views
 from lamina.sources import codecs
 
 _U = "cast(floor(v / 255e0 * 255e0 + 5e-1) as int) / 255e0"
@@ -49,14 +49,6 @@ def _patchify(s, d):
     return vol(s, d).select("z", (F.floor(y / 4) * 4 + F.floor(x / 4)).alias("patch"), (y % 4 * 4 + x % 4).alias("pos"), "v")
 
 
-@register("ml_tiles", "with p as (select unnest([0, 6, 12, 14]) as p) select a.p as y, b.p as x from p a, p b")
-def _tiles(s, d):
-    from lamina.operators.patches import tile_positions
-
-    p = s.createDataFrame([(v,) for v in tile_positions(22, 8, 6)], "p int")
-    return p.select(F.col("p").alias("y")).join(p.select(F.col("p").alias("x"))).distinct()
-
-
 @register("ml_patch_extract", with_views("with o as (select py * 8 as py, px * 8 as px from range(2) a(py), range(2) b(px)), g as (select o.py, o.px, dz * 64 + dy * 8 + dx as i, coalesce(v.v, 0) as v from o, range(2) a(dz), range(8) b(dy), range(8) c(dx) left join vol v on v.z = dz and v.y = py + dy and v.x = px + dx) select py, px, cast(sum(v * (i + 1)) as bigint) as checksum from g group by 1, 2", "vol"))
 def _extract(s, d):
     from lamina.operators.patches import extract, grid
@@ -124,55 +116,14 @@ def _annot_io(s, d):
     return annotations(s, d).select("id", j.alias("j")).select("id", "j.quality", "j.toxic")
 
 
-@register("sf_axis_rot", "select a, round(cos(radians(a)), 9) + 0e0 as c, round(sin(radians(a)), 9) + 0e0 as s from range(0, 360, 15) t(a)")
-def _axis(s, d):
-    a = F.radians(F.col("id"))
-    return s.range(0, 360, 15).select(F.col("id").alias("a"), (F.round(F.cos(a), 9) + 0.0).alias("c"), (F.round(F.sin(a), 9) + 0.0).alias("s"))
-
-
 @register("sf_convert", with_views("select 1 as g, round(regr_slope(z, x), 6) as slope, round(regr_intercept(z, x), 6) as base from surf", "surf"))
 def _convert(s, d):
     """Degree one in x only is a regression; the general fit runs in tests."""
     p = surface(s, d).withColumn("g", F.lit(1)).withColumn("y", F.lit(0.0))
-    c = M.fit_heights(p, "g", 1).where("i = 0")
+    c = X.fit_heights(p, "g", 1).where("i = 0")
     return c.groupBy("g").agg(F.round(F.max(F.when(F.col("j") == 1, F.col("c"))), 6).alias("slope"), F.round(F.max(F.when(F.col("j") == 0, F.col("c"))), 6).alias("base"))
 
 
-@register("sf_flatten_lscm")
-def _flatten(s, d):
-    """Conformal flattening of a corner of the surface; a flat sheet keeps its shape in tests."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(["row", "col"])
-        uv = M.flatten(pdf[["x", "y", "z"]].to_numpy(), M.triangles(8, 8))
-        return pd.DataFrame({"row": pdf.row, "col": pdf.col, "u": np.round(uv[:, 0], 6), "v": np.round(uv[:, 1], 6)})
-
-    return surface(s, d).where("row < 8 and col < 8").withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "row long, col long, u double, v double")
-
-
-@register("sf_simplify")
-def _simplify(s, d):
-    """Quadric collapse of a corner of the surface to 60 faces."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(["row", "col"])
-        v, f = M.simplify(pdf[["x", "y", "z"]].to_numpy(), M.triangles(8, 8), 60)
-        return pd.DataFrame({"fid": range(len(f)), "i0": f[:, 0], "i1": f[:, 1], "i2": f[:, 2]})
-
-    return surface(s, d).where("row < 8 and col < 8").withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "fid long, i0 long, i1 long, i2 long")
-
-
-@register("jn_self_intersect", with_views("select count(*) as pairs from box a join box b on a.fid < b.fid and " + " and ".join(f"greatest(a.a_{k}, a.b_{k}, a.c_{k}) >= least(b.a_{k}, b.b_{k}, b.c_{k}) and greatest(b.a_{k}, b.b_{k}, b.c_{k}) >= least(a.a_{k}, a.b_{k}, a.c_{k})" for k in "xyz"), "box"))
-def _boxes(s, d):
-    t = box(s)
-    b = t.select("fid", *[f(*[F.col(f"{p}{k}") for p in "abc"]).alias(f"{n}{k}") for k in "xyz" for n, f in (("lo", F.least), ("hi", F.greatest))])
-    a, c = b.alias("a"), b.alias("c")
-    meets = F.col("a.fid") < F.col("c.fid")
-    for k in "xyz":
-        meets &= (F.col(f"a.hi{k}") >= F.col(f"c.lo{k}")) & (F.col(f"c.hi{k}") >= F.col(f"a.lo{k}"))
-    return a.join(c, meets).agg(F.count("*").alias("pairs"))
-
-
 @register("cdc_residual", with_views("select z, y, x, greatest(-127, least(127, cast(round(v / 2e-3) as int))) as q from volf", "volf"))
 def _residual(s, d):
     return vol_float(s, d).select("z", "y", "x", F.greatest(F.lit(-127), F.least(F.lit(127), F.round(F.col("v") / 2e-3).cast("int"))).alias("q"))
@@ -224,16 +175,11 @@ def _aniso(s, d):
 
 @register("ip_spiral")
 def _spiral(s, d):
-    """Winding field of the whole volume from a straight umbilicus, in breadth-first order."""
-
-    def run(pdf):
-        m = np.zeros((7, 16, 16), bool)
-        m[pdf.z, pdf.y, pdf.x] = pdf.v > 20
-        f = M.spiral([(z, 8, 8) for z in range(7)], m, 10_000)
-        z, y, x = np.nonzero(~np.isnan(f))
-        return pd.DataFrame({"z": z, "y": y, "x": x, "w": f[z, y, x]})
+    """Winding field of the bright voxels from a straight umbilicus; tests hold it against a plain search."""
+    from lamina.operators.graph import spiral
 
-    return vol(s, d).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "z long, y long, x long, w double")
+    v = vol(s, d)
+    return spiral(v.where("v > 20"), v.select("z", F.lit(8).alias("uy"), F.lit(8).alias("ux")).distinct())
 
 
 @register("src_gridstore", with_views("select z, count(*) as n from vol where z in (1, 3) group by 1", "vol"))

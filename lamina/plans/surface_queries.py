@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.catalog import register
 from lamina.operators import spatial as P
 from lamina.operators import surface as S
-from lamina.plans.views import BOX_CORNERS, BOX_FACES, box, edges, surface, table, vol, vol2, with_views
+from lamina.plans.views import edges, surface, table, vol, vol2, with_views
 
 _DIFF = ", ".join(f"coalesce(lead({k}) over {w}, {k}) - coalesce(lag({k}) over {w}, {k}) as {p}{k}" for p, w in (("c", "a"), ("r", "d")) for k in "xyz")
 _NORMALS = f"""t as (select row, col, x, y, z, {_DIFF} from surf window a as (partition by row order by col), d as (partition by col order by row)),
@@ -134,19 +134,6 @@ def _arc_sample(s, d):
     return _r(S.arc_sample(_line(s, d), "id", "seq", 0.37), 5)
 
 
-@register("ag_mesh_quality", with_views("with e as (select *, " + ", ".join(f"sqrt(pow({p}_x - {q}_x, 2) + pow({p}_y - {q}_y, 2) + pow({p}_z - {q}_z, 2)) as {p}{q}" for p, q in ("ab", "bc", "ca")) + " from box), t as (select unnest([degrees(acos((ab * ab + ca * ca - bc * bc) / (2 * ab * ca))), degrees(acos((ab * ab + bc * bc - ca * ca) / (2 * ab * bc))), degrees(acos((bc * bc + ca * ca - ab * ab) / (2 * bc * ca)))]) as a, greatest(ab, bc, ca) / least(ab, bc, ca) as aspect from e) select round(min(a), 6) as lo, round(max(a), 6) as hi, round(avg(a), 6) as mean, round(max(aspect), 6) as aspect from t", "box"))
-def _quality(s, d):
-    return _r(S.mesh_quality(box(s)))
-
-
-@register("sf_smooth")
-def _smooth(s, d):
-    """Two smoothing steps of the box; tests hold it against NumPy."""
-    v = s.createDataFrame([(i, *c) for i, c in enumerate(BOX_CORNERS)], "vid long, x double, y double, z double")
-    f = s.createDataFrame(BOX_FACES, "i0 long, i1 long, i2 long")
-    return _r(S.smooth_mesh(v, f, 0.5, 2))
-
-
 _POINTS = "p as (select s_suppkey as qid, cast(s_suppkey % 40 as double) + 3e-1 as qx, cast(s_suppkey % 50 as double) + 4e-1 as qy, 3e0 as qz from supplier), t as (select row * 40 + col as tid, x as tx, y as ty, z as tz from surf)"
 
 
@@ -209,16 +196,6 @@ def _grid(s):
     return g.select(F.col("id").alias("qid"), (F.col("id") % 8 + 0.5).alias("qx"), (F.floor(F.col("id") / 8) % 8 + 0.5).alias("qy"), (F.floor(F.col("id") / 64) + 0.5).alias("qz"))
 
 
-@register("jn_winding_mesh", with_views(f"with {_GRID} select qid, abs(round(sum({_solid()}) / (4 * pi()), 5)) as winding from p, box group by 1", "box"))
-def _winding(s, d):
-    return P.winding(_grid(s), box(s)).select("qid", F.abs(F.round("winding", 5)).alias("winding"))
-
-
-@register("jn_voxelize", f"with {_GRID} select qid, qx > 2 and qx < 5 and qy > 2 and qy < 5 and qz > 2 and qz < 5 as inside from p")
-def _voxelize(s, d):
-    return P.voxelize(_grid(s), box(s))
-
-
 _CTRL = "c as (select distinct on (p_size) cast(p_size as double) as z, cast(p_partkey as double) as x, p_retailprice as y from part where p_size % 6 = 1 order by p_size, p_partkey), i as (select *, lead(z) over (order by z) as nz, lead(x) over (order by z) as nx, lead(y) over (order by z) as ny, row_number() over (order by z) as i from c)"
 
 
@@ -271,13 +248,6 @@ def _patch(s, d):
     return p.join(vol(s, d), ["z", "y", "x"], "left").select("row", "col", "k", F.coalesce("v", F.lit(0)).alias("v"))
 
 
-@register("wn_overlap_ranges", "select i, greatest(0, i * 16 - 3) as read_from, least(100, i * 16 + 19) as read_to, i * 16 as write_from, least(100, i * 16 + 16) as write_to from range(7) t(i)")
-def _ranges(s, d):
-    i = F.col("id")
-    lit = lambda v: F.lit(v).cast("long")
-    return s.range(7).select(i.alias("i"), F.greatest(lit(0), i * 16 - 3).alias("read_from"), F.least(lit(100), i * 16 + 19).alias("read_to"), (i * 16).alias("write_from"), F.least(lit(100), i * 16 + 16).alias("write_to"))
-
-
 @register("ag_sparse_dup", with_views("select src, dst, round(sum(weight), 6) as v from (select * from edges union all select * from edges) group by 1, 2", "edges"))
 def _sparse(s, d):
     e = edges(s, d)

@@ -360,13 +360,6 @@ def _diffusion(s, d):
     return V.diffuse(f, 2).select(*ZYX, F.round("v", 6).alias("v"))
 
 
-@register("ml_patch_grid", "select z * 2 as z, y * 4 as y, x * 4 as x from range(0, 3) a(z), range(0, 4) b(y), range(0, 4) c(x)")
-def _patch_grid(s, d):
-    from lamina.operators.patches import grid
-
-    return grid(s, (7, 16, 16), (2, 4, 4), (2, 4, 4))
-
-
 @register("ml_infer_blend", with_views("with t as (select z, ty * 4 as ty, tx * 4 as tx from (select distinct z from vol), range(0, 3) a(ty), range(0, 3) b(tx)), p as (select v.z, v.y, v.x, v.v * 1e0 as p, least(least(v.y - ty + 1, 8 - (v.y - ty)), least(v.x - tx + 1, 8 - (v.x - tx))) as w from vol v join t on t.z = v.z and v.y >= ty and v.y < ty + 8 and v.x >= tx and v.x < tx + 8) select z, y, x, round(sum(p * w) / greatest(sum(w), 1e-6), 6) as v from p group by 1, 2, 3", "vol"))
 def _blend(s, d):
     from lamina.operators.patches import blend_tiles

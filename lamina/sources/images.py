@@ -197,6 +197,36 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, tris.select(order.cast("long").alias("fid"), "t.i0", "t.i1", "t.i2")
 
 
+def parse_obj(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and triangles (from 0) of an OBJ file; quads give two triangles, of larger polygons only the first is kept. Negative indices count back."""
+    points, faces = [], []
+    for line in text.splitlines():
+        p = line.split()
+        if not p:
+            continue
+        if p[0] == "v":
+            points.append([float(x) for x in p[1:4]])
+        elif p[0] == "f":
+            i = [int(x.split("/")[0]) for x in p[1:]]
+            i = [k - 1 if k > 0 else len(points) + k for k in i]
+            faces += [i[:3], [i[0], i[2], i[3]]] if len(i) == 4 else [i[:3]] if len(i) > 2 else []
+    return np.array(points, float).reshape(-1, 3), np.array(faces, int).reshape(-1, 3)
+
+
+def obj_faces(spark: SparkSession, path: str) -> DataFrame:
+    """(path, fid, i0, i1, i2, ax .. cz) of all OBJ files in a folder, a file a row of the scan."""
+    names = ["path", "fid", "i0", "i1", "i2", *[p + c for p in "abc" for c in "xyz"]]
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                v, f = parse_obj(bytes(r.content).decode())
+                yield pd.DataFrame(dict(zip(names, [r.path, np.arange(len(f)), *f.T, *v[f].reshape(-1, 9).T], strict=True)))[names]
+
+    schema = "path string, fid long, i0 long, i1 long, i2 long, " + ", ".join(f"{c} double" for c in names[5:])
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.obj").load(path).select("path", "content").mapInPandas(run, schema)
+
+
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> list[str]:
     """Lines of an OBJ file."""
     v = [f"v {r['x']:g} {r['y']:g} {r['z']:g}" for r in vertices.orderBy("vid").toLocalIterator()]

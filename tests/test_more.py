@@ -12,13 +12,6 @@ def grid(rows, cols, z=lambda r, c: 0.0):
     return np.array([[c, r, z(r, c)] for r in range(rows) for c in range(cols)], float)
 
 
-def test_flat_sheet_keeps_its_shape():
-    v = grid(5, 6)
-    uv = M.flatten(v, M.triangles(5, 6))
-    d = np.linalg.norm(v[:, None] - v[None], axis=2)
-    assert np.abs(np.linalg.norm(uv[:, None] - uv[None], axis=2) - d).max() < 1e-6
-
-
 def test_simplify_keeps_a_plane_and_copies_small_meshes():
     v, f = M.simplify(grid(6, 6), M.triangles(6, 6), 20)
     assert len(f) <= 20
@@ -28,32 +21,10 @@ def test_simplify_keeps_a_plane_and_copies_small_meshes():
     assert len(g) == 2
 
 
-def test_growth_extends_a_plane():
-    g = grid(4, 5, lambda r, c: 2 * r + c).reshape(4, 5, 3)
-    out = M.grow_ring(g)
-    assert out.shape == (6, 7, 3)
-    assert np.allclose(out[..., 2], 2 * out[..., 1] + out[..., 0])
-    assert np.allclose(out[0, 0], [-1, -1, -3])
-
-
-def test_polynomial_fit(spark):
-    p = [(1, float(x), float(y), 1 + 2 * x - y + 0.5 * x * y) for x in range(4) for y in range(4)] + [(2, 0.0, 0.0, 1.0)]
-    c = M.fit_heights(spark.createDataFrame(p, "g int, x double, y double, z double"), "g", 2).collect()
-    assert {r["g"] for r in c} == {1}
-    got = {(r["i"], r["j"]): r["c"] for r in c}
-    assert got[0, 0] == pytest.approx(1)
-    assert got[0, 1] == pytest.approx(2)
-    assert got[1, 1] == pytest.approx(0.5)
-
-
-def test_optimiser_and_spiral():
+def test_optimiser():
     x = np.linspace(0, 2, 20)
     y = 3 * np.exp(-1.5 * x)
     assert M.levenberg_marquardt(lambda p: p[0] * np.exp(-p[1] * x) - y, np.array([1.0, 1.0])) == pytest.approx([3, 1.5], abs=1e-5)
-    w = M.spiral([(0, 2, 2)], np.ones((1, 5, 5), bool), 1000)
-    assert not np.isnan(w).any()
-    assert w[0, 2, 2] == 0
-    assert np.isnan(M.spiral([(0, 2, 2)], np.ones((1, 5, 5), bool), 1)).any()
 
 
 def test_upsampling_keeps_constants():
