@@ -14,27 +14,32 @@ from lamina.operators import blocks as B
 from lamina.operators import meshing as M
 from lamina.operators import volume as V
 from lamina.plans.views import collab, surface, table, vol, with_views
-from lamina.sources import codecs, containers, images, scratch, zarr
+from lamina.sources import codecs, containers, images, scratch, sinks, zarr
 
-_SHAPE, _CHUNK = (7, 16, 16), (4, 8, 8)
+#: Voxels of a plane, and of a chunk.
+_PLANE, _CHUNK = (16, 16), (4, 8, 8)
 _VOXELS = with_views("select z, y, x, cast(v as double) as v from vol", "vol")
 
 
 def _u8(s, d):
     """Chunk rows of the volume as bytes."""
+    return _u8_of(vol(s, d))
+
+
+def _u8_of(v):
 
     def run(pdf):
         a = np.zeros(_CHUNK, "u1")
         a[pdf.z % 4, pdf.y % 8, pdf.x % 8] = pdf.v
         return pd.DataFrame([(pdf.z.iloc[0] // 4, pdf.y.iloc[0] // 8, pdf.x.iloc[0] // 8, a.tobytes())], columns=["cz", "cy", "cx", "data"])
 
-    keyed = vol(s, d).withColumns({f"c{c}": F.floor(F.col(c) / n) for c, n in zip("zyx", _CHUNK, strict=True)})
+    keyed = v.withColumns({f"c{c}": F.floor(F.col(c) / n) for c, n in zip("zyx", _CHUNK, strict=True)})
     return keyed.groupBy("cz", "cy", "cx").applyInPandas(run, "cz long, cy long, cx long, data binary")
 
 
 def _stored(s, d, **how):
     path = scratch.fresh(s, "zarr")
-    meta = zarr.create(path, 0, _SHAPE, _CHUNK, "uint8", **how)
+    meta = zarr.create(path, 0, B.shape_of(vol(s, d)), _CHUNK, "uint8", **how)
     zarr.write(_u8(s, d), path, meta)
     zarr.finalize(path, 1)
     s.dataSource.register(zarr.ZarrChunks)
@@ -55,7 +60,7 @@ _zarr("src_shard", codec="zstd", version=3, shard=(8, 16, 16))
 _zarr("snk_chunk", codec=None, version=2)
 
 
-@register("src_meta", "select 0 as level, 7 as nz, 16 as ny, 16 as nx, 4 as cz, 8 as cy, 8 as cx, 'zstd' as codec")
+@register("src_meta", with_views("select 0 as level, cast(max(z) + 1 as int) as nz, 16 as ny, 16 as nx, 4 as cz, 8 as cy, 8 as cx, 'zstd' as codec from vol", "vol"))
 def _meta(s, d):
     path, _ = _stored(s, d, codec="zstd", version=2)
     rows = [(m["level"], *m["shape"], *m["chunks"], m["codec"]) for m in zarr.metadata(path)]
@@ -71,14 +76,7 @@ def _chunk(s, d):
 def _planes(s, d, tag, encode):
     """One file per plane, written by the executors; returns the folder."""
     path = scratch.fresh(s, tag)
-
-    def run(pdf):
-        a = np.zeros((16, 16), "u1")
-        a[pdf.y, pdf.x] = pdf.v
-        scratch.put(f"{path}/{int(pdf.z.iloc[0]):03d}.{tag}", encode(a))
-        return pd.DataFrame({"z": [pdf.z.iloc[0]]})
-
-    vol(s, d).groupBy("z").applyInPandas(run, "z long").count()
+    sinks.write_planes(vol(s, d), path, tag, encode, _PLANE)
     return path
 
 
@@ -88,7 +86,7 @@ def _pixels(df, column="data"):
             for r in pdf.itertuples():
                 a = np.frombuffer(getattr(r, column), r.dtype).reshape(16, 16)
                 y, x = np.indices(a.shape)
-                yield pd.DataFrame({"z": int(r.path.rsplit("/", 1)[1][:3]), "y": y.ravel(), "x": x.ravel(), "v": a.ravel().astype(float)})
+                yield pd.DataFrame({"z": int(r.path.rsplit("/", 1)[1].split(".")[0]), "y": y.ravel(), "x": x.ravel(), "v": a.ravel().astype(float)})
 
     return df.select("path", "dtype", column).mapInPandas(run, "z long, y long, x long, v double")
 
@@ -115,72 +113,154 @@ def _corner(s, d):
     return surface(s, d).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "x", "y", F.round("z", 3).alias("z"))
 
 
-@register("src_surface_json", _CORNER)
-def _surface_json(s, d):
-    path = scratch.fresh(s, "surface")
-    scratch.put(f"{path}/s.json", images.surface_json(_corner(s, d)).encode())
-    return images.read_surface_json(s, f"{path}/s.json")
+_BAND = 8
 
 
-@register("src_tifxyz", _CORNER)
-def _tifxyz(s, d):
+def _bands(s, d, kind):
+    """Bands of eight rows as files; returns the folder."""
     path = scratch.fresh(s, "surface")
+    sinks.write_surfaces(_corner(s, d), path, F.floor(F.col("row") / _BAND), kind)
+    return path
 
-    def run(pdf):
-        # points that the grid lacks are marked as such
-        a = np.full((pdf.row.max() + 1, pdf.col.max() + 1, 3), -1, "f4")
-        a[pdf.row, pdf.col] = pdf[["x", "y", "z"]]
-        scratch.put(f"{path}/s.tif", images.tiff_bytes([a]))
-        return pd.DataFrame({"n": [len(pdf)]})
 
-    _corner(s, d).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "n long").count()
-    return images.read_tifxyz(s, f"{path}/s.tif").where("x >= 0").select("row", "col", "x", "y", F.round("z", 3).alias("z"))
+def _placed(df):
+    """Rows of all bands in one grid."""
+    band = F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("int")
+    return df.where("x is not null and not isnan(x)").select((F.col("row") + band * _BAND).alias("row"), "col", "x", "y", F.round("z", 3).alias("z"))
 
 
-@register("snk_mask_bin", with_views("select count(*) as set_voxels from vol where v >= 128", "vol"))
-def _mask_file(s, d):
-    path = scratch.fresh(s, "mask")
+register("src_surface_json", _CORNER)(lambda s, d: _placed(images.read_surface_json(s, _bands(s, d, "json"), named=True)))
+register("src_tifxyz", _CORNER)(lambda s, d: _placed(images.read_tifxyz(s, _bands(s, d, "tif"))))
 
-    def run(pdf):
-        m = np.zeros(_SHAPE, bool)
-        m[pdf.z, pdf.y, pdf.x] = pdf.v >= 128
-        scratch.put(f"{path}/m.bin", containers.mask_bytes(m))
-        return pd.DataFrame({"n": [1]})
 
-    vol(s, d).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "n long").count()
+@register("snk_tiff", with_views("select z // 4 as stack, z % 4 as page, cast(sum(v * (y * 16 + x + 1)) as bigint) as checksum from vol group by 1, 2", "vol"))
+def _stacks(s, d):
+    """Stacks of four pages, read back page by page."""
+    path = scratch.fresh(s, "stacks")
+    sinks.write_stacks(vol(s, d), path, 4, _PLANE)
+    return _checked(images.read_tiff(s, path).select("path", F.col("page").alias("n"), "data"), "stack", "page")
+
+
+@register("snk_video", with_views("select z // 4 as clip, z % 4 as frame, cast(sum(v * (y * 16 + x + 1)) as bigint) as checksum from vol group by 1, 2", "vol"))
+def _clips(s, d):
+    """Clips of four frames, read back frame by frame."""
+    path = scratch.fresh(s, "clips")
+    sinks.write_clips(vol(s, d), path, 4, _PLANE)
+    return _checked(sinks.read_clips(s, path).select("path", F.col("frame").alias("n"), "data"), "clip", "frame")
+
+
+def _checked(pages, file, page):
+    """Weighted sums of pages (path, n, data of 16 x 16 bytes)."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({file: [int(p.rsplit("/", 1)[1].split(".")[0]) for p in pdf.path], page: pdf.n, "checksum": [int(np.frombuffer(x, "u1") @ np.arange(1, 257)) for x in pdf.data]})
+
+    return pages.mapInPandas(run, f"{file} long, {page} long, checksum long")
+
+
+@register("snk_finalize", with_views("with m as (select max(z) + 1 as nz from vol) select cast(l as int) as level, pow(2e0, l) as scale, cast((nz + (1 << l) - 1) >> l as int) as nz, cast(16 >> l as int) as nyx from m, range(3) t(l)", "vol"))
+def _pyramid_file(s, d):
+    """Three levels written as a pyramid; scales from its metadata, shapes from its levels."""
+    path, v = scratch.fresh(s, "pyramid"), vol(s, d)
+    shape = B.shape_of(v)
+    for level in range(3):
+        size = tuple(-(-n // 2**level) for n in shape)
+        meta = zarr.create(path, level, size, _CHUNK, "uint8", codec="zstd", version=3)
+        zarr.write(_u8_of(v), path, meta)
+        v = V.scale(v, 2).withColumn("v", F.floor("v"))
+    zarr.finalize(path, 3)
+    scale = zarr.scales(path)
+    return s.createDataFrame([(m["level"], scale[m["level"]][0], *m["shape"][:2]) for m in zarr.metadata(path)], "level int, scale double, nz int, nyx int")
+
+
+@register("snk_mask_bin", with_views("select z // 4 as part, count(*) filter (v >= 128) as set_voxels from vol group by 1", "vol"))
+def _mask_file(s, d):
+    """Masks of four planes, a file each."""
+    path = scratch.fresh(s, "mask")
+    part = F.format_string("%d.bin", F.floor(F.col("z") / 4))
+    sinks.write_groups(vol(s, d), path, part, lambda pdf: containers.mask_bytes(sinks.dense(pdf, "zyx", (int(pdf.z.max() - pdf.z.min()) + 1, *_PLANE)) >= 128))
     count = F.udf(lambda b: int(containers.parse_mask(bytes(b)).sum()), "long")
-    return s.read.format("binaryFile").load(f"{path}/m.bin").select(count("content").alias("set_voxels"))
+    return s.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("part"), count("content").alias("set_voxels"))
 
 
 @register("op_c4d_file", with_views("select z // 4 as cz, y // 8 as cy, x // 8 as cx, true as close from vol group by 1, 2, 3", "vol"))
 def _container(s, d):
-    """The volume in a chunk container and back, within half a step."""
-    path = scratch.fresh(s, "container")
+    """Slabs of chunks in containers and back, within half a step."""
+    path, shape = scratch.fresh(s, "container"), B.shape_of(vol(s, d))
 
-    def run(pdf):
+    def encode(pdf):
         chunks = [(r.cz, r.cy, r.cx, np.frombuffer(r.data, "u1").astype(float) - 128) for r in pdf.itertuples()]
-        scratch.put(f"{path}/v.bin", containers.container_bytes([{"shape": _SHAPE, "chunk": _CHUNK, "chunks": chunks}], 1.5))
-        return pd.DataFrame({"n": [len(chunks)]})
+        return containers.container_bytes([{"shape": shape, "chunk": _CHUNK, "chunks": chunks}], 1.5)
 
     raw = _u8(s, d)
-    raw.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "n long").count()
+    sinks.write_groups(raw, path, F.format_string("%d.bin", "cz"), encode)
     near = F.udf(lambda a, b: bool(np.abs(np.frombuffer(a) - (np.frombuffer(b, "u1").astype(float) - 128)).max() <= 0.75 + 1e-9), "boolean")
-    back = containers.read_container(s, f"{path}/v.bin").select("cz", "cy", "cx", F.col("data").alias("got"))
+    back = containers.read_container(s, path).select("cz", "cy", "cx", F.col("data").alias("got"))
     return back.join(raw, ["cz", "cy", "cx"]).select("cz", "cy", "cx", near("got", "data").alias("close"))
 
 
-@register("cdc_pyramid_enc", with_views("select true as close from vol limit 1", "vol"))
+def _slabs(s, d, run, schema):
+    """``run(array of two planes, number of the slab)`` for every pair of planes; an odd last plane meets an empty one."""
+
+    def each(pdf):
+        n = int(pdf.slab.iloc[0])
+        a = np.zeros((2, *_PLANE))
+        a[pdf.z - 2 * n, pdf.y, pdf.x] = pdf.v
+        return run(a, n)
+
+    return vol(s, d).withColumn("slab", F.floor(F.col("z") / 2)).groupBy("slab").applyInPandas(each, schema)
+
+
+@register("cdc_pyramid_enc", with_views("select z // 2 as slab, true as close, true as smaller from vol group by 1", "vol"))
 def _pyramid_codec(s, d):
-    """Two levels through the residual pyramid codec, within half a step."""
+    """Two levels of every slab through the residual pyramid codec, within half a step."""
 
-    def run(pdf):
-        a = np.zeros((6, 16, 16))
-        a[pdf.z, pdf.y, pdf.x] = pdf.v
-        half = a.reshape(3, 2, 8, 2, 8, 2).mean((1, 3, 5))
-        got = codecs.pyramid_decode(codecs.pyramid_encode([a, half], 4.0), [half.shape, a.shape])
-        return pd.DataFrame({"close": [bool(np.abs(got[1] - a).max() <= 2 + 1e-9)]})
+    def run(a, n):
+        half = a.reshape(1, 2, 8, 2, 8, 2).mean((1, 3, 5))
+        codes = codecs.pyramid_encode([a, half], 4.0)
+        got = codecs.pyramid_decode(codes, [half.shape, a.shape])
+        return pd.DataFrame({"slab": [n], "close": [bool(np.abs(got[1] - a).max() <= 2 + 1e-9)], "smaller": [sum(map(len, codes)) < 8 * (a.size + half.size)]})
+
+    return _slabs(s, d, run, "slab long, close boolean, smaller boolean")
+
+
+@register("cdc_pyramid_dec", with_views("with h as (select z // 2 as z, y // 2 as y, x // 2 as x, sum(v) / 8e0 as v from vol group by 1, 2, 3), r as (select max(v) as top from h) select z, y, x, true as near from h", "vol"))
+def _pyramid_decode(s, d):
+    """The coarse level alone decoded from a pyramid's first code, voxel by voxel within half a step of the means."""
+
+    def run(a, n):
+        half = a.reshape(1, 2, 8, 2, 8, 2).mean((1, 3, 5)) - 128
+        got = codecs.pyramid_decode(codecs.pyramid_encode([a - 128, half], 2.0)[:1], [half.shape])[0]
+        y, x = np.indices(half.shape[1:])
+        return pd.DataFrame({"z": n, "y": y.ravel(), "x": x.ravel(), "near": (np.abs(got - half) <= 1 + 1e-9).ravel()})
+
+    return _slabs(s, d, run, "z long, y long, x long, near boolean")
+
+
+@register("cdc_blosc", with_views("select z // 4 as cz, y // 8 as cy, x // 8 as cx, cast(sum(v) as bigint) as total, true as same from vol group by 1, 2, 3", "vol"))
+def _blosc(s, d):
+    """Chunks as containers of shuffled blocks, decoded again."""
+
+    def run(batches):
+        for pdf in batches:
+            back = [codecs.blosc_decode(codecs.blosc_encode(np.frombuffer(x, "u1").astype("<u2").tobytes(), 2)) for x in pdf.data]
+            yield pd.DataFrame({"cz": pdf.cz, "cy": pdf.cy, "cx": pdf.cx, "total": [int(np.frombuffer(b, "<u2").sum()) for b in back], "same": [b == np.frombuffer(x, "u1").astype("<u2").tobytes() for b, x in zip(back, pdf.data, strict=True)]})
+
+    return _u8(s, d).mapInPandas(run, "cz long, cy long, cx long, total long, same boolean")
+
+
+@register("cdc_zarr_c4d", with_views("select z // 4 as cz, y // 8 as cy, x // 8 as cx, 256 as n, true as close from vol group by 1, 2, 3", "vol"))
+def _float_codec(s, d):
+    """Float chunks through the residual chunk codec, whose scale follows the chunk's range."""
+
+    def run(batches):
+        for pdf in batches:
+            raw = [np.frombuffer(x, "u1").astype("<f4") / 255 for x in pdf.data]
+            back = [codecs.chunk_decode(codecs.chunk_encode(a)) for a in raw]
+            yield pd.DataFrame({"cz": pdf.cz, "cy": pdf.cy, "cx": pdf.cx, "n": [len(b) for b in back], "close": [bool(np.abs(b - a).max() <= a.max() / 252 + 1e-6) for a, b in zip(raw, back, strict=True)]})
 
-    return vol(s, d).where("z < 6").withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "close boolean")
+    return _u8(s, d).mapInPandas(run, "cz long, cy long, cx long, n int, close boolean")
 
 
 @register("src_mirror", with_views("select z // 4 as cz, y // 8 as cy, x // 8 as cx from vol group by 1, 2, 3", "vol"))
@@ -224,8 +304,8 @@ def _normals(s, d):
         _, vectors = np.linalg.eigh(K.symmetric(K.structure_tensor(a, 0.3, 0.0)))
         return np.abs(vectors[..., 0]).max(-1)
 
-    c = B.to_chunks(vol(s, d), (7, 8, 8))
-    return B.to_voxels(B.with_halo(c, (7, 8, 8), 7, kernel, _SHAPE), (7, 8, 8)).withColumn("v", F.round("v", 6))
+    v = vol(s, d)
+    return B.to_voxels(B.with_halo(B.to_chunks(v, (7, 8, 8)), (7, 8, 8), 7, kernel, B.shape_of(v)), (7, 8, 8)).withColumn("v", F.round("v", 6))
 
 
 @register("ag_render", with_views("with m as (select y, x, max(v) as m from vol group by 1, 2), r as (select min(m) as lo, max(m) as hi from m) select y, x, cast(floor(greatest(0e0, least(1e0, (m - lo) / cast(hi - lo as double))) * 255e0 + 5e-1) as int) as level from m, r", "vol"))

@@ -12,7 +12,7 @@ from lamina.operators import graph as G
 from lamina.operators import volume as V
 from lamina.plans.views import edges, vol, with_views
 
-_SHAPE, _CHUNK = (7, 16, 16), (7, 8, 8)
+_CHUNK = (7, 8, 8)
 
 
 def _nodes(s, d):
@@ -59,9 +59,9 @@ def _edt(s, d):
 
 
 def _blurred(view, axis, w):
-    n = {"z": 7, "y": 16, "x": 16}[axis]
+    last = "(select max(z) from vol)" if axis == "z" else "15"
     at = ", ".join(f"v.{p}" for p in "zyx")
-    return f"select {at}, sum(w * u.v) as v from {view} v, (values {', '.join(f'({i - len(w) // 2}, {float(x)!r}::double)' for i, x in enumerate(w))}) k(o, w) join {view} u on " + " and ".join(f"u.{p} = least({n - 1}, greatest(0, v.{p} + o))" if p == axis else f"u.{p} = v.{p}" for p in "zyx") + " group by 1, 2, 3"
+    return f"select {at}, sum(w * u.v) as v from {view} v, (values {', '.join(f'({i - len(w) // 2}, {float(x)!r}::double)' for i, x in enumerate(w))}) k(o, w) join {view} u on " + " and ".join(f"u.{p} = least({last}, greatest(0, v.{p} + o))" if p == axis else f"u.{p} = v.{p}" for p in "zyx") + " group by 1, 2, 3"
 
 
 _W = K.gauss_weights(1.0)
@@ -69,14 +69,14 @@ _W = K.gauss_weights(1.0)
 
 @register("ip_gauss3d", with_views(f"with a as ({_blurred('vol', 'z', _W)}), b as ({_blurred('a', 'y', _W)}), c as ({_blurred('b', 'x', _W)}) select z, y, x, round(v, 5) as v from c", "vol"))
 def _gauss(s, d):
-    c = B.to_chunks(vol(s, d), _CHUNK)
-    return B.to_voxels(B.with_halo(c, _CHUNK, 3, lambda a, o: K.gauss(a, 1.0), _SHAPE), _CHUNK).withColumn("v", F.round("v", 5))
+    v = vol(s, d)
+    return B.to_voxels(B.with_halo(B.to_chunks(v, _CHUNK), _CHUNK, 3, lambda a, o: K.gauss(a, 1.0), B.shape_of(v)), _CHUNK).withColumn("v", F.round("v", 5))
 
 
 def _kernel(name, fn, halo):
     def run(s, d):
-        c = B.to_chunks(vol(s, d), _CHUNK)
-        return B.to_voxels(B.with_halo(c, _CHUNK, halo, fn, _SHAPE), _CHUNK).withColumn("v", F.round("v", 6) + 0.0)
+        v = vol(s, d)
+        return B.to_voxels(B.with_halo(B.to_chunks(v, _CHUNK), _CHUNK, halo, fn, B.shape_of(v)), _CHUNK).withColumn("v", F.round("v", 6) + 0.0)
 
     run.__doc__ = f"{name} over chunks with halos; tests hold it against the whole array."
     register(name)(run)

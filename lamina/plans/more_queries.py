@@ -14,19 +14,30 @@ from lamina.operators import volume as V
 from lamina.plans.views import annotations, surface, table, vol, vol2, vol_float, with_views
 from lamina.sources import codecs
 
-_U = "cast(floor(v / 255e0 * 255e0 + 5e-1) as int) / 255e0"
 _B = "cast(floor(greatest(0e0, least(1e0, {})) * 255e0 + 5e-1) as int)"
 
 
-def _cmap(name, r, g, b):
-    sql = f"with u as (select z, y, x, {_U} as u from vol) select z, y, x, " + ", ".join(f"{_B.format(e)} as {k}" for k, e in zip("rgb", (r, g, b), strict=True)) + " from u"
+def _cmap(name, sql):
     register(f"map_cmap_{name}", with_views(sql, "vol"))(lambda s, d: vol(s, d).select("z", "y", "x", colours.colour(F.col("v") / 255.0, name).alias("c")).select("z", "y", "x", "c.r", "c.g", "c.b"))
 
 
-_cmap("grayscale", "u", "u", "u")
-_cmap("hot", "u * 8 / 3", "u * 8 / 3 - 1", "u * 4 - 3")
-_cmap("cool", "u", "1 - u", "1e0")
-_cmap("jet", "15e-1 - abs(4 * u - 3)", "15e-1 - abs(4 * u - 2)", "15e-1 - abs(4 * u - 1)")
+def _formula(*rgb):
+    return "with u as (select z, y, x, v / 255e0 as u from vol) select z, y, x, " + ", ".join(f"{_B.format(e)} as {k}" for k, e in zip("rgb", rgb, strict=True)) + " from u"
+
+
+def _points(name):
+    rows = ", ".join(f"({i}, {t}::float::double, {', '.join(f'{v}::float::double' for v in p)})" for i, (t, p) in enumerate(zip(colours.AT, colours.control(name), strict=True)))
+    mixed = ", ".join(f"{_B.format(f'p.{k} + (u - p.t) / (q.t - p.t) * (q.{k} - p.{k})')} as {k}" for k in "rgb")
+    return f"with c(i, t, r, g, b) as (values {rows}), w as (select z, y, x, v / 255e0 as u from vol) select z, y, x, {mixed} from w join c p on (p.t < u or p.i = 0) join c q on q.i = p.i + 1 and q.t >= u"
+
+
+_cmap("grayscale", _formula("u", "u", "u"))
+_cmap("hot", _formula("u * 3", "u * 3 - 1", "u * 3 - 2"))
+_cmap("cool", _formula("u", "1 - u", "1e0"))
+_cmap("bone", _formula("u * 7 / 8 + case when u >= 75e-2 then (u - 75e-2) * 4 / 3 else 0 end", "u * 7 / 8 + case when u >= 75e-2 then (u - 75e-2) * 4 / 3 + 125e-3 when u < 375e-3 then 0 else (u - 375e-3) * 4 / 3 end", "u * 7 / 8 + case when u < 375e-3 then u * 4 / 3 else 125e-3 end"))
+_cmap("jet", _formula("15e-1 - abs(4 * u - 3)", "15e-1 - abs(4 * u - 2)", "15e-1 - abs(4 * u - 1)"))
+for _name in colours.CONTROL:
+    _cmap(_name, _points(_name))
 
 
 @register("map_slice_key", with_views("select z, y, x, cast(floor(log2(v + 1) * 32) as bigint) as scale_key, z * 4 as z_key from vol", "vol"))
@@ -49,13 +60,16 @@ def _patchify(s, d):
     return vol(s, d).select("z", (F.floor(y / 4) * 4 + F.floor(x / 4)).alias("patch"), (y % 4 * 4 + x % 4).alias("pos"), "v")
 
 
-@register("ml_patch_extract", with_views("with o as (select py * 8 as py, px * 8 as px from range(2) a(py), range(2) b(px)), g as (select o.py, o.px, dz * 64 + dy * 8 + dx as i, coalesce(v.v, 0) as v from o, range(2) a(dz), range(8) b(dy), range(8) c(dx) left join vol v on v.z = dz and v.y = py + dy and v.x = px + dx) select py, px, cast(sum(v * (i + 1)) as bigint) as checksum from g group by 1, 2", "vol"))
+@register("ml_patch_extract", with_views("with o as (select pz * 2 as pz, py * 8 as py, px * 8 as px from range((select (max(z) + 1) // 2 from vol)) c(pz), range(2) a(py), range(2) b(px)), g as (select o.pz, o.py, o.px, dz * 64 + dy * 8 + dx as i, coalesce(v.v, 0) as v from o, range(2) a(dz), range(8) b(dy), range(8) c(dx) left join vol v on v.z = pz + dz and v.y = py + dy and v.x = px + dx) select pz, py, px, cast(sum(v * (i + 1)) as bigint) as checksum from g group by 1, 2, 3", "vol"))
 def _extract(s, d):
-    from lamina.operators.patches import extract, grid
+    """Patches of the whole volume."""
+    from lamina.operators.patches import extract, origins
 
-    g = extract(vol(s, d), grid(s, (2, 16, 16), (2, 8, 8), (2, 8, 8)), (2, 8, 8))
+    v = vol(s, d)
+    size = v.agg(*[(F.max(c) + 1).alias(f"s{c}") for c in "zyx"])
+    g = extract(v, origins(size, (2, 8, 8), (2, 8, 8)), (2, 8, 8))
     total = F.aggregate(F.transform("image", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
-    return g.select("py", "px", total.alias("checksum"))
+    return g.select("pz", "py", "px", total.alias("checksum"))
 
 
 @register("ml_losses", with_views("with j as (select a.v / 255e0 as p, case when b.v >= 128 then 1e0 else 0e0 end as t from vol a join vol2 b on a.z = b.z and a.y = b.y and a.x = b.x) select round(1 - (2 * sum(p * t) + 1e-6) / (sum(p) + sum(t) + 1e-6), 9) as dice, round(avg(-(t * ln(greatest(1e-7, least(1 - 1e-7, p))) + (1 - t) * ln(1 - greatest(1e-7, least(1 - 1e-7, p))))), 9) as bce, round(avg(abs(p - t)), 9) as mae, round(avg(pow(p - t, 2)), 9) as mse from j", "vol", "vol2"))

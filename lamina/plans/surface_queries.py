@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.catalog import register
+from lamina.operators import blocks as B
 from lamina.operators import spatial as P
 from lamina.operators import surface as S
 from lamina.plans.views import edges, surface, table, vol, vol2, with_views
@@ -107,10 +108,11 @@ def _approval(s, d):
     return g.join(last, ["row", "col"], "left").select("row", "col", F.coalesce("state", F.lit(0)).alias("state"))
 
 
-@register("sf_bilinear", with_views(f"with {_QUADS}, p as (select p_partkey as qid, least(1e0, greatest(0e0, p_size / 50e0)) * 39 as fc, least(1e0, greatest(0e0, (p_retailprice - floor(p_retailprice)))) * 49 as fr from part), r as (select *, least(floor(fr), 48) as r0, least(floor(fc), 38) as c0 from p) select qid, " + ", ".join(f"round((1 - (fr - r0)) * ((1 - (fc - c0)) * a_{k} + (fc - c0) * b_{k}) + (fr - r0) * ((1 - (fc - c0)) * c_{k} + (fc - c0) * d_{k}), 6) as {k}" for k in "xyz") + " from r join q on q.row = r0 and q.col = c0", "surf"))
+@register("sf_bilinear", with_views(f"with {_QUADS}, p as (select p_partkey as qid, least(1e0, greatest(0e0, p_size / 50e0)) * 39 as fc, least(1e0, greatest(0e0, (p_retailprice - floor(p_retailprice)))) * (select max(row) from surf) as fr from part), r as (select *, least(floor(fr), (select max(row) - 1 from surf)) as r0, least(floor(fc), 38) as c0 from p) select qid, " + ", ".join(f"round((1 - (fr - r0)) * ((1 - (fc - c0)) * a_{k} + (fc - c0) * b_{k}) + (fr - r0) * ((1 - (fc - c0)) * c_{k} + (fc - c0) * d_{k}), 6) as {k}" for k in "xyz") + " from r join q on q.row = r0 and q.col = c0", "surf"))
 def _bilinear(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("qid"), (F.col("p_size") / 50.0).alias("u"), (F.col("p_retailprice") - F.floor("p_retailprice")).alias("v"))
-    return _r(S.bilinear(surface(s, d), p, 50, 40))
+    g = surface(s, d)
+    return _r(S.bilinear(g, p, g.agg(F.max("row")).first()[0] + 1, 40))
 
 
 _LINE = "line as (select user_id as id, event_id as seq, cast(event_id % 17 as double) as x, cast(event_id % 5 as double) as y, cast(event_id % 3 as double) as z from events)"
@@ -165,9 +167,10 @@ def _overlap(s, d):
     return _points(s, d).join(near, "qid", "left_anti").select("qid")
 
 
-@register("jn_mask_surface", with_views("select distinct cast(z as bigint) as z, cast(y as bigint) as y, cast(x as bigint) as x from (select vz as z, vy as y, vx as x from surf s, range(0, 8) a(vz), range(0, 50) b(vy), range(0, 40) c(vx) where pow(s.x - vx, 2) + pow(s.y - vy, 2) + pow(s.z - vz, 2) <= 4)", "surf"))
+@register("jn_mask_surface", with_views("select distinct cast(z as bigint) as z, cast(y as bigint) as y, cast(x as bigint) as x from (select vz as z, vy as y, vx as x from surf s, range(0, 8) a(vz), range(0, (select max(row) + 1 from surf)) b(vy), range(0, 40) c(vx) where pow(s.x - vx, 2) + pow(s.y - vy, 2) + pow(s.z - vz, 2) <= 4)", "surf"))
 def _mask(s, d):
-    return P.mark_ball(surface(s, d), 2, (8, 50, 40))
+    p = surface(s, d)
+    return P.mark_ball(p, 2, (8, p.agg(F.max("row")).first()[0] + 1, 40))
 
 
 _BOXES = "b as (select s_suppkey as id, cast(s_suppkey % 7 * 3 as double) as x0, cast(s_suppkey % 7 * 3 + 4 as double) as x1, cast(s_suppkey % 5 * 3 as double) as y0, cast(s_suppkey % 5 * 3 + 4 as double) as y1, cast(s_suppkey % 3 * 5 as double) as z0, cast(s_suppkey % 3 * 5 + 4 as double) as z1 from supplier)"
@@ -241,11 +244,12 @@ def _valid(s, d):
     return surface(s, d).select("row", "col", (F.col("x").between(5, 30) & F.col("y").between(10, 40)).alias("valid"))
 
 
-@register("sf_patch", with_views("select s.row, s.col, k, coalesce(v.v, 0) as v from surf s, range(-1, 2) t(k) left join vol v on v.z = least(6, greatest(0, cast(floor(s.z) as bigint) + k)) and v.y = s.row and v.x = s.col", "surf", "vol"))
+@register("sf_patch", with_views("select s.row, s.col, k, coalesce(v.v, 0) as v from surf s, range(-1, 2) t(k) left join vol v on v.z = least((select max(z) from vol), greatest(0, cast(floor(s.z) as bigint) + k)) and v.y = s.row and v.x = s.col", "surf", "vol"))
 def _patch(s, d):
+    v = vol(s, d)
     p = surface(s, d).withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])))
-    p = p.select("row", "col", "k", F.least(F.lit(6), F.greatest(F.lit(0), F.floor("z") + F.col("k"))).alias("z"), F.col("row").alias("y"), F.col("col").alias("x"))
-    return p.join(vol(s, d), ["z", "y", "x"], "left").select("row", "col", "k", F.coalesce("v", F.lit(0)).alias("v"))
+    p = p.select("row", "col", "k", F.least(F.lit(B.shape_of(v)[0] - 1).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor("z") + F.col("k"))).alias("z"), F.col("row").alias("y"), F.col("col").alias("x"))
+    return p.join(v, ["z", "y", "x"], "left").select("row", "col", "k", F.coalesce("v", F.lit(0)).alias("v"))
 
 
 @register("ag_sparse_dup", with_views("select src, dst, round(sum(weight), 6) as v from (select * from edges union all select * from edges) group by 1, 2", "edges"))

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Orders of a plane of the volumes.
+PLANE = 1000
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def _voxels(spark, d, value) -> DataFrame:
     li = table(spark, d, "lineitem")
-    keys = [(F.col("l_linenumber") - 1).cast("long").alias("z"), (F.col("l_suppkey") % 16).alias("y"), (F.col("l_partkey") % 16).alias("x")]
+    keys = [F.floor(F.col("l_orderkey") / PLANE).alias("z"), (F.col("l_suppkey") % 16).alias("y"), (F.col("l_partkey") % 16).alias("x")]
     return li.groupBy(*keys).agg((F.sum(value).cast("long") % 256).alias("v"))
 
 
 def vol(spark, d) -> DataFrame:
-    """u8 volume (z, y, x, v) of summed quantities."""
+    """u8 volume (z, y, x, v) of summed quantities: a plane of 16 x 16 voxels for every thousand orders."""
     return _voxels(spark, d, F.col("l_quantity"))
 
 
@@ -98,8 +102,8 @@ def box(spark) -> DataFrame:
 
 
 SQL = {
-    "vol": "vol as (select cast(l_linenumber - 1 as bigint) as z, l_suppkey % 16 as y, l_partkey % 16 as x, cast(sum(l_quantity) as bigint) % 256 as v from lineitem group by 1, 2, 3)",
-    "vol2": "vol2 as (select cast(l_linenumber - 1 as bigint) as z, l_suppkey % 16 as y, l_partkey % 16 as x, cast(sum(l_linenumber * 7 + cast(round(l_discount * 100) as bigint)) as bigint) % 256 as v from lineitem group by 1, 2, 3)",
+    "vol": "vol as (select l_orderkey // 1000 as z, l_suppkey % 16 as y, l_partkey % 16 as x, cast(sum(l_quantity) as bigint) % 256 as v from lineitem group by 1, 2, 3)",
+    "vol2": "vol2 as (select l_orderkey // 1000 as z, l_suppkey % 16 as y, l_partkey % 16 as x, cast(sum(l_linenumber * 7 + cast(round(l_discount * 100) as bigint)) as bigint) % 256 as v from lineitem group by 1, 2, 3)",
     "volf": "volf as (select vec_id // 16 as z, vec_id % 16 as y, cast(i - 1 as bigint) as x, round(cast(embedding[i] as double), 4) as v from embeddings, unnest(range(1, 65)) t(i) where i <= len(embedding))",
     "surf": "surf as (select p_partkey // 40 as row, p_partkey % 40 as col, cast(p_partkey % 40 as double) as x, cast(p_partkey // 40 as double) as y, cast(p_size % 7 + p_retailprice / 1e4 as double) as z from part)",
     "surf2": "surf2 as (select p_partkey // 40 as row, p_partkey % 40 as col, cast(p_partkey % 40 as double) as x, cast(p_partkey // 40 as double) as y, cast(p_size % 7 + p_retailprice / 1e4 + p_size as double) as z from part)",

@@ -82,6 +82,43 @@ def blosc_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def blosc_encode(data: bytes, width: int, block: int = 1 << 18) -> bytes:
+    """A Blosc 1 container of shuffled, unsplit zstd blocks; a block that does not shrink is stored as it is."""
+    import zstandard
+
+    kind, blocks = BLOSC_INNER.index("zstd"), []
+    block = max(width, block // width * width)
+    for at in range(0, len(data), block):
+        part = data[at : at + block]
+        n = len(part) // width
+        mixed = np.frombuffer(part[: n * width], np.uint8).reshape(n, width).T.tobytes() + part[n * width :] if width > 1 else part
+        code = zstandard.ZstdCompressor(level=1).compress(mixed)
+        code = code if len(code) < len(mixed) else mixed
+        blocks.append(struct.pack("<i", len(code)) + code)
+    first = 16 + 4 * len(blocks)
+    starts = np.cumsum([first, *map(len, blocks)]).tolist()
+    flags = kind << 5 | 16 | 1
+    return struct.pack("<BBBBIII", 2, 1, flags, width, len(data), block, starts[-1]) + struct.pack(f"<{len(blocks)}I", *starts[:-1]) + b"".join(blocks)
+
+
+#: The first bytes of a coded chunk of floats: a fixed value of the format.
+CHUNK_MARK = b"C4DR"
+
+
+def chunk_encode(values: np.ndarray) -> bytes:
+    """Floats as residuals whose step follows their largest size: mark, number, step, code."""
+    a = np.asarray(values, float).ravel()
+    step = float(np.float32(np.abs(a).max(initial=0.0) / 127 or 1.0))
+    return CHUNK_MARK + struct.pack("<If", a.size, step) + residual_encode(a, step)
+
+
+def chunk_decode(data: bytes) -> np.ndarray:
+    if data[:4] != CHUNK_MARK:
+        raise ValueError("not a coded chunk")
+    n, step = struct.unpack("<If", data[4:12])
+    return residual_decode(data[12:], n, step)
+
+
 def frequencies(data: bytes) -> np.ndarray:
     """Symbol frequencies normalised to 2**12; each symbol that occurs keeps at least 1."""
     n = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(np.int64)

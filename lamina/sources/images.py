@@ -164,12 +164,12 @@ def read_tifxyz(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, parse, SURFACE)
 
 
-def read_surface_json(spark: SparkSession, path: str) -> DataFrame:
-    """Points (row, col, x, y, z) of a {"rows", "cols", "points"} document; wrong lengths fail."""
+def read_surface_json(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """Points (row, col, x, y, z) of {"rows", "cols", "points"} documents, with their file's ``path`` if ``named``; wrong lengths fail."""
     t = spark.read.option("multiLine", True).schema("rows int, cols int, points array<array<double>>").json(path)
     ok = F.assert_true(F.size("points") == F.col("rows") * F.col("cols"), F.lit("points do not fill the grid"))
-    p = t.select("cols", F.posexplode("points").alias("i", "p"), ok.alias("_ok")).where("_ok is null")
-    return p.select(F.floor(F.col("i") / F.col("cols")).cast("int").alias("row"), (F.col("i") % F.col("cols")).cast("int").alias("col"), *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")])
+    p = t.select("cols", F.col("_metadata.file_path").alias("path"), F.posexplode("points").alias("i", "p"), ok.alias("_ok")).where("_ok is null")
+    return p.select(*(["path"] if named else []), F.floor(F.col("i") / F.col("cols")).cast("int").alias("row"), (F.col("i") % F.col("cols")).cast("int").alias("col"), *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")])
 
 
 def surface_json(points: DataFrame) -> str:

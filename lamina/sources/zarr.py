@@ -221,3 +221,16 @@ def finalize(path: str, levels: int) -> None:
     data = [{"path": str(n), "coordinateTransformations": [{"type": "scale", "scale": [float(2**n)] * 3}]} for n in range(levels)]
     with system.open_output_stream(f"{root.rstrip('/')}/.zattrs") as f:
         f.write(json.dumps({"multiscales": [{"version": "0.4", "axes": [{"name": a, "type": "space"} for a in "zyx"], "datasets": data}]}).encode())
+
+
+def scales(path: str) -> dict[int, list[float]]:
+    """Scale of each level in the multiscales metadata; empty if there is none."""
+    system, root = open_path(path)
+    text = _get(system, f"{root.rstrip('/')}/.zattrs")
+    doc = json.loads(text) if text is not None else {}
+    found = {}
+    for d in (doc.get("multiscales") or [{}])[0].get("datasets", []):
+        for t in d.get("coordinateTransformations", []):
+            if t.get("type") == "scale":
+                found[int(d["path"])] = t["scale"]
+    return found
