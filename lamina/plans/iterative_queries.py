@@ -117,18 +117,9 @@ def _dijkstra(s, d):
     return G.relax(vol(s, d).where("v < 200").select("z", "y", "x", F.col("v").cast("double").alias("v")), (0, 1, 1))
 
 
-@register("ip_overlay", with_views("select z, y, x, cast(floor(case when v >= 128 then v * 5e-1 + 255e0 * 5e-1 else v end) as int) as v from vol", "vol"))
-def _overlay(s, d):
-    return vol(s, d).select("z", "y", "x", F.floor(F.when(F.col("v") >= 128, F.col("v") * 0.5 + 127.5).otherwise(F.col("v"))).cast("int").alias("v"))
-
-
-@register("ip_raycast", with_views("select y, x, max(v) as mip, min(case when v >= 180 then z end) as first_hit from vol group by 1, 2", "vol"))
-def _raycast(s, d):
-    return vol(s, d).groupBy("y", "x").agg(F.max("v").alias("mip"), F.min(F.when(F.col("v") >= 180, F.col("z"))).alias("first_hit"))
-
-
-@register("ip_detect_surfaces", with_views("with g as (select z, y, x, coalesce(lead(v) over w, v) - coalesce(lag(v) over w, v) as d1 from vol window w as (partition by y, x order by z)), h as (select z, y, x, d1, coalesce(lead(d1) over w, d1) as n from g window w as (partition by y, x order by z)) select z, y, x, case when d1 > 0 then 'recto' else 'verso' end as side from h where abs(d1) >= 100 and d1 * n < 0", "vol"))
-def _detect(s, d):
+@register("wn_turns", with_views("with g as (select z, y, x, coalesce(lead(v) over w, v) - coalesce(lag(v) over w, v) as d1 from vol window w as (partition by y, x order by z)), h as (select z, y, x, d1, coalesce(lead(d1) over w, d1) as n from g window w as (partition by y, x order by z)) select z, y, x, case when d1 > 0 then 'recto' else 'verso' end as side from h where abs(d1) >= 100 and d1 * n < 0", "vol"))
+def _turns(s, d):
+    """Sides by differences along z alone."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("y", "x").orderBy("z")

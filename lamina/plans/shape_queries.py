@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.catalog import register
+from lamina.functions.colours import colour
 from lamina.operators import blocks as B
 from lamina.operators import isosurface as I
+from lamina.operators import rays as R
+from lamina.operators import sheets as H
+from lamina.operators import surface as S
 from lamina.operators import tracing as T
-from lamina.plans.views import surface, table, vol, with_views
+from lamina.plans.views import surface, table, vol, vol2, with_views
 
 _ISO = 127.5
 _CASES = ", ".join(f"({i}, {k}, {a}, {b}, {c})" for i in range(256) for k, (a, b, c) in enumerate(I.case(i)))
@@ -187,3 +191,96 @@ def _patch(s, d):
     v = vol(s, d)
     out = _corrections(s, d).select(F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
     return _rounded(T.grow_patch(_traced(s, d), v, B.shape_of(v), 3, exclusions=out))
+
+
+# --- rays, overlays, sheets
+
+
+def _rays(s, d):
+    """A ray per part, from below the volume through its middle."""
+    o = [F.col("p_size") % 10 / 10.0 + 0.05, F.col("p_partkey") % 16 / 16.0 + 0.03, F.lit(-0.5)]
+    go = [0.5 - v for v in o]
+    size = S.length(go)
+    return table(s, d, "part").select(F.col("p_partkey").alias("ray"), *[v.alias(f"o{k}") for k, v in zip("xyz", o, strict=True)], *[(g / size).alias(f"d{k}") for k, g in zip("xyz", go, strict=True)])
+
+
+_GO = ", ".join(f"(5e-1 - o{k}) / sqrt((5e-1 - ox) * (5e-1 - ox) + (5e-1 - oy) * (5e-1 - oy) + (5e-1 - oz) * (5e-1 - oz)) as d{k}" for k in "xyz")
+_ENTER = "greatest(0e0, " + ", ".join(f"case when abs(d{k}) < 1e-9 then 0e0 else least((0 - o{k}) / d{k}, (1 - o{k}) / d{k}) end" for k in "xyz") + ")"
+_LEAVE = "least(" + ", ".join(f"case when abs(d{k}) < 1e-9 then 'infinity'::double else greatest((0 - o{k}) / d{k}, (1 - o{k}) / d{k}) end" for k in "xyz") + ")"
+
+
+@register(
+    "ip_raycast",
+    with_views(
+        f"""with o as (select p_partkey as ray, p_size % 10 / 1e1 + 5e-2 as ox, p_partkey % 16 / 16e0 + 3e-2 as oy, -5e-1 as oz from part), r as (select *, {_GO} from o),
+h as (select *, {_ENTER} as near, {_LEAVE} as far from r), m as (select max(z) as nz from vol),
+k as (select *, unnest(range(0, cast(floor((far - near) / 8e-2) as bigint) + 1)) as k from h where near <= far),
+p as (select ray, k, near + k * 8e-2 as t, (ox + dx * (near + k * 8e-2)) * 15 as x, (oy + dy * (near + k * 8e-2)) * 15 as y, (oz + dz * (near + k * 8e-2)) * nz as z from k, m),
+{_sample_sql('p', 'ray, k', 'v', 't')},
+w as (select ray, k, t, value / 255e0 as value, lag(value / 255e0) over (partition by ray order by k) as prev from v),
+c as (select ray, t - 8e-2 * (1 - (6e-1 - prev) / (value - prev + 1e-9)) as t from w where prev >= 0 and (prev < 6e-1) <> (value < 6e-1) qualify row_number() over (partition by ray order by k) = 1)
+select ray, round(greatest(0e0, mip), 6) as mip, round(c.t, 6) as crossing from (select ray, max(value) as mip from w group by 1) left join c using (ray)""",
+        "vol",
+    ),
+)
+def _cast(s, d):
+    """The brightest sample and the first crossing of 0.6 along a ray of every part."""
+    v = vol(s, d)
+    m = R.march(_rays(s, d), v, B.shape_of(v), 0.08)
+    return R.brightest(m).join(R.crossing(m, 0.6, 0.08), "ray", "left").select("ray", F.round("mip", 6).alias("mip"), F.round("t", 6).alias("crossing"))
+
+
+@register("ip_raycast_transfer")
+def _transfer(s, d):
+    """Colours and opacity along the same rays; tests hold them against plain loops."""
+    v = vol(s, d)
+    return R.transfer(R.march(_rays(s, d), v, B.shape_of(v), 0.08), 0.08, name="magma")
+
+
+_OVER = ", ".join(f"cast(floor(({e}) * 255e0 + 5e-1) as int) as {n}_{k}" for n, every in (("alpha", ("s{k} * 4e-1 + v / 255e0 * (1 - 4e-1)", "4e-1 + 1e0 * (1 - 4e-1)")), ("additive", ("least(v / 255e0 + s{k} * 4e-1, 1e0)", "least(1e0 + 4e-1, 1e0)")), ("multiply", ("v / 255e0 * (1 - 4e-1 + s{k} * 4e-1)", "1e0"))) for k, e in [*[(k, every[0].format(k=k)) for k in "rgb"], ("a", every[1])])
+_HOT = ", ".join(f"cast(floor(greatest(0e0, least(1e0, u * 3 - {i})) * 255e0 + 5e-1) as int) / 255e0 as s{k}" for i, k in enumerate("rgb"))
+
+
+@register("ip_overlay", with_views(f"with u as (select a.z, a.y, a.x, a.v, greatest(0e0, least(1e0, (b.v - 64) / 128e0)) as u from vol a join vol2 b on a.z = b.z and a.y = b.y and a.x = b.x where b.v >= 80), c as (select *, {_HOT} from u) select z, y, x, {_OVER} from c", "vol", "vol2"))
+def _overlay(s, d):
+    """The second volume, windowed, coloured and above a threshold, over the first in all blend modes."""
+    j = vol(s, d).join(vol2(s, d).withColumnRenamed("v", "w"), ["z", "y", "x"]).where("w >= 80")
+    gray, over = F.struct(*[F.col("v").alias(k) for k in "rgb"], F.lit(255).alias("a")), colour((F.col("w") - 64) / 128.0, "hot")
+    out = j.select("z", "y", "x", *[R.blend(gray, over, F.lit(0.4), m).alias(m) for m in ("alpha", "additive", "multiply")])
+    return out.select("z", "y", "x", *[F.col(f"{m}.{k}").alias(f"{m}_{k}") for m in ("alpha", "additive", "multiply") for k in "rgba"])
+
+
+@register("ip_detect_surfaces")
+def _detect(s, d):
+    """Sheets of the whole volume with their sides and normals; tests hold them against whole arrays."""
+    v = vol(s, d)
+    return _rounded(H.detect(v, B.shape_of(v), (8, 8, 8), window=5))
+
+
+# --- edits of the surface
+
+
+_DABS = 23
+_LINE = f"w as (select n.*, (select sum(case when d2 <= 4 then exp(-d2 / 2) else 0 end) from (select pow(row - (3 + i / {_DABS}e0 * 9), 2) + pow(col - (5 + i / {_DABS}e0 * 7), 2) as d2 from range({_DABS + 1}) r(i))) as w from n)"
+
+
+@register("sf_line", with_views(f"with s as (select row, col, x, y, z from surf), {_normal_sql('s', 's', 'n')}, {_LINE} select row, col, " + ", ".join(f"round({k} + n{k} * 5e-1 * w, 6) + 0e0 as {k}" for k in "xyz") + " from w", "surf"))
+def _line(s, d):
+    """A brush drawn across the surface."""
+    return _rounded(H.line(surface(s, d), (3.0, 5.0), (12.0, 12.0), 2.0, 0.5, 1.0))
+
+
+@register("sf_undo", with_views("select row, col, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y, round(z, 6) + 0e0 as z from surf", "surf"))
+def _undo(s, d):
+    """A line, a brush and a push, undone by their log."""
+    g = surface(s, d)
+    one = H.line(g, (3.0, 5.0), (12.0, 12.0), 2.0, 0.5)
+    two = S.brush(one, 8, 8, 3.0, 1.0)
+    three = S.push_pull(two, 9, 10, 2.0, -0.5)
+    log = H.record(g, one, 1).unionByName(H.record(one, two, 2)).unionByName(H.record(two, three, 3))
+    return _rounded(H.undo(three, log, 1))
+
+
+@register("sf_eraser", with_views("select row, col, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from surf where pow(row - 20, 2) + pow(col - 15, 2) > 30", "surf"))
+def _erase(s, d):
+    return _rounded(H.erase(surface(s, d), 20, 15, 30**0.5))
