@@ -14,8 +14,9 @@ from lamina.operators import meshing as M
 from lamina.operators import patches
 from lamina.operators import spatial as P
 from lamina.operators import surface as S
-from lamina.plans.views import box, edges, surface, table, with_views
+from lamina.plans.views import box, collab, edges, surface, table, vol, with_views
 from lamina.sources import images, scratch
+from lamina.streaming import server as V
 
 _WIDTH = 40
 
@@ -326,3 +327,50 @@ def _raster(s, d):
         return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]] if drawn else [], "drawn": [drawn] if drawn else []})
 
     return table(s, d, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(run, "user_id long, drawn long")
+
+
+# --- messages
+
+
+_CHUNKS = "k as (select z // 4 as cz, y // 8 as cy, x // 8 as cx from vol group by 1, 2, 3)"
+
+
+def _messages(s, d):
+    """A message per event: requests, updates and pings, some of them bad."""
+    e = collab(s, d)
+    n = F.col("event_id")
+    ask = V.chunk_request(F.when(n % 7 == 0, "vol-9").otherwise("vol-1"), F.lit(0), n % 20, n % 3, n % 2)
+    json = lambda *kv: F.concat(F.lit("{"), F.concat_ws(",", *kv), F.lit("}")).cast("binary")
+    item = lambda k, v: F.concat(F.lit(f'"{k}":"'), v, F.lit('"'))
+    update = json(item("volume_id", F.lit("vol-1")), F.when(n % 5 != 0, item("name", F.concat(F.lit("seg "), n.cast("string")))))
+    note = json(F.concat(F.lit('"segment_id":'), (n % 11 - 1).cast("string")), item("type", F.lit("point")))
+    kind = F.element_at(F.array(*map(F.lit, (V.CHUNK_REQ, V.SEG_UPDATE, V.ANNOT_UPDATE, V.PING, V.PONG))), F.col("edit_type") + 1)
+    payload = F.when(F.col("edit_type") == 0, ask).when(F.col("edit_type") == 1, update).when(F.col("edit_type") == 2, note)
+    return e.select(n.alias("seq"), F.col("user_id").cast("int").alias("client"), V.frame(kind, payload).alias("data"))
+
+
+_REPLY = """select event_id as seq, false as to_all, {kind} as kind, {text} as text from collab where {where}"""
+
+
+@register(
+    "sm_server",
+    with_views(
+        f"with {_CHUNKS}, q as (select event_id, event_id % 7 = 0 as other, k.cz is not null as found from collab left join k on cz = event_id % 20 and cy = event_id % 3 and cx = event_id % 2 where edit_type = 0), r as (select event_id as seq, false as to_all, case when not other and found then 5 else 12 end as kind, case when other then 'unknown volume' when not found then 'chunk not found' else '256 bytes' end as text from q union all "
+        + _REPLY.format(kind="case when event_id % 5 <> 0 then 7 else 12 end", text="case when event_id % 5 <> 0 then '{\"id\":' || event_id || '}' else 'bad seg_update' end", where="edit_type = 1")
+        + " union all select event_id, true, 6, '{\"volume_id\":\"vol-1\",\"name\":\"seg ' || event_id || '\"}' from collab where edit_type = 1 and event_id % 5 <> 0 union all "
+        + _REPLY.format(kind="case when event_id % 11 > 0 then 9 else 12 end", text="case when event_id % 11 > 0 then '{\"id\":' || event_id || '}' else 'bad annot_update' end", where="edit_type = 2")
+        + " union all select event_id, true, 8, '{\"segment_id\":' || (event_id % 11 - 1) || ',\"type\":\"point\"}' from collab where edit_type = 2 and event_id % 11 > 0 union all "
+        + _REPLY.format(kind="1", text="''", where="edit_type = 3")
+        + ") select seq, to_all, cast(kind as int) as kind, text from r",
+        "vol",
+        "collab",
+    ),
+)
+def _server(s, d):
+    """Replies to a frame per event; chunks by their size."""
+    from lamina.operators.blocks import to_chunks
+
+    c = to_chunks(vol(s, d), (4, 8, 8)).select(F.lit("vol-1").alias("volume_id"), F.lit(0).alias("level"), F.col("cz").alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x"), F.substring("data", 1, 256).alias("data"))
+    r = V.replies(scratch.cut(_messages(s, d), "messages"), c)
+    text = F.when(F.col("kind") == V.CHUNK_RESP, F.concat(F.octet_length("payload").cast("string"), F.lit(" bytes"))).otherwise(F.decode("payload", "UTF-8"))
+    return r.select("seq", "to_all", "kind", text.alias("text"))

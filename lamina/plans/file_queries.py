@@ -174,6 +174,28 @@ def _pyramid_file(s, d):
     return s.createDataFrame([(m["level"], scale[m["level"]][0], *m["shape"][:2]) for m in zarr.metadata(path)], "level int, scale double, nz int, nyx int")
 
 
+@register("src_open", with_views("with h as (select z // 2 as z, y // 2 as y, x // 2 as x, floor(sum(v) / 8e0) as v from vol group by 1, 2, 3) select z, y, x, cast(v as double) as v from h", "vol"))
+def _open(s, d):
+    """A pyramid opened by its path; the voxels of its second level."""
+    path, v = scratch.fresh(s, "pyramid"), vol(s, d)
+    for level in range(2):
+        zarr.write(_u8_of(v), path, zarr.create(path, level, B.shape_of(v), _CHUNK, "uint8", codec="zstd", version=2 + level))
+        v = V.scale(v, 2).withColumn("v", F.floor("v"))
+    s.dataSource.register(zarr.ZarrChunks)
+    return zarr.voxels(s.read.format("zarr_chunks").load(path), zarr.metadata(path)[1])
+
+
+@register("ag_betti")
+def _betti(s, d):
+    """Parts and holes of the bright voxels of every plane; tests hold them against flood fills."""
+
+    def run(pdf):
+        m = sinks.dense(pdf, "yx", _PLANE) >= 150
+        return pd.DataFrame([(int(pdf.z.iloc[0]), *T.betti2d(m))], columns=["z", "parts", "holes"])
+
+    return vol(s, d).groupBy("z").applyInPandas(run, "z long, parts long, holes long")
+
+
 @register("snk_mask_bin", with_views("select z // 4 as part, count(*) filter (v >= 128) as set_voxels from vol group by 1", "vol"))
 def _mask_file(s, d):
     """Masks of four planes, a file each."""

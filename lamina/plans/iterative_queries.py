@@ -73,6 +73,14 @@ def _gauss(s, d):
     return B.to_voxels(B.with_halo(B.to_chunks(v, _CHUNK), _CHUNK, 3, lambda a, o: K.gauss(a, 1.0), B.shape_of(v)), _CHUNK).withColumn("v", F.round("v", 5))
 
 
+@register("ip_gauss2d", with_views(f"with b as ({_blurred('vol', 'y', _W)}), c as ({_blurred('b', 'x', _W)}) select z, y, x, round(v, 5) as v from c", "vol"))
+def _gauss2d(s, d):
+    """Every plane blurred for itself."""
+    v = vol(s, d)
+    flat = lambda a, o: K.correlate(K.correlate(a, _W, 1), _W, 2)
+    return B.to_voxels(B.with_halo(B.to_chunks(v, _CHUNK), _CHUNK, 3, flat, B.shape_of(v)), _CHUNK).withColumn("v", F.round("v", 5))
+
+
 def _kernel(name, fn, halo):
     def run(s, d):
         v = vol(s, d)
