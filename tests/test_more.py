@@ -66,7 +66,7 @@ def test_mesh_smoothing_matches_numpy(spark):
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 3
+    assert [r["level"] for r in e.entry(spark).orderBy("level").collect()] == [0, 1]  # the smallest tables give two planes
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 150
+    assert len(q) >= 250
