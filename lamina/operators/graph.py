@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.ranking import numbered
 from lamina.sources import scratch
 
 
@@ -33,7 +34,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def number(components: DataFrame) -> DataFrame:
     """Components numbered from 0 in the order of their smallest node."""
-    names = components.select("component").distinct().withColumn("n", F.row_number().over(Window.orderBy("component")) - 1)
+    names = numbered(components.select("component").distinct(), "component")
     return components.join(names, "component").select("id", F.col("n").alias("component"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.ranking import numbered
+
 
 def grid(spark, shape: tuple, patch: tuple, stride: tuple, part: tuple[int, int] | None = None) -> DataFrame:
     """Origins (z, y, x) of patches that fit, at least one an axis; ``part`` = (index, number) keeps every number-th z."""
@@ -55,8 +57,7 @@ def extract(volume: DataFrame, origins: DataFrame, patch: tuple) -> DataFrame:
 
 def batches(df: DataFrame, size: int, seed: int, key: str, drop_last: bool = False) -> DataFrame:
     """Seeded shuffle into batches (column ``batch``)."""
-    order = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) - 1
-    out = df.withColumn("batch", F.floor(order / size))
+    out = numbered(df, F.xxhash64(F.lit(seed), F.col(key)), F.col(key), name="batch").withColumn("batch", F.floor(F.col("batch") / size))
     if drop_last:
         whole = out.groupBy("batch").count().where(F.col("count") == size).select("batch")
         out = out.join(whole, "batch")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.catalog import register
 from lamina.operators import catalog as C
+from lamina.operators.ranking import numbered
 from lamina.plans.views import annotations, collab, projects, reviews, segments, surface, table, with_views
 
 
@@ -52,7 +53,7 @@ def _annotations(s, d):
 
 @register("so_surface", with_views("select id, name, row_number() over (order by name desc, id) as place from segments", "segments"))
 def _so_surface(s, d):
-    return segments(s, d).select("id", "name", F.row_number().over(Window.orderBy(F.desc("name"), "id")).alias("place"))
+    return numbered(segments(s, d).select("id", "name"), F.desc("name"), F.col("id"), name="place", start=1)
 
 
 @register("so_limit", with_views("select id from segments order by id limit 7", "segments"))
@@ -138,7 +139,7 @@ def _console(s, d):
 
 @register("flt_file_ext", with_views("select name, is_remote, row_number() over (order by is_remote desc, name) as place from projects where path like '%/1%'", "projects"))
 def _file_ext(s, d):
-    return projects(s, d).where("path like '%/1%'").select("name", "is_remote", F.row_number().over(Window.orderBy(F.desc("is_remote"), "name")).alias("place"))
+    return projects(s, d).where("path like '%/1%'").select("name", "is_remote").transform(numbered, F.desc("is_remote"), F.col("name"), name="place", start=1)
 
 
 @register("map_split_tags", with_views("select name, list_sort(list_filter(case when list_contains(tags, 'scan') then tags else list_append(tags, 'scan') end, lambda t: t <> 'en')) as tags from projects", "projects"))
@@ -309,5 +310,5 @@ def _batch(s, d):
 def _two_stream(s, d):
     lab = table(s, d, "labels").select("doc_id")
     un = table(s, d, "documents").select("doc_id").join(lab, "doc_id", "left_anti")
-    n = lambda df, c: df.select(F.col("doc_id").alias(c), F.row_number().over(Window.orderBy("doc_id")).alias("i"))
+    n = lambda df, c: numbered(df.withColumnRenamed("doc_id", c), c, name="i")
     return n(lab, "labelled").join(n(un, "unlabelled"), "i").drop("i")
