@@ -33,7 +33,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         rows, key = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
     found = decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
-    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    gone = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    # few enough to be sent to the texts, else the texts are shuffled
+    return rows.join(F.broadcast(gone) if gone.count() <= decontaminate.BROADCAST_IDS else gone, key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
