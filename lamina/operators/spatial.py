@@ -8,9 +8,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.ranking import numbered
 from lamina.sources import scratch
 
 
@@ -124,12 +125,24 @@ def _vec(p: str, q: str) -> list[Column]:
     return [F.col(f"{p}{c}") - F.col(f"{q}{c}") for c in "xyz"]
 
 
-def winding(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Winding number of each point (qid, qx, qy, qz): signed solid angles of all triangles (a.., b.., c..) over 4 pi.
+#: Triangles that are broadcast (a hundred bytes each), and triangles of a group beyond that.
+FEW_TRIANGLES, GROUP_TRIANGLES = 100_000, 10_000
 
-    The mesh is broadcast: it is the bounded side of a mesh query.
-    """
-    j = points.join(F.broadcast(triangles))
+
+def against_all(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Each point with every triangle, as a sum over a whole mesh needs. A counted small mesh is broadcast; a larger one is dealt into groups and the points are sent to each."""
+    count = triangles.count()
+    if count <= FEW_TRIANGLES:
+        return points.join(F.broadcast(triangles))
+    groups = -(-count // GROUP_TRIANGLES)
+    key = F.pmod(F.xxhash64(*triangles.columns), F.lit(groups)).cast("int").alias("_group")
+    sent = points.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return sent.join(triangles.select("*", key), "_group").drop("_group")
+
+
+def winding(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Winding number of each point (qid, qx, qy, qz): signed solid angles of all triangles (a.., b.., c..) over 4 pi."""
+    j = against_all(points, triangles)
     a, b, c = (_vec(p, "q") for p in "abc")
     dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
     norm = lambda u: F.sqrt(dot(u, u))
@@ -141,7 +154,7 @@ def winding(points: DataFrame, triangles: DataFrame) -> DataFrame:
 
 def voxelize(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """Parity test along +x: points (qid, qx, qy, qz) inside the mesh; rays are nudged off edges."""
-    j = rays.join(F.broadcast(triangles))
+    j = against_all(rays, triangles)
     y, z = F.col("qy") + 1.234e-5, F.col("qz") + 2.718e-5
     e1, e2 = [F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"], [F.col(f"c{c}") - F.col(f"a{c}") for c in "xyz"]
     det = e1[1] * e2[2] - e1[2] * e2[1]
@@ -155,14 +168,17 @@ def voxelize(rays: DataFrame, triangles: DataFrame) -> DataFrame:
 def asof_interpolate(queries: DataFrame, control: DataFrame) -> DataFrame:
     """Centre (cx, cy) at each z of ``queries`` (qid, z), linear between control points (z, x, y), clamped at the ends.
 
-    Control points become intervals by ``lead``; queries meet them by a range predicate over the broadcast intervals.
+    Control points become intervals to the next one; intervals and queries meet in buckets of the mean interval's width.
     """
-    w = Window.orderBy("z")
-    c = control.select("z", "x", "y", *[F.lead(k).over(w).alias(f"n{k}") for k in ("z", "x", "y")], F.row_number().over(w).alias("i"))
-    c = c.select(*[F.col(k).alias(f"c{k}") for k in ("z", "x", "y")], "nz", "nx", "ny", "i")
-    z = F.col("z")
-    inside = ((z >= F.col("cz")) | (F.col("i") == 1)) & ((z < F.col("nz")) | F.col("nz").isNull())
-    t = F.when(F.col("nz").isNull() | (z <= F.col("cz")), 0.0).otherwise((z - F.col("cz")) / (F.col("nz") - F.col("cz")))
-    j = queries.join(F.broadcast(c), inside)
+    ends = control.agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.count("z").alias("n")).first()
+    lo, hi = (float(ends[k]) if ends["n"] else 0.0 for k in ("lo", "hi"))
+    width = (hi - lo) / ends["n"] if hi > lo else 1.0
+    c = numbered(control.where("z is not null").select(F.col("z").cast("double").alias("cz"), F.col("x").alias("cx"), F.col("y").alias("cy")), "cz", name="i")
+    after = c.select((F.col("i") - 1).alias("i"), *[F.col(f"c{k}").alias(f"n{k}") for k in "zxy"])
+    bucket = lambda v: F.floor((v - lo) / width)
+    c = c.join(after, "i", "left").withColumn("_b", F.explode(F.sequence(bucket(F.col("cz")), bucket(F.coalesce("nz", "cz")))))
+    at = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("z")))
+    j = queries.withColumn("_at", at).withColumn("_b", bucket(at)).join(c, "_b").where((F.col("_at") >= F.col("cz")) & (F.col("nz").isNull() | (F.col("_at") < F.col("nz"))))
+    t = F.when(F.col("nz").isNull(), 0.0).otherwise((F.col("_at") - F.col("cz")) / (F.col("nz") - F.col("cz")))
     lerp = lambda k: F.col(f"c{k}") + t * (F.coalesce(F.col(f"n{k}"), F.col(f"c{k}")) - F.col(f"c{k}"))
     return j.select("qid", "z", lerp("x").alias("cx"), lerp("y").alias("cy"))

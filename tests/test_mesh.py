@@ -153,3 +153,32 @@ def test_spiral_matches_a_plain_search(spark):
     assert {(r["z"], r["y"], r["x"]): r["w"] for r in G.spiral(mask, u).collect()} == w
     assert len(set(w.values())) > 1
     assert G.spiral(mask, u, 0).count() == sum(v == 0 and k[1:] == centre[k[0]] for k, v in w.items())
+
+
+def test_as_of_lookup_between_and_beyond(spark):
+    rng = np.random.default_rng(8)
+    z = np.concatenate([np.sort(rng.uniform(-50, 50, 30)), [500.0]])
+    xy = rng.normal(0, 10, (31, 2))
+    control = spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(z, xy)], "z double, x double, y double").repartition(4)
+    at = np.concatenate([rng.uniform(-80, 600, 200), z, [-1e9, 1e9]])
+    got = P.asof_interpolate(spark.createDataFrame([(i, float(v)) for i, v in enumerate(at)], "qid int, z double"), control).collect()
+    assert len(got) == len(at)
+    for r in got:
+        assert [r["cx"], r["cy"]] == pytest.approx([np.interp(at[r["qid"]], z, xy[:, k]) for k in (0, 1)])
+    one = spark.createDataFrame([(3.0, 1.0, 2.0)], "z double, x double, y double")
+    q = spark.createDataFrame([(1, -5.0), (2, 3.0), (3, 9.0)], "qid int, z double")
+    assert [(r["cx"], r["cy"]) for r in P.asof_interpolate(q, one).collect()] == [(1.0, 2.0)] * 3
+    assert P.asof_interpolate(q, one.limit(0)).count() == 0
+
+
+def test_large_meshes_are_dealt_into_groups(spark, monkeypatch):
+    from lamina.plans.views import box
+
+    rng = np.random.default_rng(9)
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 7, (80, 3)))], "qid int, qx double, qy double, qz double")
+    one = {r["qid"]: (round(r["winding"], 9), r["inside"]) for r in P.winding(p, box(spark)).join(P.voxelize(p, box(spark)), "qid").collect()}
+    monkeypatch.setattr(P, "FEW_TRIANGLES", 5)
+    monkeypatch.setattr(P, "GROUP_TRIANGLES", 5)
+    two = {r["qid"]: (round(r["winding"], 9), r["inside"]) for r in P.winding(p, box(spark)).join(P.voxelize(p, box(spark)), "qid").collect()}
+    assert one == two
+    assert {v[1] for v in one.values()} == {True, False}
