@@ -139,7 +139,7 @@ def stats(df: DataFrame, *by: str) -> DataFrame:
 def hist256(df: DataFrame, *by: str) -> DataFrame:
     """Counts (bin, n) of 256 bins between minimum and maximum; constant data fall into bin 0."""
     ends = df.groupBy(*by).agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
-    j = df.join(F.broadcast(ends), list(by)) if by else df.join(F.broadcast(ends))
+    j = df.join(ends, list(by)) if by else df.join(F.broadcast(ends))
     t = F.when(F.col("hi") > F.col("lo"), (F.col("v").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
     return j.withColumn("bin", clamp(F.floor(t * 255.0), 0, 255).cast("int")).groupBy(*by, "lo", "hi", "bin").agg(F.count("*").alias("n"))
 

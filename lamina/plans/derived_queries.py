@@ -15,7 +15,7 @@ from lamina.operators import patches
 from lamina.operators import spatial as P
 from lamina.operators import surface as S
 from lamina.plans.views import box, collab, edges, surface, table, vol, with_views
-from lamina.sources import images, scratch
+from lamina.sources import images, scratch, sinks
 from lamina.streaming import server as V
 
 _WIDTH = 40
@@ -93,17 +93,8 @@ def _obj(s, d):
     """Meshes of four rows of cells as OBJ files, written by the executors and read back."""
     path = scratch.fresh(s, "mesh")
 
-    def put(pdf):
-        ids, inverse = np.unique(pdf[["i0", "i1", "i2"]].to_numpy(), return_inverse=True)
-        at = np.zeros((len(ids), 3))
-        for k, p in enumerate("abc"):
-            at[inverse.reshape(-1, 3)[:, k]] = pdf[[f"{p}x", f"{p}y", f"{p}z"]]
-        lines = [f"v {x!r} {y!r} {z!r}" for x, y, z in at.tolist()] + ["f " + " ".join(str(i + 1) for i in f) for f in inverse.reshape(-1, 3)]
-        scratch.put(f"{path}/{int(pdf.part.iloc[0])}.obj", "\n".join(lines).encode())
-        return pd.DataFrame({"n": [len(pdf)]})
-
     part = F.floor(F.floor(F.floor(F.col("fid") / 2) / _WIDTH) / 4)
-    _faces(s, d).withColumn("part", part).groupBy("part").applyInPandas(put, "n long").count()
+    sinks.write_meshes(_faces(s, d).withColumn("part", part), path, F.col("part"))
     got = images.obj_faces(s, path)
     return got.select(F.regexp_extract("path", r"(\d+)\.obj$", 1).cast("long").alias("part"), "i0", "az").groupBy("part").agg(F.count("*").alias("faces"), F.countDistinct("i0").alias("firsts"), F.round(F.sum("az"), 4).alias("z"))
 
@@ -199,6 +190,24 @@ def _simplify(s, d):
     return _patches(s, d).groupBy("pr", "pc").applyInPandas(run, "pr long, pc long, fid long, i0 long, i1 long, i2 long")
 
 
+_INSIDE = f"row % {_PATCH} < {_PATCH - 1} and col % {_PATCH} < {_PATCH - 1}"
+
+
+@register("snk_obj", with_views(f"with {_faces_sql('surf', 'mesh')}, f as (select fid // 2 // {_WIDTH} as row, fid // 2 % {_WIDTH} as col, i0, i1, i2 from mesh), k as (select row // {_PATCH} * 100 + col // {_PATCH} as part, * from f where {_INSIDE}), c as (select part, count(distinct v) as n from (select part, unnest([i0, i1, i2]) as v from k) group by 1) select part, count(*) as faces, any_value(n) as vertices, any_value(n) as textured from k join c using (part) group by 1", "surf"))
+def _textured(s, d):
+    """Every patch flattened and written as an OBJ with its map as texture; lines of each kind read back."""
+    path, g = scratch.fresh(s, "obj"), _patches(s, d)
+    uv = X.flatten_patches(g, ["pr", "pc"]).select((F.col("row") * _WIDTH + F.col("col")).alias("vid"), "u", "v")
+    row, col = F.floor(F.floor(F.col("fid") / 2) / _WIDTH), F.floor(F.col("fid") / 2) % _WIDTH
+    f = _faces(s, d).where((row % _PATCH < _PATCH - 1) & (col % _PATCH < _PATCH - 1)).withColumn("part", F.floor(row / _PATCH) * 100 + F.floor(col / _PATCH))
+    for k, p in enumerate("abc"):
+        f = f.join(uv.select(F.col("vid").alias(f"i{k}"), F.col("u").alias(f"{p}u"), F.col("v").alias(f"{p}v")), f"i{k}")
+    sinks.write_meshes(f, path, F.col("part"))
+    lines = s.read.text(path).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.obj$", 1).cast("long").alias("part"), F.substring_index("value", " ", 1).alias("kind"))
+    count = lambda k, n: F.count_if(F.col("kind") == k).alias(n)
+    return lines.groupBy("part").agg(count("f", "faces"), count("v", "vertices"), count("vt", "textured"))
+
+
 # --- shapes of many volumes
 
 

@@ -68,7 +68,7 @@ def replies(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     text = lambda s: F.lit(s).cast("binary")
     asked = m.where(F.col("kind") == CHUNK_REQ).select("seq", "client", parse_request(F.col("payload")).alias("q")).select("seq", "client", F.col("q").isNotNull().alias("ok"), "q.*")
     known = chunks.select("volume_id").distinct().withColumn("known", F.lit(True))
-    got = asked.join(F.broadcast(known), "volume_id", "left").join(chunks.withColumnRenamed("data", "chunk"), ["volume_id", "level", "z", "y", "x"], "left")
+    got = asked.join(known, "volume_id", "left").join(chunks.withColumnRenamed("data", "chunk"), ["volume_id", "level", "z", "y", "x"], "left")
     fault = F.when(~F.col("ok"), "bad chunk_req").when(F.col("known").isNull(), "unknown volume").when(F.col("chunk").isNull(), "chunk not found")
     served = got.select("seq", "client", F.lit(False).alias("to_all"), F.when(fault.isNull(), CHUNK_RESP).otherwise(ERROR).alias("kind"), F.coalesce(fault.cast("binary"), F.col("chunk")).alias("payload"))
     body = F.decode(F.col("payload"), "UTF-8")
