@@ -77,7 +77,8 @@ def _slabs(chunk: tuple, halo: int, counts: list):
 def over_blocks(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np.ndarray, tuple, tuple], pd.DataFrame], shape: tuple, schema: str, outside: str = "edge") -> DataFrame:
     """Rows of ``kernel(block, first voxel of the chunk, size of the chunk)`` for every chunk and its surroundings of ``halo`` voxels.
 
-    Voxels outside the volume repeat its last ones (``outside`` "edge") or are 0 ("zero"); absent voxels inside are 0. ``halo`` may not exceed the chunk.
+    Voxels outside the volume repeat its last ones (``outside`` "edge"), are 0 ("zero"), or are left out, so that blocks end where the volume does ("cut");
+    absent voxels inside are 0. ``halo`` may not exceed the chunk.
     """
     if halo > min(chunk):
         raise ValueError("a halo reaches into the next chunk only")
@@ -97,18 +98,24 @@ def over_blocks(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np
             if all(e > s for s, e in cut):
                 block[tuple(slice(s - q, e - q) for (s, e), q in zip(cut, lo, strict=True))] = a[tuple(slice(s - p, e - p) for (s, e), p in zip(cut, at, strict=True))]
         pad = [(halo - (f - a), halo - (b - f - m)) for f, a, b, m in zip(first, lo, hi, size, strict=True)]
-        return kernel(np.pad(block, pad, **({"mode": "edge"} if outside == "edge" else {})), tuple(first), size)
+        if outside != "cut":
+            block = np.pad(block, pad, **({"mode": "edge"} if outside == "edge" else {}))
+        return kernel(block, tuple(first), size)
 
     return chunks.mapInPandas(_slabs(chunk, halo, counts), SLAB).groupBy("tz", "ty", "tx").applyInPandas(run, schema)
 
 
-def with_halo(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np.ndarray, tuple], np.ndarray], shape: tuple, outside: str = "edge") -> DataFrame:
-    """Apply ``kernel(block with halo, origin of the block)`` to every chunk. The kernel returns an array of the block's size; its inside becomes the chunk."""
+def with_halo(chunks: DataFrame, chunk: tuple, halo: int, kernel: Callable[[np.ndarray, tuple], np.ndarray], shape: tuple, outside: str = "cut") -> DataFrame:
+    """Apply ``kernel(block with halo, origin of the block)`` to every chunk. The kernel returns an array of the block's size; its inside becomes the chunk.
+
+    Blocks end where the volume does, so a kernel of several steps treats the volume's edge at every step as it would on the whole array.
+    """
 
     def run(block, first, size):
-        got = kernel(block, tuple(f - halo for f in first))
+        lead = [min(halo, f) if outside == "cut" else halo for f in first]
+        got = kernel(block, tuple(f - k for f, k in zip(first, lead, strict=True)))
         out = np.full(chunk, np.nan)
-        out[tuple(slice(0, n) for n in size)] = got[tuple(slice(halo, halo + n) for n in size)]
+        out[tuple(slice(0, n) for n in size)] = got[tuple(slice(k, k + n) for k, n in zip(lead, size, strict=True))]
         return pd.DataFrame([(*[f // c for f, c in zip(first, chunk, strict=True)], out.tobytes())], columns=["cz", "cy", "cx", "data"])
 
     return over_blocks(chunks, chunk, halo, run, shape, CHUNK, outside)

@@ -20,17 +20,14 @@ def gradients(voxels: DataFrame, shape: tuple, chunk: tuple, blur: int = 1) -> D
     """(z, y, x, gz, gy, gx): Sobel gradients of the box-blurred volume, by chunks with halos."""
 
     def kernel(block, first, size):
-        # without the repeated voxels outside the volume, so that each filter sees the volume's own edge
-        cut = [(max(0, halo - f), len_ - max(0, f + n + halo - m)) for f, n, m, len_ in zip(first, size, shape, block.shape, strict=True)]
-        a = block[tuple(slice(*c) for c in cut)]
-        a = K.box_blur(a, blur) if blur > 1 else a
-        inner = tuple(slice(halo - c[0], halo - c[0] + n) for c, n in zip(cut, size, strict=True))
+        a = K.box_blur(block, blur) if blur > 1 else block
+        inner = tuple(slice(min(halo, f), min(halo, f) + n) for f, n in zip(first, size, strict=True))
         g = [K.sobel(a, k)[inner].ravel() for k in range(3)]
         z, y, x = (i.ravel() + f for i, f in zip(np.indices(size), first, strict=True))
         return pd.DataFrame({"z": z, "y": y, "x": x, "gz": g[0], "gy": g[1], "gx": g[2]})
 
     halo = blur // 2 + 1
-    return B.over_blocks(B.to_chunks(voxels, chunk), chunk, halo, kernel, shape, _GRADIENT)
+    return B.over_blocks(B.to_chunks(voxels, chunk), chunk, halo, kernel, shape, _GRADIENT, "cut")
 
 
 def normal_field(g: DataFrame, shape: tuple, window: int = 16) -> DataFrame:

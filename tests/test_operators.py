@@ -62,6 +62,13 @@ def test_block_kernels_match_whole_arrays(spark, cube):
     for halo, f in ((3, lambda a: K.gauss(a, 1.0)), (1, lambda a: K.sobel(a, 1)), (4, lambda a: K.derivative(a, 0))):
         got = dense(B.to_voxels(B.with_halo(c, (4, 4, 4), halo, lambda a, o, f=f: f(a), (8, 8, 8)), (4, 4, 4)), (8, 8, 8))
         assert np.abs(got - f(cube)).max() < 1e-9
+    a = np.random.default_rng(4).random((19, 10, 17)) * 200
+    c, chunk = B.to_chunks(voxels(spark, a), (8, 8, 8)), (8, 8, 8)
+    # kernels of several steps, whose reach adds up
+    for halo, f in ((7, lambda a: K.structure_tensor(a, 0.3, 0.0)["yx"]), (5, lambda a: K.frangi(a, [1.0])), (3, lambda a: K.box_blur(K.box_blur(a, 3), 5)), (2, lambda a: K.sobel(K.sobel(a, 0), 2))):
+        got = dense(B.to_voxels(B.with_halo(c, chunk, halo, lambda a, o, f=f: f(a), a.shape), chunk), a.shape)
+        assert np.abs(got - f(a)).max() < 1e-9
+    c = B.to_chunks(voxels(spark, cube), (4, 4, 4))
     with pytest.raises(ValueError, match="halo"):
         B.with_halo(c, (4, 4, 4), 5, lambda a, o: a, (8, 8, 8))
 
