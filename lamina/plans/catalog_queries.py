@@ -262,11 +262,6 @@ def _autocommit(s, d):
     return collab(s, d).groupBy("user_id", F.floor(F.col("ts_ms") / 3600000).alias("slot")).agg(F.count("*").alias("edits"), F.max("ts_ms").alias("last_edit"))
 
 
-_CHUNKS = """with g as (select l as level, z, y, x from (values (0, 4, 4, 4), (1, 2, 2, 2), (2, 1, 1, 1)) t(l, nz, ny, nx), range(0, 4) a(z), range(0, 4) b(y), range(0, 4) c(x) where z < nz and y < ny and x < nx),
-r as (select *, row_number() over (order by level desc, z, y, x) as seq, lead(level) over (order by level desc, z, y, x) as n from g)
-select seq, level, z, y, x, n is null or n <> level as is_last from r"""
-
-
 @register("sm_locks")
 def _locks(s, d):
     """All-or-nothing cell claims in event order; tests hold it against a plain loop."""

@@ -11,7 +11,6 @@ from lamina.functions import kernels as K
 from lamina.functions import plugins
 from lamina.functions import topology as T
 from lamina.operators import blocks as B
-from lamina.operators import meshing as M
 from lamina.operators import volume as V
 from lamina.plans.views import collab, surface, table, vol, with_views
 from lamina.sources import codecs, containers, images, scratch, sinks, zarr

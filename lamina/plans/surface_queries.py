@@ -183,22 +183,6 @@ def _boxes(s, d):
     return _r(P.bbox_overlaps(b))
 
 
-def _solid():
-    a, b, c = ([f"({p}_{k} - q{k})" for k in "xyz"] for p in "abc")
-    dot = lambda u, v: "(" + " + ".join(f"{x} * {y}" for x, y in zip(u, v, strict=True)) + ")"
-    det = f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
-    la, lb, lc = (f"sqrt({dot(u, u)})" for u in (a, b, c))
-    return f"2 * atan2({det}, {la} * {lb} * {lc} + {dot(a, b)} * {lc} + {dot(b, c)} * {la} + {dot(c, a)} * {lb})"
-
-
-_GRID = "p as (select z * 64 + y * 8 + x as qid, x + 5e-1 as qx, y + 5e-1 as qy, z + 5e-1 as qz from range(8) a(z), range(8) b(y), range(8) c(x))"
-
-
-def _grid(s):
-    g = s.range(512)
-    return g.select(F.col("id").alias("qid"), (F.col("id") % 8 + 0.5).alias("qx"), (F.floor(F.col("id") / 8) % 8 + 0.5).alias("qy"), (F.floor(F.col("id") / 64) + 0.5).alias("qz"))
-
-
 _CTRL = "c as (select distinct on (p_size) cast(p_size as double) as z, cast(p_partkey as double) as x, p_retailprice as y from part where p_size % 6 = 1 order by p_size, p_partkey), i as (select *, lead(z) over (order by z) as nz, lead(x) over (order by z) as nx, lead(y) over (order by z) as ny, row_number() over (order by z) as i from c)"
 
 
