@@ -36,8 +36,8 @@ from .store import fresh_dir, materialize
 #: The byte-level BPE vocabulary that the box offers, its split pattern and its free id for the end of a text.
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's cache of words' tokens (about 130 MB when full); it is emptied when full.
-CACHE = 800_000
+#: Entries of a worker's cache of words' tokens (about 65 MB when full); it is emptied when full.
+CACHE = 400_000
 #: Bytes of tokens in a chunk, of pieces that a task holds, of a range of slots; level of compression of what is stored and shuffled.
 CHUNK, HELD, RANGE, LEVEL = 4 << 20, 32 << 20, 32 << 20, 3
 #: Signs that end a word as a piece of their own; an apostrophe may begin a contraction.
