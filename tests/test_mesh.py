@@ -182,3 +182,17 @@ def test_large_meshes_are_dealt_into_groups(spark, monkeypatch):
     two = {r["qid"]: (round(r["winding"], 9), r["inside"]) for r in P.winding(p, box(spark)).join(P.voxelize(p, box(spark)), "qid").collect()}
     assert one == two
     assert {v[1] for v in one.values()} == {True, False}
+
+
+def test_crossings_broadcast_no_mesh(spark):
+    """Neither a surface's cells nor its faces are joined by broadcasts, however small the planner takes them for."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    s = spark.range(600).selectExpr("id div 20 as row", "id % 20 as col", "double(id % 20) as x", "double(id div 20) as y", "double(id * 7 % 5) as z")
+    out = StringIO()
+    with redirect_stdout(out):
+        X.self_intersections(X.grid_faces(s, 20)).explain()
+        X.grid_faces(s, 20).explain()
+    assert "BroadcastHashJoin" not in out.getvalue()
+    assert X.grid_faces(s, 20).count() == 2 * 29 * 19
