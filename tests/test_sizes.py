@@ -64,3 +64,19 @@ def test_belief_at_a_node_of_many_neighbours(spark):
     edges = spark.createDataFrame([(i, n, 0.4) for i in range(n)], "src long, dst long, weight double")
     got = dict(tuple(r) for r in G.belief(nodes, edges, 2, 3).collect())
     assert got == dict.fromkeys(range(n + 1), 1)
+
+
+#: A full plane, one with three voxels (one of value 0), none, and one voxel far along z.
+GAPS = [(1, y, x) for y in range(16) for x in range(16)] + [(1001, 3, 4), (1001, 9, 15), (1001, 0, 0), (9001, 7, 7)]
+
+
+@pytest.mark.parametrize("name", ["snk_chunk", "src_npy", "src_nrrd", "src_ppm", "src_shard", "src_tiff", "src_zarr_v2", "src_zarr_v3", "src_open"])
+def test_files_tell_absent_voxels_from_zeros(spark, tmp_path, name):
+    q = [float(i % 50 + 1) for i in range(len(GAPS))]
+    q[256:] = [0.0, 255.0, 9.0, 7.0]
+    against_sql(spark, name, tables(tmp_path, lineitem=lineitems(GAPS, l_quantity=q)))
+
+
+@pytest.mark.parametrize("name", ["ip_gauss2d", "ip_gauss3d"])
+def test_absent_voxels_take_no_part_in_a_blur(spark, tmp_path, name):
+    against_sql(spark, name, tables(tmp_path, lineitem=lineitems(GAPS, l_quantity=[float(i * 37 % 251) for i in range(len(GAPS))])))
