@@ -113,3 +113,22 @@ def test_shortest_ways_through_blocks(spark):
     assert G.relax(line, (0, 0, 0)).agg({"d": "max"}).first()[0] == 1499.0
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("line"))
     assert 0 < jobs < 200
+
+
+def test_nearest_meets_copies_of_a_target_once(spark, monkeypatch):
+    """A far search reaches every target; thousands at a few places must not be thousands of pairs a point."""
+    from lamina.operators import spatial
+
+    met, within = [], spatial.within
+
+    def counted(points, targets, radius):
+        out = within(points, targets, radius)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "within", counted)
+    points = spark.range(50).selectExpr("id as qid", "0D as qx", "1000D + id as qy", "0D as qz")
+    targets = spark.range(3000).selectExpr("id as tid", "double(id % 3) as tx", "0D as ty", "0D as tz")
+    got = [tuple(r) for r in spatial.nearest(points, targets, 4.0).collect()]
+    assert sorted(got) == [(i, 0, 1000.0 + i) for i in range(50)]
+    assert sum(met) <= 150
