@@ -154,3 +154,23 @@ def test_winding_broadcasts_no_tree(spark, monkeypatch):
     seen(out)
     assert "BroadcastHashJoin" not in plans.getvalue()
     assert sorted(r["visited"] for r in out.collect()) == [True] * 7
+
+
+def test_a_radius_join_sends_a_point_to_few_cells(spark, monkeypatch):
+    from lamina.operators import spatial
+
+    sent, kind = [], type(spark.range(1))
+    join = kind.join
+
+    def counted(self, *a, **k):
+        sent.append(self.count())
+        return join(self, *a, **k)
+
+    r = np.random.default_rng(3).integers(-6, 7, (2, 60, 3)) / 2.0
+    points, targets = (spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], f"{k}id int, {k}x double, {k}y double, {k}z double") for k, x in zip("qt", r, strict=True))
+    monkeypatch.setattr(kind, "join", counted)
+    near = spatial.within(points, targets, 1.5)
+    monkeypatch.undo()
+    far = np.sqrt(((r[0][:, None] - r[1][None]) ** 2).sum(-1))
+    assert sorted(tuple(x) for x in near.select("qid", "tid").collect()) == sorted(map(tuple, np.argwhere(far <= 1.5).tolist()))
+    assert sent[0] < 16 * 60
