@@ -191,3 +191,29 @@ def test_thinning_keeps_nothing_between_blocks():
     grown = tracemalloc.get_traced_memory()[0] - before
     tracemalloc.stop()
     assert grown < 100_000
+
+
+def test_equal_boxes_meet_once(spark, monkeypatch):
+    """Thousands of boxes at a few places must not be thousands of candidates a cell; ids are paired after places."""
+    from lamina.operators import spatial
+
+    met, pairs = [], spatial.box_pairs
+
+    def counted(boxes):
+        met.append(boxes.count())
+        return pairs(boxes)
+
+    monkeypatch.setattr(spatial, "box_pairs", counted)
+    rows = [(i, 3.0 * (i % 3), 3.0 * (i % 3) + 1, 0.0, 1.0 + i % 2, 0.0, 1.0) for i in range(1300)] + [(5000, 99.0, 99.5, 0.0, 1.0, 0.0, 1.0), (5001, None, 1.0, 0.0, 1.0, 0.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "id int, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    out = spatial.bbox_overlaps(boxes)
+    assert dict(out.dtypes)["a"] == "int"
+    got = out.toPandas()
+    b = np.array(rows[:1300])
+    over = np.prod([np.minimum(b[:, None, k + 1], b[None, :, k + 1]) - np.maximum(b[:, None, k], b[None, :, k]) + 2 for k in (1, 3, 5)], axis=0)
+    size = np.prod([b[:, k + 1] - b[:, k] + 2 for k in (1, 3, 5)], axis=0)
+    close = np.abs(b[:, None, 1] - b[None, :, 1]) <= 3
+    want = {(i, j) for i, j in np.argwhere(close & (over >= 0)) if i < j}
+    assert len(got) == len(want) and set(zip(got.a, got.b, strict=True)) == want
+    assert np.allclose(got.score, over[got.a, got.b] / np.minimum(size[got.a], size[got.b]))
+    assert max(met) <= 8
