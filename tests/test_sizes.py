@@ -255,3 +255,25 @@ def test_equal_rays_are_marched_once(spark, tmp_path, monkeypatch, name):
     rows = entry.queries()[name](spark, d).collect()
     assert len(rows) == 400 and len({tuple(r)[1:] for r in rows}) <= 2
     assert max(met) <= 2 * 30
+
+
+def test_suppliers_are_fitted_together(spark, tmp_path, monkeypatch):
+    """A fit a supplier is a call and hundreds of small arrays each; their number grows with the suppliers."""
+    from lamina.operators import meshing
+
+    def alone(*_):
+        raise AssertionError("fitted one by one")
+
+    monkeypatch.setattr(meshing, "levenberg_marquardt", alone)
+    keys = [(i, i % 40, 1) for i in range(400)]
+    against_sql(spark, "sv_lm", tables(tmp_path, lineitem=lineitems(keys, l_linenumber=[i // 40 % (2 + i % 6) + 1 for i in range(400)])))
+
+
+def test_fits_at_once_equal_fits_alone():
+    from lamina.operators import meshing as M
+
+    r = np.random.default_rng(4)
+    x, y = r.random((2, 30, 6))
+    f = lambda p, x, y: p[..., :1] * np.exp(-p[..., 1:] * x) - y
+    got = M.levenberg_marquardt_many(lambda p, k: f(p, x[k], y[k]), np.ones((30, 2)), 200)
+    assert np.allclose(got, [M.levenberg_marquardt(lambda p, k=k: f(p, x[k], y[k]), np.ones(2), 200) for k in range(30)], atol=1e-5)
