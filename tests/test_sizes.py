@@ -277,3 +277,43 @@ def test_fits_at_once_equal_fits_alone():
     f = lambda p, x, y: p[..., :1] * np.exp(-p[..., 1:] * x) - y
     got = M.levenberg_marquardt_many(lambda p, k: f(p, x[k], y[k]), np.ones((30, 2)), 200)
     assert np.allclose(got, [M.levenberg_marquardt(lambda p, k=k: f(p, x[k], y[k]), np.ones(2), 200) for k in range(30)], atol=1e-5)
+
+
+def test_rows_of_a_task_do_not_grow_with_a_mesh(spark, monkeypatch):
+    """Sorts of angles and neighbours are dealt by the rows that there are, beyond the usual number of partitions."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    from lamina.operators import mesh as X
+    from lamina.operators import tracing as T
+    from lamina.sources import scratch
+
+    plans, cut = StringIO(), scratch.cut
+
+    def seen(df, tag):
+        with redirect_stdout(plans):
+            df.explain()
+        return cut(df, tag)
+
+    monkeypatch.setattr(scratch, "cut", seen)
+    monkeypatch.setattr(scratch, "TASK_ROWS", 30, raising=False)
+    s = spark.range(100).selectExpr("id div 10 as row", "id % 10 as col", "double(id % 10) as x", "double(id div 10) as y", "double(id % 3) as z")
+    assert X.flat_angles(X.grid_faces(s, 10), 1).count() == 81 * 2 * 3
+    seen(T.neighbours(s, s), "")
+    assert plans.getvalue().count("REPARTITION_BY_NUM") >= 4
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_samples_of_points_near_and_far(spark, monkeypatch, few):
+    from lamina.operators import tracing as T
+    from lamina.operators import volume as V
+
+    monkeypatch.setattr(T, "FEW_ROWS", few, raising=False)
+    r = np.random.default_rng(8)
+    volume = spark.createDataFrame([(z, y, x, int(r.integers(256))) for z in range(4) for y in range(4) for x in range(4) if r.random() < 0.8], "z long, y long, x long, v long")
+    rows = [(i, 0, 0, *map(float, p)) for i, p in enumerate(r.random((60, 3)) * 8 - 2)] + [(60, 0, 0, 900.0, 900.0, 900.0), (61, 0, 0, None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "row long, col long, i int, x double, y double, z double")
+    got = {x["row"]: x["value"] for x in T.sampled(points, volume).collect()}
+    want = {x["row"]: x["value"] for x in V.sample(points.selectExpr("row", "x as px", "y as py", "z as pz"), volume, ["row"]).collect()}
+    assert got.keys() == want.keys() and got.pop(61) is None and want.pop(61) is None
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
