@@ -338,3 +338,35 @@ def test_components_write_their_mask_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q.scratch, "cut", lambda df, tag: (tags.append(tag), cut(df, tag))[1])
     against_sql(spark, "ip_cc3d", tables(tmp_path, lineitem=lineitems([(1, 2, 3), (1, 2, 4), (1, 9, 9)], l_quantity=[200.0, 210.0, 250.0])))
     assert tags.count("mask") == 1
+
+
+def events(times, users, **columns):
+    """``events`` rows at times (seconds) by users; other columns as in the first row of the small table unless given."""
+    base = pd.read_parquet(f"{SMALL}/events.parquet").head(1)
+    out = pd.concat([base] * len(times), ignore_index=True)
+    given = {"event_id": range(len(times)), "ts": pd.to_datetime(pd.Series(times, dtype="float64"), unit="s").astype(base["ts"].dtype), "user_id": users}
+    for c, v in (given | columns).items():
+        out[c] = pd.Series(v, dtype="Int64") if c.endswith("_id") else v
+    return out
+
+
+def test_broadcast_at_the_edges_of_hours_and_without_ids(spark, tmp_path, monkeypatch):
+    """Hours are cut as the SQL cuts them, before 1970 too; chunks and bands that are full, short or alone lose no pair and repeat none."""
+    from lamina.operators import catalog as C
+
+    monkeypatch.setattr(C, "CHUNK_EVENTS", 7)
+    monkeypatch.setattr(C, "BAND_USERS", 5)
+    times = [-7200, -3600.001, -3600, -1, -0.0005, 0, 1, 3599.999, 3600, 9000, None, 9001] + [20000 + i for i in range(50)]
+    users = [1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, None] + [i * i % 23 for i in range(50)]
+    ids = [None, *range(1, 60), 59, 59]
+    against_sql(spark, "sm_broadcast", tables(tmp_path, events=events(times, users, event_id=ids)))
+
+
+def test_broadcast_is_written_in_runs(spark, tmp_path):
+    """What a file of the pairs takes is far less than a number for each of them."""
+    import __spark_entry__ as entry
+
+    d = tables(tmp_path, events=events([i % 3600 for i in range(2000)], [i * 7919 % 1000003 for i in range(2000)]))
+    entry.queries()["sm_broadcast"](spark, d).coalesce(1).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 2000 * 1999
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2000 * 1999 / 4
