@@ -196,3 +196,45 @@ def test_crossings_broadcast_no_mesh(spark):
         X.grid_faces(s, 20).explain()
     assert "BroadcastHashJoin" not in out.getvalue()
     assert X.grid_faces(s, 20).count() == 2 * 29 * 19
+
+
+def plain_angles(corners, faces, rounds):
+    """Corner angles of ``faces`` after at most so many rounds, and the number of rounds taken."""
+    a = {}
+    for f, ids in faces.items():
+        for k in range(3):
+            p, q, r = (np.array(corners[ids[(k + j) % 3]]) for j in range(3))
+            a[f, k] = np.arccos(np.clip((q - p) @ (r - p) / np.linalg.norm(q - p) / np.linalg.norm(r - p), -1, 1))
+    at = {}
+    for f, ids in faces.items():
+        for k, v in enumerate(ids):
+            at.setdefault(v, []).append((f, k))
+    inner = [v for v, c in at.items() if len(c) == len({w for f, _ in c for w in faces[f] if w != v})]
+    for done in range(1, rounds + 1):
+        off = 0.0
+        for target, groups in ((np.pi, [[(f, k) for k in range(3)] for f in faces]), (2 * np.pi, [at[v] for v in inner])):
+            for g in groups:
+                s = sum(a[c] for c in g)
+                off = max(off, abs(target - s))
+                for c in g:
+                    a[c] = min(max(a[c] * target / s, 1e-5), np.pi - 1e-5)
+        if off < 1e-4:
+            break
+    return a, done
+
+
+@pytest.mark.parametrize(("task_rows", "rough", "rounds"), [(250_000, 0.1, 50), (250_000, 2.0, 50), (400, 0.1, 50), (200, 2.0, 50), (10, 2.0, 4)])
+def test_flat_angles_in_strips(spark, monkeypatch, task_rows, rough, rounds):
+    """One strip, several that take many or few rounds at a time, and a round at a time end with the same angles after the same number of rounds."""
+    from lamina.sources import scratch
+
+    rng = np.random.default_rng(11)
+    z = rng.random((40, 6)) * rough
+    s = sheet(spark, 40, 6, lambda r, c: (c, r, z[r, c])).where("not (row = 20 and col = 2)")
+    faces = X.grid_faces(s, 6).cache()
+    want, done = plain_angles({r * 6 + c: (c, r, z[r, c]) for r in range(40) for c in range(6)}, {r["fid"]: (r["i0"], r["i1"], r["i2"]) for r in faces.collect()}, rounds)
+    assert done == rounds if rough > 1 else 4 < done < rounds
+    monkeypatch.setattr(scratch, "TASK_ROWS", task_rows)
+    got = {(r["fid"], r["k"]): r["angle"] for r in X.flat_angles(faces, rounds).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[c] - want[c]) for c in want) < 1e-9

@@ -370,3 +370,21 @@ def test_broadcast_is_written_in_runs(spark, tmp_path):
     entry.queries()["sm_broadcast"](spark, d).coalesce(1).write.parquet(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 2000 * 1999
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2000 * 1999 / 4
+
+
+def test_angles_are_scaled_until_they_fit(spark, tmp_path):
+    """A sheet of two heights needs more than a few rounds; the queries take them all, where a price is missing too."""
+    import __spark_entry__ as entry
+
+    part = pd.concat([pd.read_parquet(f"{SMALL}/part.parquet").head(1)] * 480, ignore_index=True)
+    part["p_partkey"], part["p_size"] = range(480), pd.Series([3 if 120 < k < 360 and k % 40 in range(10, 30) else 2 for k in range(480)]).astype(part["p_size"].dtype)
+    d = tables(tmp_path, part=part)
+    a = entry.queries()["sf_flatten_abf"](spark, d).toPandas()
+    around = a.groupby("vid").angle.sum()
+    inner = [r * 40 + c for r in range(1, 11) for c in range(1, 39)]
+    assert np.abs(a.groupby("fid").angle.sum() - np.pi).max() < 1e-3
+    assert np.abs(around[inner] - 2 * np.pi).max() < 1e-3
+    against_sql(spark, "sf_flatten_abf", d)
+    part.loc[200, "p_retailprice"] = None
+    (tmp_path / "gap").mkdir()
+    against_sql(spark, "sf_flatten_abf", tables(tmp_path / "gap", part=part))
