@@ -388,3 +388,15 @@ def test_angles_are_scaled_until_they_fit(spark, tmp_path):
     part.loc[200, "p_retailprice"] = None
     (tmp_path / "gap").mkdir()
     against_sql(spark, "sf_flatten_abf", tables(tmp_path / "gap", part=part))
+
+
+def test_maps_follow_from_the_fitted_angles(spark, tmp_path):
+    import __spark_entry__ as entry
+    from lamina.operators import mesh as X
+    from lamina.plans import derived_queries as Q
+
+    d = tables(tmp_path)
+    got, want = ({(r["row"], r["col"]): (r["u"], r["v"]) for r in df.collect()} for df in (entry.queries()["sf_flatten_abf_uv"](spark, d), X.flatten_patches(Q._patches(spark, d), ["pr", "pc"], X.flat_angles(Q._faces(spark, d), 50), 40)))
+    assert got.keys() == want.keys()
+    assert any(v[0] is not None for v in want.values())
+    assert all((got[k][0] is None and v[0] is None) or np.allclose(got[k], v, atol=2e-6) for k, v in want.items())
