@@ -400,3 +400,26 @@ def test_maps_follow_from_the_fitted_angles(spark, tmp_path):
     assert got.keys() == want.keys()
     assert any(v[0] is not None for v in want.values())
     assert all((got[k][0] is None and v[0] is None) or np.allclose(got[k], v, atol=2e-6) for k, v in want.items())
+
+
+def test_smoothing_broadcasts_no_vertices(spark, tmp_path, monkeypatch):
+    """Neither vertices nor their means are joined by broadcasts, however small the planner takes them for; no round is computed twice."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    import __spark_entry__ as entry
+    from lamina.sources import scratch
+
+    plans, cut = StringIO(), scratch.cut
+
+    def seen(df, tag):
+        with redirect_stdout(plans):
+            df.explain()
+        return cut(df, tag)
+
+    monkeypatch.setattr(scratch, "cut", seen)
+    d = tables(tmp_path)
+    seen(entry.queries()["sf_smooth"](spark, d), "")
+    assert "BroadcastHashJoin" not in plans.getvalue()
+    assert 2 <= plans.getvalue().count("SortMergeJoin") <= 4
+    against_sql(spark, "sf_smooth", d)
